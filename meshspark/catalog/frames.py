@@ -37,7 +37,7 @@ MIDLINE = """mid0 AS (SELECT a.arch_id, (a.ox+b.ox)/2 AS ox, (a.oy+b.oy)/2 AS oy
   b.ox-a.ox AS dx, b.oy-a.oy AS dy, b.oz-a.oz AS dz FROM tf a JOIN tf b ON a.arch_id=b.arch_id AND a.label=8 AND b.label=9),
 mid1 AS (SELECT *, sx/sqrt(sx*sx+sy*sy+sz*sz) AS nx, sy/sqrt(sx*sx+sy*sy+sz*sz) AS ny, sz/sqrt(sx*sx+sy*sy+sz*sz) AS nz FROM mid0),
 mid2 AS (SELECT *, dx-nx*(dx*nx+dy*ny+dz*nz) AS ex, dy-ny*(dx*nx+dy*ny+dz*nz) AS ey, dz-nz*(dx*nx+dy*ny+dz*nz) AS ez FROM mid1),
-midline AS (SELECT arch_id, ox, oy, oz, nx, ny, nz, ex/sqrt(ex*ex+ey*ey+ez*ez) AS tx, ey/sqrt(ex*ex+ey*ey+ez*ez) AS ty, ez/sqrt(ex*ex+ey*ey+ez*ez) AS tz FROM mid2)"""
+midline AS MATERIALIZED (SELECT arch_id, ox, oy, oz, nx, ny, nz, ex/sqrt(ex*ex+ey*ey+ez*ez) AS tx, ey/sqrt(ex*ex+ey*ey+ez*ez) AS ty, ez/sqrt(ex*ex+ey*ey+ez*ez) AS tz FROM mid2)"""
 
 
 @query("midline_frame", f"WITH {GEOM}, {FRAMES}, {MIDLINE} SELECT arch_id, {cols6(*XYZ('o', 'n', 't'))} FROM midline")

@@ -20,10 +20,10 @@ def cols6(*names: str) -> str:
     return ", ".join(f"{r6(n)} AS {n}" for n in names)
 
 
-GRID = """grid AS (SELECT p_partkey AS vid, p_partkey%50 AS i, p_partkey//50 AS j, CAST(p_partkey%50 AS DOUBLE) AS x,
+GRID = """grid AS MATERIALIZED (SELECT p_partkey AS vid, p_partkey%50 AS i, p_partkey//50 AS j, CAST(p_partkey%50 AS DOUBLE) AS x,
   CAST(p_partkey//50 AS DOUBLE) AS y, p_size*CAST(0.05 AS DOUBLE) AS z FROM part)"""
 FACES = GRID + """,
-faces AS (SELECT g.j//10 AS arch_id, t.fid, t.v0, t.v1, t.v2, (g.i//3)%17 AS label FROM grid g
+faces AS MATERIALIZED (SELECT g.j//10 AS arch_id, t.fid, t.v0, t.v1, t.v2, (g.i//3)%17 AS label FROM grid g
   JOIN grid o ON o.vid = g.vid+51,
   LATERAL (SELECT 2*g.vid AS fid, g.vid AS v0, g.vid+1 AS v1, g.vid+50 AS v2
            UNION ALL SELECT 2*g.vid+1, g.vid+1, g.vid+51, g.vid+50) t WHERE g.i < 49)"""
@@ -33,16 +33,16 @@ corners AS (SELECT f.*, a.x AS px, a.y AS py, a.z AS pz, b.x AS qx, b.y AS qy, b
 GEOM = CORNERS + """,
 crossed AS (SELECT *, (qy-py)*(rz-pz)-(qz-pz)*(ry-py) AS kx, (qz-pz)*(rx-px)-(qx-px)*(rz-pz) AS ky,
   (qx-px)*(ry-py)-(qy-py)*(rx-px) AS kz, (px+qx+rx)/3.0 AS mx, (py+qy+ry)/3.0 AS my, (pz+qz+rz)/3.0 AS mz FROM corners),
-geom AS (SELECT *, kx/sqrt(kx*kx+ky*ky+kz*kz) AS nx, ky/sqrt(kx*kx+ky*ky+kz*kz) AS ny, kz/sqrt(kx*kx+ky*ky+kz*kz) AS nz,
+geom AS MATERIALIZED (SELECT *, kx/sqrt(kx*kx+ky*ky+kz*kz) AS nx, ky/sqrt(kx*kx+ky*ky+kz*kz) AS ny, kz/sqrt(kx*kx+ky*ky+kz*kz) AS nz,
   0.5*sqrt(kx*kx+ky*ky+kz*kz) AS area FROM crossed)"""
 ADJ = """edges AS (SELECT arch_id, fid, least(p,q) AS e0, greatest(p,q) AS e1 FROM (
     SELECT arch_id, fid, v0 AS p, v1 AS q FROM faces UNION ALL SELECT arch_id, fid, v1, v2 FROM faces
     UNION ALL SELECT arch_id, fid, v2, v0 FROM faces)),
-adj AS (SELECT DISTINCT arch_id, min(fid) AS a, max(fid) AS b FROM edges WHERE e0<>e1
+adj AS MATERIALIZED (SELECT DISTINCT arch_id, min(fid) AS a, max(fid) AS b FROM edges WHERE e0<>e1
   GROUP BY arch_id, e0, e1 HAVING count(*)=2 AND min(fid)<>max(fid))"""
 FRAMES = """tooth AS (SELECT arch_id, label, avg(mx) AS ox, avg(my) AS oy, avg(mz) AS oz, avg(nx) AS sx, avg(ny) AS sy, avg(nz) AS sz
   FROM geom GROUP BY arch_id, label),
-tf AS (SELECT arch_id, label, ox, oy, oz, sx/l AS nx, sy/l AS ny, sz/l AS nz FROM (
+tf AS MATERIALIZED (SELECT arch_id, label, ox, oy, oz, sx/l AS nx, sy/l AS ny, sz/l AS nz FROM (
   SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS l FROM tooth))"""
 TANGENTS = FRAMES + """,
 nb AS (SELECT t.*, a.ox AS pox, a.oy AS poy, a.oz AS poz, b.ox AS qox, b.oy AS qoy, b.oz AS qoz FROM tf t
@@ -53,14 +53,14 @@ raw_dir AS (SELECT *,
   CASE WHEN pox IS NULL AND qox IS NULL THEN 0.0-ny*nx ELSE coalesce(qoy,oy)-coalesce(poy,oy) END AS dy,
   CASE WHEN pox IS NULL AND qox IS NULL THEN 0.0-nz*nx ELSE coalesce(qoz,oz)-coalesce(poz,oz) END AS dz FROM nb),
 in_plane AS (SELECT *, dx-nx*(dx*nx+dy*ny+dz*nz) AS ex, dy-ny*(dx*nx+dy*ny+dz*nz) AS ey, dz-nz*(dx*nx+dy*ny+dz*nz) AS ez FROM raw_dir),
-tangent AS (SELECT arch_id, label, ox, oy, oz, nx, ny, nz, ex/l AS tx, ey/l AS ty, ez/l AS tz FROM (
+tangent AS MATERIALIZED (SELECT arch_id, label, ox, oy, oz, nx, ny, nz, ex/l AS tx, ey/l AS ty, ez/l AS tz FROM (
   SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS l FROM in_plane))"""
 FACIAL = TANGENTS + """,
 center AS (SELECT arch_id, avg(mx) AS ax, avg(my) AS ay, avg(mz) AS az FROM geom WHERE label<>0 GROUP BY arch_id),
 out0 AS (SELECT t.*, ox-c.ax AS fx0, oy-c.ay AS fy0, oz-c.az AS fz0 FROM tangent t JOIN center c USING (arch_id)),
 out1 AS (SELECT *, fx0-nx*(fx0*nx+fy0*ny+fz0*nz) AS fx1, fy0-ny*(fx0*nx+fy0*ny+fz0*nz) AS fy1, fz0-nz*(fx0*nx+fy0*ny+fz0*nz) AS fz1 FROM out0),
 out2 AS (SELECT *, fx1-tx*(fx1*tx+fy1*ty+fz1*tz) AS fx2, fy1-ty*(fx1*tx+fy1*ty+fz1*tz) AS fy2, fz1-tz*(fx1*tx+fy1*ty+fz1*tz) AS fz2 FROM out1),
-facial AS (SELECT arch_id, label, ox, oy, oz, nx, ny, nz, tx, ty, tz, fx2/l AS fx, fy2/l AS fy, fz2/l AS fz FROM (
+facial AS MATERIALIZED (SELECT arch_id, label, ox, oy, oz, nx, ny, nz, tx, ty, tz, fx2/l AS fx, fy2/l AS fy, fz2/l AS fz FROM (
   SELECT *, sqrt(fx2*fx2+fy2*fy2+fz2*fz2) AS l FROM out2))"""
 POINTS = """pts AS (SELECT CAST(label AS BIGINT) AS cloud, vec_id AS pid, CAST(embedding[1] AS DOUBLE)*20.0 AS x,
   CAST(embedding[2] AS DOUBLE)*20.0 AS y, CAST(embedding[3] AS DOUBLE)*20.0 AS z, embedding AS feat FROM embeddings)"""

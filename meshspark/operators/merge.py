@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meshspark.functions.colour import NO_COLOUR
-from meshspark.operators.mesh import weld
+from meshspark.operators.mesh import remap_corners, weld
+from meshspark.session import cut_lineage
 
 
 def chunk_offsets(vertices: DataFrame, bucket_size: int = 100_000) -> DataFrame:
@@ -39,12 +40,9 @@ def merge_meshes(vertices: DataFrame, faces: DataFrame, digits: int = 8) -> tupl
         .withColumn("gid", F.col("offset") + F.col("_local"))
     if "r" in vertices.columns:
         v = v.withColumns({c: F.coalesce(F.col(c), F.lit(s)) for c, s in zip("rgb", NO_COLOUR)})
-    ids = v.select("run_id", "mesh_id", "vid", "gid")
-    f = faces
-    for i in range(3):
-        m = ids.select("run_id", "mesh_id", F.col("vid").alias(f"v{i}"), F.col("gid").alias(f"_g{i}"))
-        f = f.join(m, ["run_id", "mesh_id", f"v{i}"])
-    f = f.drop("v0", "v1", "v2").withColumnsRenamed({f"_g{i}": f"v{i}" for i in range(3)})
+    v = cut_lineage(v)
+    ids = v.select("run_id", "mesh_id", "vid", F.col("gid").alias("_to"))
+    f = remap_corners(faces, ids, ["run_id", "mesh_id"])
     colours = [c for c in ("r", "g", "b") if c in vertices.columns]
     return weld(v.select("run_id", "gid", "x", "y", "z", *colours),
                 f.select("run_id", "mesh_id", "fid", "v0", "v1", "v2"), digits, "run_id", "gid")

@@ -117,14 +117,19 @@ def weld(vertices: DataFrame, faces: DataFrame, digits: int = 8, group: str = "r
     mapping = keyed.select(group, vertex, "_x", "_y", "_z").join(reps, at).select(group, vertex, "_rep")
     kept = vertices.join(mapping.filter(F.col(vertex) == F.col("_rep")).select(group, vertex), [group, vertex],
                          "left_semi")
-    out = faces
-    for i in range(3):
-        m = mapping.select(group, F.col(vertex).alias(f"v{i}"), F.col("_rep").alias(f"_r{i}"))
-        out = out.join(m, [group, f"v{i}"])
-    out = out.drop("v0", "v1", "v2").withColumnsRenamed({f"_r{i}": f"v{i}" for i in range(3)})
+    out = remap_corners(faces, mapping.withColumnRenamed("_rep", "_to"), [group], vertex)
     return kept, out.filter("v0 <> v1 and v1 <> v2 and v2 <> v0").select(*faces.columns)
 
 
+def remap_corners(faces: DataFrame, mapping: DataFrame, keys: list[str], vertex: str = "vid") -> DataFrame:
+    """Replace v0..v2 by ``_to`` of mapping (keys..., vertex, _to): one join on exploded corners, one regroup."""
+    rest = [c for c in faces.columns if c not in ("v0", "v1", "v2")]
+    long = faces.select(*rest, F.posexplode(F.array("v0", "v1", "v2")).alias("_i", vertex))
+    hit = long.join(mapping.select(*keys, vertex, "_to"), [*keys, vertex])
+    at = [F.max(F.when(F.col("_i") == i, F.col("_to"))).alias(f"v{i}") for i in range(3)]
+    return hit.groupBy(*rest).agg(*at).filter("v0 is not null and v1 is not null and v2 is not null")
+
+
 def cluster_cell(area: Column, target: Column) -> Column:
     """Cell edge at which a surface of ``area`` keeps about ``target`` faces (two faces per occupied cell)."""
     return F.sqrt(F.lit(2.0) * area / target)
@@ -149,11 +154,9 @@ def reduce_density(geom: DataFrame, vertices: DataFrame, density: float, cap: in
     mapping = keyed.alias("k").join(
         cells.alias("c"), [F.col(f"k.{c}").eqNullSafe(F.col(f"c.{c}")) for c in at]) \
         .select("k.arch_id", "k.vid", "c.rep")
-    f = geom.select("arch_id", "fid", "v0", "v1", "v2")
-    for i in range(3):
-        m = mapping.select("arch_id", F.col("vid").alias(f"v{i}"), F.col("rep").alias(f"r{i}"))
-        f = f.join(m, ["arch_id", f"v{i}"])
-    f = f.filter("r0 <> r1 and r1 <> r2 and r2 <> r0") \
+    f = remap_corners(geom.select("arch_id", "fid", "v0", "v1", "v2"), mapping.withColumnRenamed("rep", "_to"),
+                      ["arch_id"])
+    f = f.withColumnsRenamed({f"v{i}": f"r{i}" for i in range(3)}).filter("r0 <> r1 and r1 <> r2 and r2 <> r0") \
         .withColumn("_set", F.array_sort(F.array("r0", "r1", "r2")))
     first = F.min(F.struct("fid", "r0", "r1", "r2")).alias("t")
     f = f.groupBy("arch_id", "_set").agg(first) \

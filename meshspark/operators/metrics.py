@@ -12,3 +12,12 @@ def class_counts(df: DataFrame, keys: list[str], label: str, n_classes: int) ->
     pairs = F.explode(F.array(*[F.struct(F.lit(c).cast("bigint").alias(label), F.col(f"_c{c}").alias("n"))
                                 for c in range(n_classes)])).alias("e")
     return wide.select(*keys, pairs).select(*keys, "e.*")
+
+
+def coverage_share(extent: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of faces and area of an extent (keys, fid, area) that a subset (keys, fid) covers."""
+    d = extent.join(covered.select(*keys, "fid", F.lit(True).alias("_in")), [*keys, "fid"], "left")
+    hit = F.col("_in").isNotNull()
+    return d.groupBy(*keys).agg(
+        F.count(F.when(hit, 1)).alias("n_faces"), (F.count(F.when(hit, 1)) / F.count("*")).alias("face_share"),
+        (F.coalesce(F.sum(F.when(hit, F.col("area"))), F.lit(0.0)) / F.sum("area")).alias("area_share"))

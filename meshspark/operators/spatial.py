@@ -226,3 +226,28 @@ def in_boxes(faces: DataFrame, frames: DataFrame, group: str = "arch_id") -> Dat
         & (F.abs(rel.dot(Vec.cols("w"))) <= F.col("half_w")) \
         & (Vec.cols("n").dot(Vec.cols("w")) >= F.col("min_align"))
     return j.filter(inside).withColumn("d2", rel.sq()).drop("_cx", "_cy", "_cz", "_reach")
+
+
+def pairs_cells(geom: DataFrame, margin: float) -> DataFrame:
+    """(arch_id, tooth, fid) of faces within ``margin`` of some face of a tooth, by centroid.
+
+    Tooth faces offer themselves to the 27 cells around them as distinct (tooth, cell) keys first, so a face meets
+    only the teeth nearby; the semi-join then stops at the first face that is close enough.
+    """
+    pos = geom.select("arch_id", "fid", "label", *[F.col("m" + a).alias(a) for a in AXES])
+    tooth = pos.filter(F.col("label").between(1, 16)).select(
+        F.col("arch_id").alias("_g"), F.col("label").alias("tooth"), *[F.col(a).alias("p" + a) for a in AXES],
+        *_cells("_c", margin))
+    homes = tooth.select("_g", "tooth", "_cx", "_cy", "_cz").distinct()
+    for a in AXES:
+        homes = homes.withColumn(f"_h{a}", F.explode(F.sequence(F.col(f"_c{a}") - 1, F.col(f"_c{a}") + 1)))
+    q = pos.select(F.col("arch_id").alias("_g"), "fid", *AXES, *_cells("_h", margin))
+    tried = q.join(homes, ["_g", "_hx", "_hy", "_hz"]).alias("q")
+    t = tooth.alias("t")
+    same = [F.col(f"q.{c}") == F.col(f"t.{c}") for c in ("_g", "tooth", "_cx", "_cy", "_cz")]
+    near = Vec(*[F.col(f"q.{a}") for a in AXES]).minus(Vec(*[F.col(f"t.p{a}") for a in AXES])).sq() \
+        <= F.lit(float(margin) * float(margin))
+    cond = near
+    for s in same:
+        cond = cond & s
+    return tried.join(t, cond, "left_semi").select(F.col("_g").alias("arch_id"), "tooth", "fid").distinct()
