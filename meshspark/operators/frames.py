@@ -31,16 +31,17 @@ def tangent_axes(frames: DataFrame) -> DataFrame:
     """
     teeth = frames.filter(F.col("label").between(1, 16))
     w = Window.partitionBy("arch_id").orderBy("label")
-    o = F.struct("label", "ox", "oy", "oz")
-    d = teeth.withColumn("_p", F.lag(o).over(w)).withColumn("_q", F.lead(o).over(w))
-    has_p = F.coalesce(F.col("_p.label") == F.col("label") - 1, F.lit(False))
-    has_q = F.coalesce(F.col("_q.label") == F.col("label") + 1, F.lit(False))
+    near = {f"_{side}{c}": fn(c).over(w) for side, fn in (("p", F.lag), ("q", F.lead))
+            for c in ("label", "ox", "oy", "oz")}
+    d = teeth.withColumns(near)
+    has_p = F.coalesce(F.col("_plabel") == F.col("label") - 1, F.lit(False))
+    has_q = F.coalesce(F.col("_qlabel") == F.col("label") + 1, F.lit(False))
     here, n = Vec.cols("o"), Vec.cols("n")
-    before = Vec(*[F.when(has_p, F.col(f"_p.o{a}")).otherwise(h) for a, h in zip("xyz", here)])
-    after = Vec(*[F.when(has_q, F.col(f"_q.o{a}")).otherwise(h) for a, h in zip("xyz", here)])
+    before = Vec(*[F.when(has_p, F.col(f"_po{a}")).otherwise(h) for a, h in zip("xyz", here)])
+    after = Vec(*[F.when(has_q, F.col(f"_qo{a}")).otherwise(h) for a, h in zip("xyz", here)])
     lone = Vec.of(1.0, 0.0, 0.0).reject(n)
     raw = Vec(*[F.when(has_p | has_q, q - p).otherwise(s) for p, q, s in zip(before, after, lone)])
-    return _add_in_plane(d, "t", raw, n).drop("_p", "_q")
+    return _add_in_plane(d, "t", raw, n).drop(*near)
 
 
 def arch_centers(geom: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from meshspark.functions.vectors import linspace
 from meshspark.operators import frames as fr
 from meshspark.operators.graph import choose_component, grow_coverage, set_components
 from meshspark.operators.spatial import any_within, in_boxes
+from meshspark.session import cut_lineage
 
 PHASES = ("occlusal", "facial", "lingual")
 
@@ -87,7 +88,8 @@ def _viewing_axis(facial: DataFrame) -> DataFrame:
 def footprints(boxes: DataFrame, geom: DataFrame, adjacency: DataFrame, min_faces: int = 5) -> DataFrame:
     """(fp, arch_id, fid) of each box: eligible faces, their components, the component nearest to the origin."""
     slim = geom.select("arch_id", "fid", *[f"{p}{a}" for p in "mn" for a in "xyz"])
-    hit = in_boxes(slim, boxes).select("fp", "arch_id", "fid", "d2")
+    # the boxes are one small row per footprint; written once so that their long expressions are not inlined
+    hit = cut_lineage(in_boxes(slim, cut_lineage(boxes)).select("fp", "arch_id", "fid", "d2"))
     comp = set_components(hit, adjacency, "fp")
     return choose_component(comp, min_faces, "fp").select("fp", "arch_id", "fid")
 
