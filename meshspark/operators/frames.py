@@ -82,7 +82,7 @@ def view_boxes(frames: DataFrame, axis: str, width, height, slab, min_align) ->
     d = add_vec(d, "_t", Vec.cols("_b").cross(w))
     d = add_vec(d, "_w", w)
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    keep = [c for c in frames.columns if c[:-1] not in ("n", "t", "f", "w", "b") or c[-1] not in "xyz"]
+    keep = [c for c in frames.columns if c != "min_align" and (c[:-1] not in ("n", "t", "f", "w", "b") or c[-1] not in "xyz")]
     return d.select(*keep, *[F.col(f"_{p}{a}").alias(f"{p}{a}") for p in "tbw" for a in "xyz"],
                     (lit(width) / 2.0).alias("half_u"), (lit(height) / 2.0).alias("half_v"),
                     (lit(slab) / 2.0).alias("half_w"), lit(min_align).alias("min_align"))
