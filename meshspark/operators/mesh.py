@@ -179,3 +179,10 @@ def shared_vertices(face_rows: DataFrame) -> DataFrame:
         .groupBy("arch_id", F.col("e.v").alias("vid")) \
         .agg(F.max_by(F.col("e.tri"), F.struct("fid", "k")).alias("p")) \
         .select("arch_id", "vid", *[F.col("p")[i].alias(a) for i, a in enumerate("xyz")])
+
+
+def face_colours(faces: DataFrame, vertices: DataFrame, key: str = "arch_id") -> DataFrame:
+    """Face colour = mean of the three vertex colours, fraction cut off."""
+    c = gather_corners(faces, vertices, ("r", "g", "b"), key)
+    mean = {ch: F.floor((F.col("p" + ch) + F.col("q" + ch) + F.col("r" + ch)) / 3).cast("bigint") for ch in "rgb"}
+    return c.select(*faces.columns, *[v.alias(k) for k, v in mean.items()])

@@ -36,7 +36,7 @@ def fill_missing_colour(faces: DataFrame, value: Column, cell: float, default, g
         .agg(F.min(F.struct(fid, "_own")).alias("s")).select(group, "x", "y", "z", F.col(f"s.{fid}").alias("_sid"),
                                                              F.col("s._own").alias("_near"))
     spots = d.filter("_missing").select(group, "x", "y", "z").distinct() \
-        .withColumn("_q", F.xxhash64("x", "y", "z"))
+        .withColumn("_q", F.struct("x", "y", "z"))
     nn = nearest(spots, known, 1, cell, group, "_q", "_sid").select(group, "_q", "_sid") \
         .join(known.select(group, "_sid", "_near"), [group, "_sid"]) \
         .join(spots, [group, "_q"]).select(group, "x", "y", "z", "_near")
