@@ -172,7 +172,7 @@ def feature_knn(spark, sf):
     feat = F.array(*[F.col(c) / s for c in ("mx", "my", "mz", "px", "py", "pz", "qx", "qy", "qz")], "nx", "ny", "nz")
     p = cut_lineage(g.select("arch_id", F.col("fid").alias("pid"), (F.col("mx") / s).alias("x"), (F.col("my") / s).alias("y"),
                              (F.col("mz") / s).alias("z"), feat.alias("feat")))
-    nn = spatial.nearest_features(p.withColumnRenamed("pid", "qid"), p, 4, 0.05, "feat", "arch_id")
+    nn = spatial.nearest_features(p.withColumnRenamed("pid", "qid"), p, 4, 0.05, 12, "feat", "arch_id")
     return nn.filter("rank = 1").select("arch_id", "qid", rounded(F.col("dist")).alias("d1"))
 
 
@@ -201,7 +201,7 @@ def trim_overshoot(spark, sf):
 def spatial_split(spark, sf):
     o = fixtures.observations(spark, sf).withColumn("one", F.lit(0))
     o = o.withColumn("k", F.struct("part", "supp", "chunk", "line", "price"))
-    return sampling.spatial_split(o, F.col("cx"), 4, "one", "k").select("chunk", "line", "part", "piece")
+    return sampling.spatial_split(o, F.col("cx"), 4, "one", "k", tie_bucket=F.expr("part div 16")).select("chunk", "line", "part", "piece")
 
 
 @query("even_sample", f"""WITH e AS (SELECT DISTINCT o_custkey%20 AS run_id FROM orders), s AS (SELECT run_id, i FROM e, (SELECT unnest(generate_series(0,10)) AS i))

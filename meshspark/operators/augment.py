@@ -9,7 +9,7 @@ from meshspark.functions.hashing import gaussian, uniform, uniform_int
 from meshspark.functions.vectors import Vec, add_vec
 from meshspark.operators.graph import grow_blobs
 from meshspark.operators.mesh import inner_degree
-from meshspark.operators.ordinals import take_smallest
+from meshspark.operators.ordinals import attach
 from meshspark.operators.sampling import thin_faces
 
 MIN_FACES = 20  # fixed value: smaller patches lose no faces
@@ -42,7 +42,7 @@ def erode_boundary(patch: DataFrame, adjacency: DataFrame, max_prob: float = 0.3
     n = patch.groupBy("patch_id").agg(F.count("*").alias("_n"))
     rate = F.lit(max_prob) * uniform(f"{seed}/rate", "patch_id")
     drop = (F.col("_n") >= MIN_FACES) & (F.col("degree") < 3) & (uniform(seed, "patch_id", "fid") < rate)
-    return deg.join(n, "patch_id").filter(~drop).select(*patch.columns)
+    return attach(deg, n, ["patch_id"], ["fid"]).filter(~drop).select(*patch.columns)
 
 
 def jitter_positions(vertices: DataFrame, max_sigma: float = 0.15, seed: str = "jit", key: str = "patch_id") -> DataFrame:

@@ -6,8 +6,9 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from meshspark.operators.ordinals import attach
 from meshspark.session import cut_lineage
 
 CHUNK_EDGES = 2_000_000
@@ -108,7 +109,7 @@ def choose_component(eligible: DataFrame, min_faces: int = 5, group: str = "fp")
     pick = comps.groupBy(group).agg(
         F.min(F.when(big, F.struct("near", "comp"))).alias("a"), F.min(F.struct("near", "comp")).alias("b")) \
         .select(group, F.coalesce(F.col("a.comp"), F.col("b.comp")).alias("comp"))
-    return eligible.join(pick, [group, "comp"], "left_semi")
+    return attach(eligible, pick, [group, "comp"], ["fid"])
 
 
 def grow_coverage(extent: DataFrame, adjacency: DataFrame, group: str = "arch_id") -> DataFrame:
@@ -123,10 +124,11 @@ def grow_coverage(extent: DataFrame, adjacency: DataFrame, group: str = "arch_id
         F.max("threshold").alias("t")) \
         .withColumn("best", F.coalesce("tooth", "any")) \
         .filter(F.col("best.occ") >= F.col("t")).select(group, (-F.col("best.neg")).alias("fid"))
-    open_faces = extent.filter(F.col("occ") >= F.col("threshold")).join(seeds.select(group), group, "left_semi")
+    open_faces = attach(extent.filter(F.col("occ") >= F.col("threshold")), seeds.select(group), [group], ["fid"])
     comp = set_components(open_faces, adjacency, group)
+    comp = cut_lineage(comp)
     chosen = comp.join(seeds, [group, "fid"], "left_semi").select(group, "comp")
-    return comp.join(chosen, [group, "comp"], "left_semi")
+    return attach(comp, chosen, [group, "comp"], ["fid"])
 
 
 def grow_blobs(seeds: DataFrame, adjacency: DataFrame, members: DataFrame, group: str = "patch_id",
@@ -150,7 +152,6 @@ def grow_blobs(seeds: DataFrame, adjacency: DataFrame, members: DataFrame, group
         nxt = ring.join(both, [*keys, "fid"]).select(*keys, "hole", F.col("nb").alias("fid"), "size").distinct() \
             .join(blob.select(*keys, "hole", "fid"), [*keys, "hole", "fid"], "left_anti") \
             .join(have, [*keys, "hole"]).filter("have < size")
-        from pyspark.sql import Window
         w = Window.partitionBy(*keys, "hole").orderBy(uniform("blob", group, "hole", "fid"), "fid")
         ring = nxt.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("size") - F.col("have")) \
             .select(*keys, "hole", "fid", "size")

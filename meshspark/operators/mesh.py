@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshspark.functions.vectors import Vec, add_unit, add_vec, angle_between
+from meshspark.operators.ordinals import attach
 
 CORNERS = ("p", "q", "r")
 
@@ -144,7 +145,7 @@ def reduce_density(geom: DataFrame, vertices: DataFrame, density: float, cap: in
     plan = geom.groupBy("arch_id").agg(F.sum("area").alias("_area"), F.count("*").alias("_n")) \
         .withColumn("_target", target_count(F.col("_area"), density, cap, floor)) \
         .withColumn("_cell", F.when(F.col("_target") < F.col("_n"), cluster_cell(F.col("_area"), F.col("_target"))))
-    v = vertices.join(plan.select("arch_id", "_cell", "_target"), "arch_id")
+    v = attach(vertices, plan.select("arch_id", "_cell", "_target"), ["arch_id"], ["vid"])
     key = [F.when(F.col("_cell").isNotNull(), F.floor(F.col(a) / F.col("_cell"))).alias("_k" + a) for a in "xyz"]
     single = F.when(F.col("_cell").isNull(), F.col("vid")).alias("_single")
     keyed = v.select("arch_id", "vid", "x", "y", "z", *key, single)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meshspark.operators.ordinals import attach, exact_median
+
 
 def class_counts(df: DataFrame, keys: list[str], label: str, n_classes: int) -> DataFrame:
     """Counts with every class 0..n-1 present. Pivoted conditional sums: one partial aggregate, no join."""
@@ -134,7 +136,7 @@ def leaderboard(runs: DataFrame, anchor: int, budget: int, last: int = 20) -> Da
     a = runs.groupBy("run_id").agg(
         F.max(top).alias("_b"), F.max_by("metric", "epoch").alias("final"), F.count("*").alias("epochs"),
         F.max(F.when(F.col("epoch") <= budget, F.col("metric"))).alias("budget_best"))
-    tail = runs.join(ends, "run_id").filter(F.col("epoch") > F.col("last_epoch") - last).groupBy("run_id") \
+    tail = attach(runs, ends, ["run_id"], ["epoch"]).filter(F.col("epoch") > F.col("last_epoch") - last).groupBy("run_id") \
         .agg(F.avg("metric").alias("tail_mean"))
     d = a.join(tail, "run_id").select("run_id", "epochs", F.col("_b.metric").alias("best"), (-F.col("_b.e")).alias("best_epoch"),
                                       "final", "tail_mean", "budget_best")
@@ -148,8 +150,8 @@ def fold_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def timing_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"),
-                                 F.count("*").alias("n"))
+    d = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.count("*").alias("n"))
+    return d.join(exact_median(df, keys, value), keys)
 
 
 def split_audit(cases: DataFrame) -> DataFrame:

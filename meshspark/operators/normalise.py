@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshspark.functions.colour import to_unit
 from meshspark.functions.vectors import Vec, add_vec
+from meshspark.operators.ordinals import attach
 
 SCALE_MM = 15.0  # fixed value: patch scale
 CORNER_COLS = [f"{p}{a}" for p in "pqr" for a in "xyz"]
@@ -31,7 +32,7 @@ def with_corner_normals(geom: DataFrame, normals: DataFrame, key: str = "arch_id
 def move_to_origin(vertices: DataFrame, key: str = "arch_id") -> DataFrame:
     """Subtract the mean vertex of each mesh."""
     c = vertices.groupBy(key).agg(*[F.avg(a).alias(f"_c{a}") for a in "xyz"])
-    d = vertices.join(c, key)
+    d = attach(vertices, c, [key], ["vid"])
     return d.withColumns({a: F.col(a) - F.col(f"_c{a}") for a in "xyz"}).drop("_cx", "_cy", "_cz")
 
 
@@ -49,7 +50,7 @@ def mesh_stats(vertices: DataFrame, normals: DataFrame, geom: DataFrame, key: st
 
 def normalise_mesh(geom_normals: DataFrame, stats: DataFrame, key: str = "arch_id") -> DataFrame:
     """z-scored corners and normals, min-max scaled centres, by whole-mesh statistics."""
-    d = geom_normals.join(stats, key)
+    d = attach(geom_normals, stats, [key], ["fid"])
     z = lambda c, kind, a: (F.col(c) - F.col(f"{kind}_mean_{a}")) / F.col(f"{kind}_std_{a}")
     new = {}
     for a in "xyz":
@@ -64,7 +65,7 @@ def normalise_mesh(geom_normals: DataFrame, stats: DataFrame, key: str = "arch_i
 def normalise_patch(patch: DataFrame, key: str = "patch_id", scale: float = SCALE_MM) -> DataFrame:
     """Centre on the mean face corner and divide by a fixed scale; normals stay raw."""
     mean = [((F.sum(f"p{a}") + F.sum(f"q{a}") + F.sum(f"r{a}")) / (F.count("*") * 3)).alias(f"_c{a}") for a in "xyz"]
-    d = patch.join(patch.groupBy(key).agg(*mean), key)
+    d = attach(patch, patch.groupBy(key).agg(*mean), [key], ["fid"])
     s = F.lit(float(scale))
     new = {f"{p}{a}": (F.col(f"{p}{a}") - F.col(f"_c{a}")) / s for p in "pqrm" for a in "xyz"}
     return d.withColumns(new).select(*patch.columns)
@@ -138,7 +139,7 @@ def view_axes(axes: DataFrame, mean_normals: DataFrame, keys: list[str]) -> Data
 
 def project_corners(geom: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
     """u, v of every corner on two axes (t, s) and centroid depth on the third (w)."""
-    d = geom.join(axes, keys)
+    d = attach(geom, axes, keys, ["fid"])
     new = {}
     for p in "pqr":
         new[f"u_{p}"] = Vec.cols(p).dot(Vec.cols("t"))

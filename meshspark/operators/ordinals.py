@@ -21,6 +21,34 @@ def row_ordinal(df: DataFrame, keys: list[str], bucket: Column, order: list, nam
         .select(*df.columns, (F.col("_rn") + F.col("_off")).alias(name))
 
 
+def attach(df: DataFrame, per_group: DataFrame, keys: list[str], spread: list[str], salts: int = 16) -> DataFrame:
+    """Join one-row-per-group values back to the rows of the group.
+
+    The rows of a group are spread over ``salts`` join keys by a hash of ``spread`` (row id columns) and the small side
+    is repeated as often, so a group with a third of all rows does not end in one task.
+    """
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).alias("_salt")
+    small = per_group.select("*", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])).alias("_salt"))
+    return df.select("*", salt).join(small, [*keys, "_salt"]).drop("_salt")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, buckets: int = 1024) -> DataFrame:
+    """(keys..., median): only the value buckets that hold the middle ranks are sorted."""
+    st = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
+    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    d = attach(df.filter(F.col(value).isNotNull()), st, keys, [value]) \
+        .withColumn("_bk", F.floor((F.col(value) - F.col("_lo")) / span * buckets))
+    size = d.groupBy(*keys, "_bk").agg(F.count("*").alias("_m"), F.max("_n").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    size = size.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0)))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    mid = size.filter((F.col("_off") < high) & (F.col("_off") + F.col("_m") >= low)).select(*keys, "_bk", "_off")
+    rn = F.row_number().over(Window.partitionBy(*keys, "_bk").orderBy(value))
+    r = d.join(mid, [*keys, "_bk"]).withColumn("_r", rn + F.col("_off"))
+    return r.filter(F.col("_r").between(low, high)).groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
 def with_lookback(df: DataFrame, keys: list[str], bucket: Column, order: list, lookback: int) -> DataFrame:
     """Rows plus, per (group, bucket), copies of the last ``lookback`` rows before the bucket.
 

@@ -12,6 +12,7 @@ from meshspark.functions.hashing import uniform
 from meshspark.functions.labels import INCISORS
 from meshspark.functions.vectors import linspace
 from meshspark.operators import frames as fr
+from meshspark.operators.ordinals import attach
 from meshspark.operators.graph import choose_component, grow_coverage, set_components
 from meshspark.operators.spatial import any_within, in_boxes
 from meshspark.session import cut_lineage
@@ -143,7 +144,7 @@ def dilate_teeth(geom: DataFrame, margin: float = 1.5) -> DataFrame:
 def whole_tooth_stages(patches: DataFrame, geom: DataFrame, margin: float = 1.5) -> DataFrame:
     """Cumulative union of dilated teeth in seed order: (patch_id, arch_id, fid, stage)."""
     visits = seed_order(patches, present_labels(geom)).select("patch_id", "arch_id", "tooth", F.col("step").alias("stage"))
-    return first_stage(visits.join(dilate_teeth(geom, margin), ["arch_id", "tooth"]))
+    return first_stage(attach(dilate_teeth(geom, margin), visits, ["arch_id", "tooth"], ["fid"]))
 
 
 def dilate_set(members: DataFrame, geom: DataFrame, margin: float) -> DataFrame:
@@ -189,7 +190,7 @@ def sample_stage(stages: DataFrame, seed: str, power: float = 2.5) -> DataFrame:
     """Faces of one sampled stage per patch: rows with stage <= the drawn one."""
     n = stages.groupBy("patch_id").agg((F.max("stage") + 1).alias("n_stages"))
     pick = n.select("patch_id", stage_index(uniform(f"{seed}/stage", "patch_id"), F.col("n_stages"), power).alias("picked"))
-    return stages.join(pick, "patch_id").filter(F.col("stage") <= F.col("picked")).drop("picked")
+    return attach(stages, pick, ["patch_id"], ["fid"]).filter(F.col("stage") <= F.col("picked")).drop("picked")
 
 
 def choose_mode(patches: DataFrame, present: DataFrame, seed: str, whole_tooth_prob: float = 0.0,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshspark.functions.hashing import uniform
 from meshspark.functions.vectors import Vec
-from meshspark.operators.ordinals import row_ordinal, take_smallest
+from meshspark.operators.ordinals import attach, row_ordinal, take_smallest
 from meshspark.session import cut_lineage
 
 MAX_FACES = 20_000  # fixed value: default face cap of a patch
@@ -32,18 +32,21 @@ def thin_faces(faces: DataFrame, low: float = 0.7, high: float = 1.0, min_faces:
     n = faces.groupBy(key).agg(F.count("*").alias("_n"))
     rate = F.lit(low) + F.lit(high - low) * uniform(f"{seed}/rate", key)
     keep = (F.col("_n") < min_faces) | (rate >= 0.999) | (uniform(seed, key, "fid") < rate)
-    return faces.join(n, key).filter(keep).select(*faces.columns)
+    return attach(faces, n, [key], ["fid"]).filter(keep).select(*faces.columns)
 
 
 def spatial_split(faces: DataFrame, position: Column, n_splits: int, key: str = "mesh_id", ident: str = "fid",
-                  bucket_width: float = 1.0) -> DataFrame:
+                  bucket_width: float = 1.0, tie_bucket: Column | None = None) -> DataFrame:
     """Adds ``piece`` 0..n-1: near-equal runs along ``position`` (the first runs take the remainder).
 
-    Ranks come from per-bucket counts, so a huge chunk is never sorted as one group.
+    Ranks come from per-bucket counts, so a huge chunk is never sorted as one group. Where many faces share a position,
+    ``tie_bucket`` (monotone in ``ident``) splits them further.
     """
     d = faces.withColumn("_pos", position)
-    ranked = row_ordinal(d, [key], F.floor(F.col("_pos") / F.lit(float(bucket_width))), ["_pos", ident], "_rk")
-    sized = ranked.join(d.groupBy(key).agg(F.count("*").alias("_n")), key)
+    run = F.col("_pos") if tie_bucket is not None else F.floor(F.col("_pos") / F.lit(float(bucket_width)))
+    bucket = F.struct(run.alias("p"), tie_bucket.alias("t")) if tie_bucket is not None else run
+    ranked = row_ordinal(d, [key], bucket, ["_pos", ident], "_rk")
+    sized = attach(ranked, d.groupBy(key).agg(F.count("*").alias("_n")), [key], ["_rk"])
     q, r, i = F.floor(F.col("_n") / n_splits), F.col("_n") % n_splits, F.col("_rk") - 1
     long_part = r * (q + 1)
     piece = F.when(i < long_part, F.floor(i / (q + 1))).otherwise(r + F.floor((i - long_part) / F.greatest(q, F.lit(1))))
@@ -85,7 +88,7 @@ def farthest_points(points: DataFrame, n: int, group: str = "cloud", pid: str =
         return here.minus(Vec(c["x"], c["y"], c["z"])).sq()
 
     for _ in range(n - 1):
-        j = pool.join(chosen, "g").filter(~F.exists("c", lambda c: c["i"] == F.col("i")))
+        j = attach(pool, chosen, ["g"], ["i"]).filter(~F.exists("c", lambda c: c["i"] == F.col("i")))
         dist = F.array_min(F.transform("c", gap))
         best = j.groupBy("g").agg(F.max(F.struct(dist.alias("d"), (-F.col("i")).alias("o"), "x", "y", "z")).alias("b"))
         nxt = best.select("g", F.struct((-F.col("b.o")).alias("i"), "b.x", "b.y", "b.z").alias("s"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshspark.functions.vectors import Vec
+from meshspark.session import cut_lineage
 
 AXES = "xyz"
 
@@ -129,7 +130,9 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: s
             F.least(F.col("_l") + 1, F.lit(cap_level)))
     else:
         search = F.when(F.col("_l").isNull(), F.lit(top)).otherwise(F.least(F.col("_l") + 1, F.lit(levels - 1)))
-    located = located.withColumn("_lv", search)
+    # written once: which levels occur (a handful of integers) decides how often a point has to be offered
+    located = cut_lineage(located.withColumn("_lv", search.cast("int")).drop("_hx", "_hy", "_hz", "_l", "_reach"))
+    in_use = sorted(r[0] for r in located.select("_lv").distinct().collect())
     edge = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_lv"))
     keyed = located
     for a in AXES:
@@ -146,13 +149,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: s
     keyed = keyed.filter((F.col("_lv") == top) | touches) \
         .select("_g", "_qid", *AXES, "_r", "_lv", "_cx", "_cy", "_cz")
 
-    plv = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_lv")
+    plv = F.explode(F.array(*[F.lit(i) for i in in_use or [top]])).alias("_lv")
     spread = p.select("_g", "_pid", *[F.col(a).alias("p" + a) for a in AXES], *_cells("_b", cell), plv) \
         .select("_g", "_pid", "px", "py", "pz", "_lv",
                 *[F.when(F.col("_lv") == top, F.lit(0).cast("bigint"))
                   .otherwise(F.expr(f"shiftright(_b{a}, _lv)")).alias(f"_c{a}") for a in AXES])
-    used = keyed.select("_g", "_lv", "_cx", "_cy", "_cz").distinct()
-    spread = spread.join(used, ["_g", "_lv", "_cx", "_cy", "_cz"], "left_semi")
     d2 = Vec.cols("").minus(Vec.cols("p")).sq()
     pairs = keyed.join(spread, ["_g", "_lv", "_cx", "_cy", "_cz"]).withColumn("d2", d2) \
         .filter(F.col("_r").isNull() | (F.col("d2") <= F.col("_r") * F.col("_r") * F.lit(1.0 + 1e-9)))
@@ -171,7 +172,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: s
                          F.col("_pid").alias(pid), F.sqrt("d2").alias("dist"))
 
 
-def nearest_features(queries: DataFrame, points: DataFrame, k: int, cell: float, feature: str = "feat",
+def nearest_features(queries: DataFrame, points: DataFrame, k: int, cell: float, dim: int, feature: str = "feat",
                      group: str = "cloud", qid: str = "qid", pid: str = "pid") -> DataFrame:
     """k nearest in a wide feature space, self excluded: filter on the (x, y, z) part, refine on all dimensions.
 
@@ -181,19 +182,20 @@ def nearest_features(queries: DataFrame, points: DataFrame, k: int, cell: float,
     first = nearest(queries, points, k, cell, group, qid, pid, exclude_self=True)
     fq = queries.select(F.col(group), F.col(qid), F.col(feature).alias("_fq"))
     fp = points.select(F.col(group), F.col(pid), F.col(feature).alias("_fp"))
-    full = F.sqrt(F.aggregate(F.zip_with("_fq", "_fp", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                              lambda s, v: s + v))
+    # spelled out per dimension: unlike a higher-order function this is compiled with the rest of the stage
+    terms = [F.col("_fq")[i] - F.col("_fp")[i] for i in range(dim)]
+    full = F.sqrt(sum((t * t for t in terms[1:]), terms[0] * terms[0]))
     bound = first.join(fq, [group, qid]).join(fp, [group, pid]).withColumn("_d", full) \
         .groupBy(group, qid).agg(F.max("_d").alias("_r"), F.count("*").alias("_k"))
     q = queries.join(bound, [group, qid])
     step = F.greatest(F.ceil(F.log2(F.greatest("_r", F.lit(float(cell))) / F.lit(float(cell)))), F.lit(0))
-    located = q.withColumn("_lv", step.cast("int"))
+    located = cut_lineage(q.withColumn("_lv", step.cast("int")))
+    in_use = sorted(r[0] for r in located.select("_lv").distinct().collect())
     edge = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_lv"))
     for a in AXES:
         located = located.withColumn(f"_c{a}", F.explode(F.sequence(
             F.floor((F.col(a) - F.col("_r")) / edge), F.floor((F.col(a) + F.col("_r")) / edge))))
-    used = located.select(group, "_lv").distinct()
-    spread = points.join(used, group).select(
+    spread = points.withColumn("_lv", F.explode(F.array(*[F.lit(i) for i in in_use or [0]]))).select(
         group, pid, "_lv", *[F.col(a).alias("p" + a) for a in AXES], F.col(feature).alias("_fp"),
         *[F.floor(F.col(a) / edge).alias(f"_c{a}") for a in AXES])
     near = Vec.cols("").minus(Vec.cols("p")).sq() <= F.col("_r") * F.col("_r") * F.lit(1.0 + 1e-9)

@@ -12,27 +12,25 @@ def stem(path_col) -> F.col:
     return F.regexp_extract(path_col, r"([^/]+)\.[^./]+$", 1)
 
 
-def read_mesh_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Vertex and face lines of every .obj below a folder: (arch_id, line_no, kind, f)."""
+def read_meshes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of all .obj files below a folder; ids are 0-based file order, faces keep the vertex index only.
+
+    The position inside the filtered line array is the id, so no sort or shuffle is needed to number the lines.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.obj").option("recursiveFileLookup", True) \
         .load(folder).select(stem(F.col("path")).alias("arch_id"), F.decode("content", "UTF-8").alias("text"))
-    lines = raw.select("arch_id", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    parts = F.split(F.trim("line"), r"\s+")
-    return lines.select("arch_id", "line_no", parts[0].alias("kind"), F.slice(parts, 2, 32).alias("f")) \
-        .filter(F.col("kind").isin("v", "f"))
-
-
-def read_meshes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of all meshes; ids are 0-based file order, faces keep only the vertex index."""
-    from pyspark.sql import Window
-    lines = read_mesh_lines(spark, folder)
-    w = Window.partitionBy("arch_id", "kind").orderBy("line_no")  # one file's lines: bounded by the file read
-    numbered = lines.withColumn("n", (F.row_number().over(w) - 1).cast("bigint"))
-    v = numbered.filter("kind = 'v'").select(
-        "arch_id", F.col("n").alias("vid"), *[F.col("f")[i].cast("double").alias(a) for i, a in enumerate("xyz")],
-        *[F.try_element_at("f", F.lit(4 + i)).cast("double").alias(c) for i, c in enumerate("rgb")])
-    at = lambda i: (F.split(F.col("f")[i], "/")[0].cast("bigint") - 1).alias(f"v{i}")
-    f = numbered.filter("kind = 'f'").select("arch_id", F.col("n").alias("fid"), at(0), at(1), at(2))
+    lines = F.split("text", r"\r?\n")
+
+    def numbered(prefix: str, ident: str):
+        own = F.filter(lines, lambda l: F.ltrim(l).startswith(prefix))
+        d = raw.select("arch_id", F.posexplode(own).alias(ident, "line"))
+        return d.select("arch_id", F.col(ident).cast("bigint").alias(ident), F.split(F.trim("line"), r"\s+").alias("f"))
+
+    v = numbered("v ", "vid").select(
+        "arch_id", "vid", *[F.col("f")[1 + i].cast("double").alias(a) for i, a in enumerate("xyz")],
+        *[F.try_element_at("f", F.lit(5 + i)).cast("double").alias(c) for i, c in enumerate("rgb")])
+    at = lambda i: (F.split(F.col("f")[1 + i], "/")[0].cast("bigint") - 1).alias(f"v{i}")
+    f = numbered("f ", "fid").select("arch_id", "fid", at(0), at(1), at(2))
     return v, f
 
 

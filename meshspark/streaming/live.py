@@ -198,6 +198,11 @@ def throughput(stream: DataFrame, period: str, late: str = "1 hour") -> DataFram
         .agg(F.count("*").alias("n_frames"), F.sum("bytes").alias("bytes"))
 
 
+_KEPT = ("run_id bigint, mesh_id bigint, fid bigint, "
+         + ", ".join(f"{p}{a} double" for p in ("m", "p", "q", "r") for a in "xyz") + ", area double, vx bigint, vy bigint, vz bigint")
+_SIGNATURE = "run_id bigint, mesh_id bigint, vertex_count bigint, face_count bigint"
+
+
 class FoldOnce:
     """foreachBatch body: each chunk enters the accumulated mesh exactly once.
 
@@ -211,16 +216,16 @@ class FoldOnce:
         self.path, self.density, self.retention = path, density, retention
         self.voxel = voxel or voxel_size(density)
 
-    def _before(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
+    def _before(self, spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame | None:
         from meshspark.sources.cache import table_exists
         if not table_exists(spark, f"{self.path}/{name}"):
             return None
-        return spark.read.parquet(f"{self.path}/{name}").filter(F.col("batch_id") < batch_id)
+        return spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{self.path}/{name}").filter(F.col("batch_id") < batch_id)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         target = f"{self.path}/{name}/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(target)
-        return df.sparkSession.read.parquet(target)
+        df.write.mode("overwrite").partitionBy("run_id").parquet(target)  # history reads prune to the runs at hand
+        return df.sparkSession.read.schema(df.schema).parquet(target).select(*df.columns)
 
     def __call__(self, frames: DataFrame, batch_id: int) -> None:
         """frames: (run_id, header, blob) of mesh frames."""
@@ -230,7 +235,7 @@ class FoldOnce:
         spark = frames.sparkSession
         parsed = fr.length_ok(fr.of_type(fr.parse_headers(frames), "mesh")).filter("length_ok and face_count > 0 and vertex_count > 0")
         newest = latest_frame(parsed, ["run_id", "mesh_id"])
-        seen = self._before(spark, "signatures", batch_id)
+        seen = self._before(spark, "signatures", _SIGNATURE, batch_id)
         if seen is not None:
             last = seen.groupBy("run_id", "mesh_id").agg(F.max_by(F.struct("vertex_count", "face_count"), "batch_id").alias("s")) \
                 .select("run_id", "mesh_id", "s.*")
@@ -246,7 +251,7 @@ class FoldOnce:
             F.split("arch_id", "/")[0].cast("bigint").alias("run_id"), F.split("arch_id", "/")[1].cast("bigint").alias("mesh_id"),
             "fid", "mx", "my", "mz", "area", *[p + a for p in "pqr" for a in "xyz"], *cell_key("m", self.voxel))
         won = claim(g, ["run_id", "vx", "vy", "vz"], ["mesh_id", "fid"])
-        held = self._before(spark, "accumulated", batch_id)
+        held = self._before(spark, "accumulated", _KEPT, batch_id)
         if held is not None:
             won = won.join(held.select("run_id", "vx", "vy", "vz"), ["run_id", "vx", "vy", "vz"], "left_anti")
         self._write(won, "accumulated", batch_id)
@@ -256,7 +261,7 @@ class FoldOnce:
         """All kept faces, cut to the retention ceiling per run where one is set."""
         from meshspark.functions.hashing import uniform
         from meshspark.operators.ordinals import take_smallest
-        d = spark.read.parquet(f"{self.path}/accumulated")
+        d = spark.read.schema(f"{_KEPT}, batch_id bigint").parquet(f"{self.path}/accumulated")
         if self.retention is None:
             return d
         return take_smallest(d, ["run_id"], uniform("keep", "run_id", "mesh_id", "fid"), ["mesh_id", "fid"], self.retention)
