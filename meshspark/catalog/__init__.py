@@ -4,7 +4,7 @@ import importlib
 
 from meshspark.catalog.registry import ORACLES, QUERIES
 
-for _name in ("mesh", "frames", "patches", "points", "features", "evaluation", "temporal", "colours", "streams", "jobs"):
+for _name in ("mesh", "frames", "patches", "points", "features", "evaluation", "temporal", "colours", "streams", "jobs", "extra"):
     importlib.import_module(f"meshspark.catalog.{_name}")
 
 __all__ = ["QUERIES", "ORACLES"]

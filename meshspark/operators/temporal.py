@@ -199,3 +199,46 @@ def label_positions(counts: DataFrame, arch: str | None) -> DataFrame:
         return counts.filter(F.lit(False)).select("run_id", "cycle", "label", "cx", "cy", "cz", F.lit("").alias("text"))
     return counts.filter("label <> 0").select("run_id", "cycle", "label", "cx", "cy", "cz",
                                               label_text(F.col("label"), arch).alias("text"))
+
+
+def sessions(frames: DataFrame, is_reset: Column, bucket_size: int = 4096) -> DataFrame:
+    """Adds ``session``: the number of coordinate-frame resets of the run up to and including the frame.
+
+    (run_id, session) is the state key of everything that a reset clears. Running sums per bucket of ``seq``.
+    """
+    d = frames.withColumn("_r", is_reset.cast("bigint")).withColumn("_bk", F.floor(F.col("seq") / bucket_size))
+    tot = d.groupBy("run_id", "_bk").agg(F.sum("_r").alias("_t"))
+    w = Window.partitionBy("run_id").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select("run_id", "_bk", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("run_id", "_bk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("_in", F.sum("_r").over(inner)).join(tot, ["run_id", "_bk"]) \
+        .select(*frames.columns, (F.col("_base") + F.col("_in")).alias("session"))
+
+
+def grow_only_fit(per_cycle: DataFrame, margin: float = 1.7) -> DataFrame:
+    """View box per run and cycle: kept while everything seen so far fits, else refitted with a margin.
+
+    per_cycle: one row of bounds per (run_id, cycle); the fold runs over a run's own cycles.
+    """
+    axes = "xyz"
+    b = F.struct("cycle", *[f"{m}_{a}" for a in axes for m in ("min", "max")])
+    runs = per_cycle.groupBy("run_id").agg(F.array_sort(F.collect_list(b)).alias("_s"))
+    fields = ", ".join(f"{n}_{a}:double" for a in axes for n in ("lo", "hi", "min", "max"))
+    start = F.expr(f"cast(array() as array<struct<cycle:bigint,refit:boolean,{fields}>>)")
+
+    def step(acc, e):
+        p = F.get(acc, F.size(acc) - 1)
+        lo = {a: F.least(p[f"min_{a}"], e[f"min_{a}"]) for a in axes}
+        hi = {a: F.greatest(p[f"max_{a}"], e[f"max_{a}"]) for a in axes}
+        fits = F.size(acc) > 0
+        for a in axes:
+            fits = fits & (lo[a] >= p[f"lo_{a}"]) & (hi[a] <= p[f"hi_{a}"])
+        cols = [e["cycle"].alias("cycle"), (~fits).alias("refit")]
+        for a in axes:
+            mid, half = (lo[a] + hi[a]) / 2.0, F.greatest((hi[a] - lo[a]) / 2.0, F.lit(1e-3)) * margin
+            cols += [F.when(fits, p[f"lo_{a}"]).otherwise(mid - half).alias(f"lo_{a}"),
+                     F.when(fits, p[f"hi_{a}"]).otherwise(mid + half).alias(f"hi_{a}"),
+                     lo[a].alias(f"min_{a}"), hi[a].alias(f"max_{a}")]
+        return F.concat(acc, F.array(F.struct(*cols)))
+
+    return runs.select("run_id", F.explode(F.aggregate("_s", start, step)).alias("e")).select("run_id", "e.*")

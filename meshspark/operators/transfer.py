@@ -43,3 +43,8 @@ def fill_missing_colour(faces: DataFrame, value: Column, cell: float, default, g
     own = d.filter("not _missing").withColumn("_near", F.col("_own"))
     lent = d.filter("_missing").join(nn, [group, "x", "y", "z"], "left").select(*own.columns)
     return own.unionByName(lent).select(*faces.columns, F.coalesce("_near", F.lit(default)).alias("filled"))
+
+
+def transfer_vertex_colours(reduced: DataFrame, original: DataFrame, cell: float, group: str = "arch_id") -> DataFrame:
+    """Colours of reduced vertices from the nearest original vertex. Both: (group, vid, x, y, z, ...)."""
+    return transfer_nearest(reduced, original.withColumnRenamed("vid", "sid"), ["r", "g", "b"], cell, group, "vid", "sid")

@@ -23,6 +23,7 @@ def build_session(app: str = "meshspark", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for k, v in settings.items():
