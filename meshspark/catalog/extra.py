@@ -8,7 +8,8 @@ from meshspark import fixtures
 from meshspark.catalog.common import lattice_geometry, longs, out
 from meshspark.catalog.patches import ADJ, DRAWS, FACIAL, GEOM, SIZE, SWEEP, _mesh
 from meshspark.catalog.registry import query
-from meshspark.catalog.sqlviews import COUNTS, FACES, OBS, V3, cols6, r6
+from meshspark.catalog.evaluation import class_sql
+from meshspark.catalog.sqlviews import COUNTS, FACES, OBS, SCORED, V3, cols6, r6
 from meshspark.catalog.temporal import CYC, MIN, NEW, OLD, STREAK, _SEQ
 from meshspark.functions import sqlfunctions
 from meshspark.functions.hashing import content_seed
@@ -138,7 +139,7 @@ def job_colour_report(spark, sf):
     return jobs.colour_report(o)[2].select("run_id", "n", "n_missing")
 
 
-@query("job_prediction_report", None)
+@query("job_prediction_report", f"WITH {SCORED}, c AS ({class_sql('sc', 'patch_id')}), a AS (SELECT patch_id, sum(area_mm2) AS area_mm2 FROM sc GROUP BY patch_id) SELECT patch_id, {r6('avg(tp/(tp+fp+fn))')} AS macro_iou, {r6('sum(tp)/sum(tp+fn)')} AS acc, CAST(sum(tp+fn) AS BIGINT) AS n_faces, {r6('any_value(area_mm2)')} AS area_mm2 FROM c JOIN a USING (patch_id) GROUP BY patch_id")
 def job_prediction_report(spark, sf):
     s = fixtures.scored(spark, sf).withColumn("area", F.col("area_mm2"))
     return out(jobs.prediction_report(s), ["patch_id", "n_faces"], ["macro_iou", "acc", "area_mm2"])

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,7 +31,33 @@ def build_session(app: str = "meshspark", master: str | None = None, **conf) ->
     }
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the application, once per application.
+
+    Functions also travel by value: the driver-side helper of stateful streams does not see added files.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "meshspark.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+    _shipped.add(app)
 
 
 def _is_local(spark: SparkSession) -> bool:
