@@ -187,7 +187,7 @@ def guide(rows: DataFrame, **kw) -> DataFrame:
 
 def guide_batch(rows: DataFrame, **kw) -> DataFrame:
     """The same over stored cycles; a run contributes at most 16 rows per cycle."""
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_guide_cycles(gd.new_run(), key[0], pdf, kw), columns=COLUMNS)
     return rows.groupBy("run_id").applyInPandas(one, gd.GUIDANCE_SCHEMA)
 
