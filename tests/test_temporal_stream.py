@@ -87,3 +87,12 @@ def test_macro_iou_counts_predicted_only_classes_as_zero(spark):
     d = spark.createDataFrame([(0, 0), (0, 0), (0, 2)], "gt bigint, pred bigint")
     r = metrics.scores(metrics.confusion(d, []), []).first()
     assert abs(r.macro_iou - (2 / 3 + 0) / 2) < 1e-9
+
+
+def test_gum_smoothing_blends_near_faces_only(spark):
+    s = "run_id bigint, fid bigint, x double, y double, z double, r bigint, g bigint, b bigint"
+    one = live.smooth_gum(spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 200, 100, 100), (0, 2, 9.0, 0.0, 0.0, 100, 100, 100)], s), None)
+    assert {r.fid: r.score for r in one.collect()} == {1: 1.0, 2: 0.0}
+    two = live.smooth_gum(spark.createDataFrame([(0, 5, 0.4, 0.0, 0.0, 100, 100, 100), (0, 6, 30.0, 0.0, 0.0, 200, 100, 100)], s), one)
+    got = {r.fid: (round(r.score, 9), r.is_gum) for r in two.collect()}
+    assert got == {5: (0.7, True), 6: (1.0, True)}
