@@ -67,7 +67,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches, limit: int = 8 << 20, column: str = "text"):
+def sliced(batches, limit: int = 1 << 20, column: str = "text"):
     """Record batches cut so that each holds about ``limit`` text bytes or a single row."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -82,20 +82,16 @@ def sliced(batches, limit: int = 8 << 20, column: str = "text"):
             at = to
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_SPACE] = 0
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LONG_WORD = 256
-_POWER = np.cumprod(np.full(_LONG_WORD, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of all rows: start, end (byte positions) and row of each."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     before = np.empty(len(data), bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -121,16 +117,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every batch; words of 256 bytes or more go through BLAKE2."""
+    """A 64-bit hash of each word, the same in every batch: eight bytes a step; words of 256 bytes or more go through BLAKE2."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     import hashlib
-    place = np.arange(len(data), dtype=np.int64)
-    at = np.cumsum(np.bincount(starts, minlength=len(data))) - 1
-    place -= starts[np.maximum(at, 0)]
-    np.clip(place, 0, _LONG_WORD - 1, out=place)
-    h = mixed(np.add.reduceat(_BYTE[data] * _POWER[place], starts))
-    for i in np.flatnonzero(ends - starts >= _LONG_WORD):
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    size = ends - starts
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live, at, left = np.arange(len(starts)), starts, size
+    while len(live):
+        part = eight[at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        h[live] = mixed((h[live] ^ part) * np.uint64(0xD6E8FEB86659FD93))
+        more = (left > 8) & (size[live] < _LONG_WORD)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size >= _LONG_WORD):
         h[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
     return h
 
