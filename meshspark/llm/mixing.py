@@ -83,7 +83,7 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, share: float = 1.5,
     new = ["size", "source_size", "target", "taken", "position", "passes"]
     d = docs.drop(*new)
     columns = d.columns
-    bits = max(4, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET)))
+    bits = max(7, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET)))
     d = d.withColumn("_h", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))) \
         .withColumn("_size", text_size() if size is None else size).withColumn("_tie", F.xxhash64("text")) \
         .withColumn("_bucket", F.shiftright(F.coalesce(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.lit(0)), 32 - bits)) \
