@@ -51,5 +51,5 @@ def test_lines_go_first(spark):
     rows = [(1, good + "\n" + menu + "\nReleased under the MIT License.", 1), (2, "\n".join([menu] * 9 + [good]), 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in cleaning.clean(docs).collect()}
-    assert got[1].text == good and got[1].n_chars == len(good) and list(got) == [1, 2]
+    assert got[1].text == good and got[1].n_chars == len(good) and list(got) == [1]
     assert cleaning.line_verdict("A B C *** $$$ !!", 6) == "punctuation" and cleaning.line_verdict("A plain line.", 3) == ""
