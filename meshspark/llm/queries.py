@@ -4,7 +4,7 @@ import importlib
 
 from meshspark.llm.shared import ORACLES, QUERIES
 
-for _name in ("mixing", "cleaning", "secrets", "chat", "tokens", "simhash", "nbsvm"):
+for _name in ("mixing", "cleaning", "secrets", "chat", "tokens", "simhash", "nbsvm", "surrogates"):
     importlib.import_module(f"meshspark.llm.{_name}")
 
 __all__ = ["QUERIES", "ORACLES"]
