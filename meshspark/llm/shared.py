@@ -87,11 +87,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LONG_WORD = 256
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of all rows: start, end (byte positions) and row of each."""
+def words_of(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (by default [^\\x20\\x09-\\x0D]+) of all rows: start, end (byte positions) and row of each."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~breaks[data]
     before = np.empty(len(data), bool)
     before[0] = False
     before[1:] = inside[:-1]
