@@ -16,31 +16,30 @@ from meshspark.streaming import live
 
 @query("stream_claim", ORACLES["claim_voxels"])
 def stream_claim(spark, sf):
-    schema = fixtures.table(spark, sf, "lineitem").schema
-    li = live.file_stream(spark, sf, "lineitem.parquet", schema)
+    li = live.file_stream(spark, f"{sf}/lineitem.parquet", fixtures.table(spark, sf, "lineitem").schema)
     s = li.select(F.lit(0).cast("bigint").alias("run_id"), F.floor("l_quantity").alias("vx"),
                   F.floor(F.col("l_discount") * 100 + 0.5).alias("vy"), F.floor(F.col("l_tax") * 100 + 0.5).alias("vz"),
                   F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").cast("bigint").alias("line"),
                   F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"))
     won = live.claim_voxels(s, ["vx", "vy", "vz"], ["chunk", "line", "part", "supp", "price"])
-    return live.run_to_table(won, scratch_path(spark, "claim")).select("vx", "vy", "vz", "chunk", "line", "part")
+    table = live.run_to_table(won, scratch_path(spark, "claim"), "update")
+    return live.newest_update(table, ["run_id", "vx", "vy", "vz"]).select("vx", "vy", "vz", "chunk", "line", "part")
 
 
 def _cycle_stream(spark, sf, columns):
-    """Stored cycles as a stream, one file per range of cycles."""
+    """Stored cycles as a stream and as a table; rows of a cycle may fall into several files and batches."""
     path = scratch_path(spark, "cycles")
     f = fixtures.frames(spark, sf)
     here = f.groupBy("run_id", "cycle").agg(*[F.avg(f"c{a}").alias(f"h{a}") for a in "xyz"])
     d = fixtures.cycle_counts(spark, sf).join(here, ["run_id", "cycle"]).select(*columns)
     d.write.parquet(path)
-    return live.file_stream(spark, path, "*.parquet", spark.read.parquet(path).schema, 1000), spark.read.parquet(path)
+    return live.file_stream(spark, path, spark.read.parquet(path).schema), spark.read.parquet(path)
 
 
 @query("stream_confirm", f"WITH {COUNTS}, {STREAK} SELECT run_id, label, confirmed_cycle FROM fc")
 def stream_confirm(spark, sf):
     s, _ = _cycle_stream(spark, sf, ["run_id", "cycle", "label", "n"])
-    return live.run_to_table(live.confirm_labels(s, MIN, CYC), scratch_path(spark, "confirm")) \
-        .select("run_id", "label", "confirmed_cycle")
+    return live.confirmed(live.run_to_table(live.confirm_labels(s, MIN, CYC), scratch_path(spark, "confirm"), "update"))
 
 
 CYCLE_COLS = ["run_id", "cycle", "label", "n", "cx", "cy", "cz", "hx", "hy", "hz"]
@@ -50,7 +49,7 @@ KW = dict(min_faces=MIN, cycles=CYC, near_mm=12.0, min_move_mm=0.5, return_mm=6.
 @query("stream_waypoints")
 def stream_waypoints(spark, sf):
     s, _ = _cycle_stream(spark, sf, CYCLE_COLS)
-    return live.run_to_table(live.guide(s, **KW), scratch_path(spark, "guide")).drop("batch_id")
+    return live.guided(live.run_to_table(live.guide(s, **KW), scratch_path(spark, "guide"), "update"))
 
 
 @query("guidance_replay")
@@ -61,8 +60,7 @@ def guidance_replay(spark, sf):
 
 @query("stream_throughput", ORACLES["frame_throughput"])
 def stream_throughput(spark, sf):
-    schema = fixtures.table(spark, sf, "events").schema
-    ev = live.file_stream(spark, sf, "events.parquet", schema)
+    ev = live.file_stream(spark, f"{sf}/events.parquet", fixtures.table(spark, sf, "events").schema)
     s = ev.select(F.expr("(user_id div 16) % 4").alias("run_id"), F.col("event_type").alias("frame_type"),
                   F.col("ts").cast("timestamp").alias("ts"), ((F.floor(F.col("value") * 10) + 1) * 12).alias("bytes"))
     t = live.run_to_table(live.throughput(s, "1 day"), scratch_path(spark, "rate"), "update")
@@ -136,7 +134,7 @@ def stream_fold_once(spark, sf):
     frames = fr.encode(_row_chunks(spark, sf)).withColumn("run_id", F.lit(0).cast("bigint"))
     frames.write.parquet(path)
     fold = live.FoldOnce(out, density=0.6, voxel=0.4)
-    s = live.file_stream(spark, path, "*.parquet", spark.read.parquet(path).schema, 1000)
+    s = live.file_stream(spark, path, spark.read.parquet(path).schema)
     q = s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(fold).start()
     q.awaitTermination()
     fold(spark.read.parquet(path), 1_000_000)

@@ -6,10 +6,12 @@ by run on rows that are already aggregated per cycle.
 
 from __future__ import annotations
 
+import copy
 import json
 from typing import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,9 +21,10 @@ from meshspark.streaming import guidance as gd
 FRAME_TYPES = ("mesh", "scan_control", "status", "error")
 
 
-def file_stream(spark: SparkSession, folder: str, glob: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch) \
-        .parquet(folder)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
+    """Stream of a Parquet table, be it one file or a folder of part files. No operator here depends on how the rows
+    fall into files or batches."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(path)
 
 
 def route(frames: DataFrame, type_col: str = "type") -> dict[str, DataFrame]:
@@ -29,10 +32,12 @@ def route(frames: DataFrame, type_col: str = "type") -> dict[str, DataFrame]:
     return {t: frames.filter(F.col(type_col) == t) for t in FRAME_TYPES}
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append", each: Callable | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", each: Callable | None = None,
+                 losses: Callable[[int], None] | None = None) -> DataFrame:
     """Run a stream over everything available and append each micro-batch to a table under the shared folder.
 
-    A batch overwrites its own folder, so a retried batch leaves the same rows.
+    A batch overwrites its own folder, so a retried batch leaves the same rows. ``losses`` is told how many rows came later than
+    a watermark allows; without it such rows are an error, never silent.
     """
     spark = stream.sparkSession
 
@@ -43,6 +48,11 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append", each: Calla
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint") \
         .trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
+    late = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in json.loads(p.json)["stateOperators"])
+    if losses is not None:
+        losses(late)
+    elif late:
+        raise ValueError(f"{late} rows came later than the watermark allows")
     return spark.read.parquet(f"{path}/data")
 
 
@@ -57,42 +67,48 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class _ClaimBlock(StatefulProcessor):
-    """First observation per voxel of one block; claimed voxels stay claimed."""
+    """Winning observation per voxel of one block, as one Arrow table: one read and one write per block and batch."""
 
     def __init__(self, run: str, voxel: list[str], order: list[str], columns: list[str]):
         self.run, self.voxel, self.order, self.columns = run, voxel, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.claimed = handle.getMapState("claimed", ", ".join(f"{c} bigint" for c in self.voxel), "n int")
+        self.held = handle.getValueState("held", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([r.sort_values(self.order).drop_duplicates(self.voxel) for r in rows], ignore_index=True)
-        pdf = pdf.sort_values(self.order).drop_duplicates(self.voxel)
-        fresh = []
-        for v in pdf[self.voxel].itertuples(index=False):
-            k = tuple(int(c) for c in v)
-            new = not self.claimed.containsKey(k)
-            fresh.append(new)
-            if new:
-                self.claimed.updateValue(k, (1,))
-        yield pdf[fresh].assign(**{self.run: key[0]})[self.columns]  # the grouping columns come with the key only
+        own = [*self.voxel, *self.order]
+        kept = [c for c in self.columns if c != self.run]  # the grouping columns come with the key only
+        pdf = pd.concat(list(rows), ignore_index=True)[kept].assign(_new=True)
+        if self.held.exists():
+            before = pa.ipc.open_stream(self.held.get()[0]).read_pandas().assign(_new=False)
+            pdf = pd.concat([before, pdf], ignore_index=True)
+        won = pdf.sort_values([*own, "_new"], kind="stable").drop_duplicates(self.voxel)
+        fresh = won[won["_new"].astype(bool)]
+        if len(fresh):
+            table = pa.Table.from_pandas(won[own], preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            self.held.update((sink.getvalue().to_pybytes(),))
+        yield fresh.drop(columns="_new").assign(**{self.run: key[0]})[self.columns]
 
     def close(self) -> None:
         pass
 
 
 def claim_voxels(stream: DataFrame, voxel: list[str], order: list[str], run: str = "run_id", block: int = 8) -> DataFrame:
-    """First writer wins per voxel for the whole run; inside a batch the lowest order wins.
+    """The observation of lowest order wins each voxel for the whole run, in whatever files and batches rows arrive.
 
-    The state key is (run, block of voxels), so one busy run spreads over the cluster. A changed run id is a fresh
-    coordinate frame and starts without claims.
+    Update mode: a row says that it holds its voxel from now on; the newest row of a voxel counts (``newest_update``). With rows
+    in capture order nothing is ever taken back. The state key is (run, block of voxels), so one busy run spreads over the
+    cluster, and holds at most block**n rows. A changed run id is a fresh coordinate frame and starts without claims.
     """
     use_state_store(stream.sparkSession)
     b = [F.floor(F.col(c) / block).alias(f"_b{i}") for i, c in enumerate(voxel)]
     keyed = stream.select("*", *b)
     return keyed.groupBy(run, *[f"_b{i}" for i in range(len(voxel))]).transformWithStateInPandas(
         statefulProcessor=_ClaimBlock(run, voxel, order, stream.columns), outputStructType=stream.schema,
-        outputMode="Append", timeMode="None")
+        outputMode="Update", timeMode="None")
 
 
 def claim_any(stream: DataFrame, voxel: list[str], run: str = "run_id") -> DataFrame:
@@ -100,27 +116,45 @@ def claim_any(stream: DataFrame, voxel: list[str], run: str = "run_id") -> DataF
     return stream.dropDuplicates([run, *voxel])
 
 
-def first_delivery(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Drop repeated deliveries of a mesh within the watermark."""
+def first_delivery(stream: DataFrame, late: str, ts: str = "ts") -> DataFrame:
+    """Drop repeated deliveries of a mesh within the caller's lateness bound; ``run_to_table`` counts what comes later still."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(["run_id", "mesh_id"])
 
 
-class _Confirm(StatefulProcessor):
-    def __init__(self, min_faces: int, cycles: int):
-        self.min_faces, self.cycles = min_faces, cycles
+class _Cycles(StatefulProcessor):
+    """Cycles of a run in order, however they arrive.
+
+    The state has the run up to the last final cycle and the rows of the open ones. With a horizon, cycles that many behind the
+    newest become final; rows for a final cycle are counted as late. Open cycles are stepped through anew on a copy
+    whenever rows arrive, so the newest output of a key is always that of the rows seen so far.
+    """
+
+    def __init__(self, horizon: int | None):
+        self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", "doc string")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True)
-        run = _load(self.state)
+        doc = _load(self.state)
+        for cycle, g in pdf.groupby("cycle"):
+            if doc["final"] is not None and cycle <= doc["final"]:
+                doc["late"] += len(g)
+                continue
+            held = doc["open"].setdefault(int(cycle), {})
+            held.update({int(r["label"]): r for r in g.drop(columns=["cycle"]).to_dict("records")})
+        order = sorted(doc["open"])
         out = []
-        for cycle, g in pdf.groupby("cycle", sort=True):
-            for label in gd.confirm(run, dict(zip(g["label"], g["n"])), self.min_faces, self.cycles):
-                out.append((key[0], label, cycle))
-        _store(self.state, run)
-        yield pd.DataFrame(out, columns=["run_id", "label", "confirmed_cycle"])
+        if self.horizon is not None and order:
+            for cycle in [c for c in order if c <= order[-1] - self.horizon]:
+                out += self.step(doc["run"], key[0], cycle, doc["open"].pop(cycle))
+                doc["final"] = cycle
+        _store(self.state, doc)
+        run = copy.deepcopy(doc["run"])
+        for cycle in sorted(doc["open"]):
+            out += self.step(run, key[0], cycle, doc["open"][cycle])
+        yield self.frame(run, key[0], out, doc["late"])
 
     def close(self) -> None:
         pass
@@ -128,61 +162,88 @@ class _Confirm(StatefulProcessor):
 
 def _load(state) -> dict:
     if not state.exists():
-        return gd.new_run()
-    run = json.loads(state.get()[0])
+        return {"run": gd.new_run(), "open": {}, "final": None, "late": 0}
+    doc = json.loads(state.get()[0])
     for part in ("streak", "seen_at"):
-        run[part] = {int(k): v for k, v in run[part].items()}
-    return run
+        doc["run"][part] = {int(k): v for k, v in doc["run"][part].items()}
+    doc["open"] = {int(c): {int(k): v for k, v in rows.items()} for c, rows in doc["open"].items()}
+    return doc
 
 
-def _store(state, run: dict) -> None:
-    state.update((json.dumps(run),))
+def _store(state, doc: dict) -> None:
+    state.update((json.dumps(doc, default=float),))
+
+
+class _Confirm(_Cycles):
+    def __init__(self, min_faces: int, cycles: int, horizon: int | None):
+        super().__init__(horizon)
+        self.min_faces, self.cycles = min_faces, cycles
 
+    def step(self, run, run_id, cycle, rows):
+        for label in gd.confirm(run, {k: r["n"] for k, r in rows.items()}, self.min_faces, self.cycles):
+            run.setdefault("confirmed_at", {})[str(label)] = cycle
+        return []
 
-def confirm_labels(counts: DataFrame, min_faces: int, cycles: int) -> DataFrame:
-    """(run_id, label, confirmed_cycle) as labels reach their streak. counts: (run_id, cycle, label, n), a cycle whole
-    in one batch."""
+    def frame(self, run, run_id, out, late):
+        at = run.get("confirmed_at", {})
+        return pd.DataFrame([(run_id, k, at.get(str(k)), late) for k in range(1, 17)],
+                            columns=["run_id", "label", "confirmed_cycle", "late_rows"]).astype({"confirmed_cycle": "Int64"})
+
+
+def confirm_labels(counts: DataFrame, min_faces: int, cycles: int, horizon: int | None = None) -> DataFrame:
+    """(run_id, label, confirmed_cycle, late_rows) for labels 1..16 in update mode; null while a label is not confirmed.
+
+    counts: (run_id, cycle, label, n) in any order and any batches; a repeated (run, cycle, label) replaces the former one.
+    ``horizon`` bounds the state: cycles that many behind a run's newest are closed (None: all stay open).
+    """
     use_state_store(counts.sparkSession)
     return counts.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_Confirm(min_faces, cycles), outputStructType="run_id bigint, label bigint, confirmed_cycle bigint",
-        outputMode="Append", timeMode="None")
+        statefulProcessor=_Confirm(min_faces, cycles, horizon),
+        outputStructType="run_id bigint, label bigint, confirmed_cycle bigint, late_rows bigint", outputMode="Update", timeMode="None")
+
+
+def confirmed(table: DataFrame) -> DataFrame:
+    """Confirmed labels from the table of a ``confirm_labels`` stream."""
+    return newest_update(table, ["run_id", "label"]).filter("confirmed_cycle is not null").select("run_id", "label", "confirmed_cycle")
+
+
+def _guide_step(run: dict, run_id, cycle: int, rows: dict, kw: dict) -> dict:
+    counts = {label: int(r["n"]) for label, r in rows.items()}
+    at = {label: (r["cx"], r["cy"], r["cz"]) for label, r in rows.items()}
+    first = rows[min(rows)]
+    return {"run_id": run_id, "cycle": cycle, **gd.cycle_step(run, counts, at, tuple(float(first[c]) for c in ("hx", "hy", "hz")), **kw)}
 
 
 def _guide_cycles(run: dict, run_id, pdf: pd.DataFrame, kw: dict) -> list[dict]:
-    rows = []
-    for cycle, g in pdf.groupby("cycle", sort=True):
-        counts = {int(l): int(n) for l, n in zip(g["label"], g["n"])}
-        at = {int(l): (x, y, z) for l, x, y, z in zip(g["label"], g["cx"], g["cy"], g["cz"])}
-        here = tuple(float(g[c].iloc[0]) for c in ("hx", "hy", "hz"))
-        rows.append({"run_id": run_id, "cycle": cycle, **gd.cycle_step(run, counts, at, here, **kw)})
-    return rows
+    return [_guide_step(run, run_id, cycle, {int(r["label"]): r for r in g.to_dict("records")}, kw)
+            for cycle, g in pdf.groupby("cycle", sort=True)]
 
 
 COLUMNS = [c.split()[0] for c in gd.GUIDANCE_SCHEMA.split(", ")]
 
 
-class _Guide(StatefulProcessor):
-    def __init__(self, kw: dict):
+class _Guide(_Cycles):
+    def __init__(self, kw: dict, horizon: int | None):
+        super().__init__(horizon)
         self.kw = kw
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "doc string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        run = _load(self.state)
-        out = _guide_cycles(run, key[0], pd.concat(list(rows), ignore_index=True), self.kw)
-        _store(self.state, run)
-        yield pd.DataFrame(out, columns=COLUMNS)
+    def step(self, run, run_id, cycle, rows):
+        return [_guide_step(run, run_id, cycle, rows, self.kw)]
 
-    def close(self) -> None:
-        pass
+    def frame(self, run, run_id, out, late):
+        return pd.DataFrame(out, columns=COLUMNS).assign(late_rows=late)
 
 
-def guide(rows: DataFrame, **kw) -> DataFrame:
-    """Guidance per cycle as a stream. rows: (run_id, cycle, label, n, cx, cy, cz, hx, hy, hz)."""
+def guide(rows: DataFrame, horizon: int | None = None, **kw) -> DataFrame:
+    """Guidance per cycle as a stream in update mode. rows: (run_id, cycle, label, n, cx, cy, cz, hx, hy, hz), in any order."""
     use_state_store(rows.sparkSession)
     return rows.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_Guide(kw), outputStructType=gd.GUIDANCE_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=_Guide(kw, horizon), outputStructType=gd.GUIDANCE_SCHEMA + ", late_rows bigint", outputMode="Update", timeMode="None")
+
+
+def guided(table: DataFrame) -> DataFrame:
+    """One row per run and cycle from the table of a ``guide`` stream."""
+    return newest_update(table, ["run_id", "cycle"]).select(*COLUMNS)
 
 
 def guide_batch(rows: DataFrame, **kw) -> DataFrame:
@@ -192,9 +253,14 @@ def guide_batch(rows: DataFrame, **kw) -> DataFrame:
     return rows.groupBy("run_id").applyInPandas(one, gd.GUIDANCE_SCHEMA)
 
 
-def throughput(stream: DataFrame, period: str, late: str = "1 hour") -> DataFrame:
-    """Frames and bytes per run, type and tumbling period; update mode."""
-    return stream.withWatermark("ts", late).groupBy("run_id", "frame_type", F.window("ts", period).alias("w")) \
+def throughput(stream: DataFrame, period: str, late: str | None = None) -> DataFrame:
+    """Frames and bytes per run, type and tumbling period; update mode.
+
+    Without ``late`` every row counts, whenever it comes; the state is one row per period. With it, periods close that long
+    after the newest frame, and ``run_to_table`` counts the rows that come later still.
+    """
+    d = stream.withWatermark("ts", late) if late else stream
+    return d.groupBy("run_id", "frame_type", F.window("ts", period).alias("w")) \
         .agg(F.count("*").alias("n_frames"), F.sum("bytes").alias("bytes"))
 
 
