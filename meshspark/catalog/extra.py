@@ -117,10 +117,11 @@ def job_guidance_changes(spark, sf):
     return c.filter("changes > 0").select("rule", "run_id", "changes")
 
 
-@query("job_full_sequence", f"WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS.split('CAST(0.2 AS DOUBLE)')[0] + '0.6::DOUBLE AS min_align FROM teeth' + DRAWS.split('AS min_align FROM teeth')[1]}, {SWEEP} SELECT patch_id, arch_id, fid, stage, phase FROM stages")
+@query("job_full_sequence", f"WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS.split('CAST(0.2 AS DOUBLE)')[0] + '0.6::DOUBLE AS min_align FROM teeth' + DRAWS.split('AS min_align FROM teeth')[1]}, {SWEEP} SELECT v.patch_id, v.arch_id, coalesce(s.fid, -1) AS fid, v.stage, v.phase FROM visits v LEFT JOIN stages s ON s.patch_id=v.patch_id AND s.stage=v.stage")
 def job_full_sequence(spark, sf):
     g, adj = _mesh(spark, sf)
-    return jobs.full_sequence(g, adj, "s", width=SIZE, height=SIZE).select("patch_id", "arch_id", "fid", "stage", "phase")
+    d = jobs.full_sequence(g, adj, "s", width=SIZE, height=SIZE)
+    return d.select("patch_id", "arch_id", F.coalesce("fid", F.lit(-1).cast("bigint")).alias("fid"), "stage", "phase")
 
 
 @query("job_snapshot_evolution")

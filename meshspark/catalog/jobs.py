@@ -23,15 +23,15 @@ def _mesh(spark, sf):
 @query("job_sample_patches")
 def job_sample_patches(spark, sf):
     g, adj = _mesh(spark, sf)
-    return jobs.sample_patches(g, adj, "job", midline_prob=0.3, width=6.0, height=6.0)
+    return jobs.sample_patches(g, adj, "job", midline_prob=0.3, width=6.0, height=6.0, midline_size=(2.0, 8.0))
 
 
 @query("job_patch_features")
 def job_patch_features(spark, sf):
     g, adj = _mesh(spark, sf)
     patch = g.select(F.concat_ws("/", "arch_id", "label").alias("patch_id"), "arch_id", "fid")
-    x = jobs.patch_features(patch, g, cut_lineage(mesh.vertex_normals(g)), adj, None)
-    return x.groupBy("patch_id").agg(F.count("*").alias("n"), F.max(F.size("x")).cast("bigint").alias("dims"),
+    x = jobs.patch_features(patch, g, cut_lineage(mesh.vertex_normals(g)), adj, 20_000)
+    return x.groupBy("patch_id").agg(F.count("*").alias("n"), F.max("n_capped").alias("n_capped"), F.max(F.size("x")).cast("bigint").alias("dims"),
                                      rounded(F.max("area_mm2")).alias("area_mm2"))
 
 

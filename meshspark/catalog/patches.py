@@ -132,7 +132,8 @@ stages AS MATERIALIZED (SELECT v.patch_id, f.arch_id, f.fid, v.stage, v.phase, v
 def _sweep(spark, sf):
     g, adj = _mesh(spark, sf)
     p, present = _draws(spark, sf)
-    return pt.sweep_stages(cut_lineage(pt.sweep_visits(p, present)), g, adj, SIZE, SIZE), g, adj
+    visits = cut_lineage(pt.sweep_visits(p, present))
+    return pt.sweep_stages(visits, g, adj, SIZE, SIZE), g, adj, visits
 
 
 @query("sweep_stages", f"WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS}, {SWEEP} SELECT patch_id, arch_id, fid, stage, phase, tooth FROM stages")
@@ -143,21 +144,22 @@ def sweep_stages(spark, sf):
 @query("phase_increments", f"""WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS}, {SWEEP}, per AS (SELECT patch_id, phase, count(*) AS n, sum(g.area) AS area_mm2 FROM stages s JOIN geom g ON g.fid=s.fid GROUP BY ALL)
 SELECT patch_id, phase, n, {cols6('area_mm2')}, {r6('n/(sum(n) OVER (PARTITION BY patch_id))')} AS share FROM per""")
 def phase_increments(spark, sf):
-    s, g, _ = _sweep(spark, sf)
+    s, g, *_ = _sweep(spark, sf)
     return out(pt.phase_increments(s, g), ["patch_id", "phase", "n"], ["area_mm2", "share"])
 
 
-@query("stage_growth", f"""WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS}, {SWEEP}, per AS (SELECT patch_id, stage, count(*) AS new_faces, sum(g.area) AS new_area FROM stages s JOIN geom g ON g.fid=s.fid GROUP BY ALL)
+@query("stage_growth", f"""WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS}, {SWEEP}, per AS (SELECT v.patch_id, v.stage, count(s.fid) AS new_faces, coalesce(sum(g.area), 0) AS new_area FROM visits v LEFT JOIN stages s ON s.patch_id=v.patch_id AND s.stage=v.stage LEFT JOIN geom g ON g.fid=s.fid GROUP BY ALL)
 SELECT patch_id, stage, new_faces, CAST(sum(new_faces) OVER w AS BIGINT) AS n_faces, {r6('sum(new_area) OVER w')} AS area_mm2 FROM per WINDOW w AS (PARTITION BY patch_id ORDER BY stage)""")
 def stage_growth(spark, sf):
-    s, g, _ = _sweep(spark, sf)
-    return out(pt.stage_growth(s, g), ["patch_id", "stage", "new_faces", "n_faces"], ["area_mm2"])
+    s, g, _, visits = _sweep(spark, sf)
+    return out(pt.stage_growth(s, g, visits), ["patch_id", "stage", "new_faces", "n_faces"], ["area_mm2"])
 
 
-@query("stage_draw", f"""WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS}, {SWEEP}, pick AS (SELECT patch_id, CAST(floor(pow({u('s/stage', 'patch_id')}, 2.5)*(max(stage)+1-1)) AS BIGINT) AS picked FROM stages GROUP BY patch_id)
+@query("stage_draw", f"""WITH RECURSIVE {GEOM}, {ADJ}, {FACIAL}, {DRAWS}, {SWEEP}, pick AS (SELECT patch_id, CAST(floor(pow({u('s/stage', 'patch_id')}, 2.5)*(count(DISTINCT stage)-1)) AS BIGINT) AS picked FROM visits GROUP BY patch_id)
 SELECT s.patch_id, s.arch_id, s.fid, s.stage FROM stages s JOIN pick p ON p.patch_id=s.patch_id WHERE s.stage<=p.picked""")
 def stage_draw(spark, sf):
-    return pt.sample_stage(_sweep(spark, sf)[0], "s").select("patch_id", "arch_id", "fid", "stage")
+    s, _, _, visits = _sweep(spark, sf)
+    return pt.sample_stage(s, visits, "s").select("patch_id", "arch_id", "fid", "stage")
 
 
 @query("midline_stages", f"""WITH RECURSIVE {GEOM}, {ADJ}, {FRAMES}, {MIDLINE}, grown AS (SELECT m.*, s.stage, 2.0+(s.stage*6.0)/7.0 AS size FROM midline m, (SELECT unnest(generate_series(0,7)) AS stage) s),
@@ -196,5 +198,5 @@ def mode_mix(spark, sf):
 
 @query("relaxing_coverage")
 def relaxing_coverage(spark, sf):
-    s, g, adj = _sweep(spark, sf)
+    s, g, adj, _ = _sweep(spark, sf)
     return pt.relaxing_coverage(s, g, adj, (0.0, 0.0, 1.0), 6, 0.9, 0.3)

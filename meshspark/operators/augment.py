@@ -11,29 +11,39 @@ from meshspark.operators.graph import grow_blobs
 from meshspark.operators.mesh import inner_degree
 from meshspark.operators.ordinals import attach
 from meshspark.operators.sampling import thin_faces
+from meshspark.session import cut_lineage
 
 MIN_FACES = 20  # fixed value: smaller patches lose no faces
 
 
 def punch_holes(patch: DataFrame, adjacency: DataFrame, max_holes: int = 2, size_range: tuple[int, int] = (3, 40),
                 max_fraction: float = 0.15, seed: str = "hole") -> DataFrame:
-    """Remove up to ``max_holes`` connected blobs, at most ``max_fraction`` of the patch. patch: (patch_id, arch_id, fid)."""
+    """Remove up to ``max_holes`` connected blobs, at most ``max_fraction`` of the patch. patch: (patch_id, arch_id, fid).
+
+    Holes come one after the other: each may take what the earlier ones have left of the budget, and may overlap them.
+    """
     n = patch.groupBy("patch_id", "arch_id").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_FACES)
-    holes = n.withColumn("n_holes", uniform_int(0, max_holes, f"{seed}/n", "patch_id")).filter("n_holes > 0") \
-        .withColumn("hole", F.explode(F.sequence(F.lit(1), F.col("n_holes")))) \
-        .withColumn("budget", F.greatest(F.lit(1), F.floor(F.col("n") * max_fraction)))
-    # the budget is shared out evenly, so that holes together never exceed it
-    holes = holes.withColumn("size", F.least(uniform_int(size_range[0], size_range[1], f"{seed}/size", "patch_id", "hole"),
-                                             F.floor(F.col("budget") / F.col("n_holes"))))
     # one random seed face per hole: the smallest of independent draws, a keyed aggregate
     u = [uniform(f"{seed}/seed", "patch_id", F.lit(h), "fid") for h in range(1, max_holes + 1)]
     first = patch.groupBy("patch_id", "arch_id").agg(*[F.min_by("fid", F.struct(u[h], "fid")).alias(f"_s{h + 1}")
                                                        for h in range(max_holes)])
-    starts = F.array(*[F.col(f"_s{h}") for h in range(1, max_holes + 1)])
-    seeds = holes.join(first, ["patch_id", "arch_id"]).withColumn("fid", F.element_at(starts, F.col("hole").cast("int")))
-    gone = grow_blobs(seeds.select("arch_id", "patch_id", "hole", "fid", "size"), adjacency,
-                      patch.select("arch_id", "patch_id", "fid"))
-    return patch.join(gone.select("patch_id", "fid").distinct(), ["patch_id", "fid"], "left_anti").select(*patch.columns)
+    plan = cut_lineage(n.join(first, ["patch_id", "arch_id"]).withColumn("n_holes", uniform_int(0, max_holes, f"{seed}/n", "patch_id"))
+                       .withColumn("budget", F.greatest(F.lit(1), F.floor(F.col("n") * max_fraction))))
+    gone = None
+    for h in range(1, max_holes + 1):
+        left = plan.filter(F.col("n_holes") >= h)
+        if gone is None:
+            left = left.withColumn("left", F.col("budget"))
+        else:
+            used = gone.groupBy("patch_id").agg(F.count("*").alias("used"))
+            left = left.join(used, "patch_id", "left").withColumn("left", F.col("budget") - F.coalesce("used", F.lit(0)))
+        size = F.least(uniform_int(size_range[0], size_range[1], f"{seed}/size", "patch_id", F.lit(h)), F.col("left"))
+        seeds = left.filter("left > 0").select("arch_id", "patch_id", F.lit(h).alias("hole"), F.col(f"_s{h}").alias("fid"), size.alias("size"))
+        blob = grow_blobs(seeds, adjacency, patch.select("arch_id", "patch_id", "fid")).select("patch_id", "fid")
+        gone = cut_lineage(blob if gone is None else gone.unionByName(blob).distinct())
+    if gone is None:
+        return patch
+    return patch.join(gone, ["patch_id", "fid"], "left_anti").select(*patch.columns)
 
 
 def erode_boundary(patch: DataFrame, adjacency: DataFrame, max_prob: float = 0.3, seed: str = "erode") -> DataFrame:

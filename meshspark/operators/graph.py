@@ -131,9 +131,8 @@ def grow_coverage(extent: DataFrame, adjacency: DataFrame, group: str = "arch_id
     return attach(comp, chosen, [group, "comp"], ["fid"])
 
 
-def grow_blobs(seeds: DataFrame, adjacency: DataFrame, members: DataFrame, group: str = "patch_id",
-               max_rounds: int = 40) -> DataFrame:
-    """Connected blobs grown from seed faces, breadth first in hash order, until ``size`` faces are collected.
+def grow_blobs(seeds: DataFrame, adjacency: DataFrame, members: DataFrame, group: str = "patch_id") -> DataFrame:
+    """Connected blobs grown from seed faces, breadth first in hash order, until ``size`` faces are collected or none is left.
 
     seeds: (arch_id, group, hole, fid, size); members: (arch_id, group, fid). A blob never exceeds its size, so the
     frontier stays tiny next to the mesh. Returns (arch_id, group, hole, fid).
@@ -147,7 +146,7 @@ def grow_blobs(seeds: DataFrame, adjacency: DataFrame, members: DataFrame, group
     both = cut_lineage(both)
     blob = cut_lineage(seeds.filter("size >= 1").select(*keys, "hole", "fid", "size"))
     ring = blob
-    for _ in range(max_rounds):
+    while True:
         have = blob.groupBy(*keys, "hole").agg(F.count("*").alias("have"))
         nxt = ring.join(both, [*keys, "fid"]).select(*keys, "hole", F.col("nb").alias("fid"), "size").distinct() \
             .join(blob.select(*keys, "hole", "fid"), [*keys, "hole", "fid"], "left_anti") \

@@ -86,12 +86,14 @@ def class_alpha(counts: DataFrame, mode: str = "inverse", cap: float | None = No
 
     counts: one row per class, so the closing aggregate is tiny.
     """
+    if mode == "capped" and cap is None:
+        raise ValueError("capped weights need a cap")
     floor = F.greatest(F.col(n).cast("double"), F.lit(1.0))
     raw = {"inverse": 1.0 / floor, "sqrt": 1.0 / F.sqrt(floor), "capped": 1.0 / floor}[mode]
     d = counts.groupBy(label).agg(F.sum(n).alias(n)).withColumn("_a", raw)
     if mode == "capped":
         low = d.agg(F.min("_a").alias("_lo"))
-        d = d.join(F.broadcast(low)).withColumn("_a", F.least("_a", F.col("_lo") * F.lit(float(cap or 10.0)))).drop("_lo")
+        d = d.join(F.broadcast(low)).withColumn("_a", F.least("_a", F.col("_lo") * F.lit(float(cap)))).drop("_lo")
     total = d.agg(F.sum("_a").alias("_s"), F.count("*").alias("_k"))
     return d.join(F.broadcast(total)).select(label, F.col(n), (F.col("_a") * F.col("_k") / F.col("_s")).alias("alpha"))
 

@@ -115,20 +115,30 @@ def first_stage(seen: DataFrame, carry: list[str] = ()) -> DataFrame:
 
 def midline_stages(frames: DataFrame, geom: DataFrame, adjacency: DataFrame, min_size: float = 8.0,
                    max_size: float = 22.0, n_stages: int = 8, slab: float = 16.0, min_align=0.6,
-                   min_faces: int = 5, tooth_a: int = 8, tooth_b: int = 9) -> DataFrame:
-    """Square footprints of growing size on the boundary of two teeth: (patch_id, arch_id, fid, stage)."""
-    m = fr.midline_frames(frames, tooth_a, tooth_b) \
-        .withColumn("stage", F.explode(F.sequence(F.lit(0), F.lit(n_stages - 1)))) \
+                   min_faces: int = 5, tooth_a: int = 8, tooth_b: int = 9, visits: DataFrame | None = None) -> DataFrame:
+    """Square footprints of growing size on the boundary of two teeth: (patch_id, arch_id, fid, stage).
+
+    visits: (patch_id, arch_id, stage, min_align), e.g. of ``midline_visits``, where several patches share a mesh or each has drawn
+    its own alignment and stage; without it, one patch per mesh with all stages at ``min_align``.
+    """
+    m = fr.midline_frames(frames, tooth_a, tooth_b)
+    if visits is None:
+        visits = midline_visits(m.select(F.col("arch_id").cast("string").alias("patch_id"), "arch_id", F.lit(float(min_align)).alias("min_align")), n_stages)
+    m = m.join(visits, "arch_id") \
         .withColumn("size", linspace(min_size, max_size, n_stages, F.col("stage"))) \
-        .withColumn("patch_id", F.col("arch_id").cast("string")) \
         .withColumn("fp", F.concat_ws("/", "patch_id", F.col("stage").cast("string")))
     m = m.withColumnsRenamed({f"n{a}": f"w{a}" for a in "xyz"})
-    boxes = fr.view_boxes(m, "w", F.col("size"), F.col("size"), slab, F.lit(min_align))
+    boxes = fr.view_boxes(m, "w", F.col("size"), F.col("size"), slab, F.col("min_align"))
     seen = footprints(boxes.drop("size", "patch_id", "stage"), geom, adjacency, min_faces)
     keyed = seen.join(m.select("fp", "patch_id", F.col("stage").cast("bigint").alias("stage")), "fp")
     return first_stage(keyed)
 
 
+def midline_visits(patches: DataFrame, n_stages: int = 8) -> DataFrame:
+    """(patch_id, arch_id, min_align, stage) of growing midline patches."""
+    return patches.select("patch_id", "arch_id", "min_align", F.explode(F.sequence(F.lit(0), F.lit(n_stages - 1))).alias("stage"))
+
+
 def dilate_teeth(geom: DataFrame, margin: float = 1.5) -> DataFrame:
     """(arch_id, tooth, fid): faces of each tooth plus every face within ``margin`` of one, by centroid.
 
@@ -141,9 +151,14 @@ def dilate_teeth(geom: DataFrame, margin: float = 1.5) -> DataFrame:
     return own.unionByName(pairs_cells(geom, margin)).distinct()
 
 
-def whole_tooth_stages(patches: DataFrame, geom: DataFrame, margin: float = 1.5) -> DataFrame:
+def whole_tooth_visits(patches: DataFrame, present: DataFrame) -> DataFrame:
+    """(patch_id, arch_id, tooth, stage) in seed order."""
+    return seed_order(patches, present).select("patch_id", "arch_id", "tooth", F.col("step").alias("stage"))
+
+
+def whole_tooth_stages(patches: DataFrame, geom: DataFrame, margin: float = 1.5, visits: DataFrame | None = None) -> DataFrame:
     """Cumulative union of dilated teeth in seed order: (patch_id, arch_id, fid, stage)."""
-    visits = seed_order(patches, present_labels(geom)).select("patch_id", "arch_id", "tooth", F.col("step").alias("stage"))
+    visits = whole_tooth_visits(patches, present_labels(geom)) if visits is None else visits
     return first_stage(attach(dilate_teeth(geom, margin), visits, ["arch_id", "tooth"], ["fid"]))
 
 
@@ -157,11 +172,15 @@ def dilate_set(members: DataFrame, geom: DataFrame, margin: float) -> DataFrame:
     return members.select("arch_id", "fid").unionByName(near).distinct()
 
 
-def stage_growth(stages: DataFrame, geom: DataFrame) -> DataFrame:
-    """Per (patch, stage): new and cumulative faces and area. Aggregated before the window: one row per stage."""
+def stage_growth(stages: DataFrame, geom: DataFrame, visits: DataFrame) -> DataFrame:
+    """Per (patch, stage): new and cumulative faces and area. Aggregated before the window: one row per stage.
+
+    visits: (patch_id, stage) of all stages; one that adds nothing keeps its row.
+    """
     area = geom.select("arch_id", "fid", "area")
     s = stages.join(area, ["arch_id", "fid"]).groupBy("patch_id", "stage") \
         .agg(F.count("*").alias("new_faces"), F.sum("area").alias("new_area"))
+    s = visits.select("patch_id", "stage").distinct().join(s, ["patch_id", "stage"], "left").fillna(0, ["new_faces", "new_area"])
     w = Window.partitionBy("patch_id").orderBy("stage").rowsBetween(Window.unboundedPreceding, 0)
     return s.withColumn("n_faces", F.sum("new_faces").over(w)).withColumn("area_mm2", F.sum("new_area").over(w))
 
@@ -186,11 +205,20 @@ def stage_index(draw: Column, n_stages: Column, power: float = 2.5) -> Column:
     return F.floor(F.pow(draw, F.lit(power)) * (n_stages - 1)).cast("bigint")
 
 
-def sample_stage(stages: DataFrame, seed: str, power: float = 2.5) -> DataFrame:
-    """Faces of one sampled stage per patch: rows with stage <= the drawn one."""
-    n = stages.groupBy("patch_id").agg((F.max("stage") + 1).alias("n_stages"))
-    pick = n.select("patch_id", stage_index(uniform(f"{seed}/stage", "patch_id"), F.col("n_stages"), power).alias("picked"))
-    return attach(stages, pick, ["patch_id"], ["fid"]).filter(F.col("stage") <= F.col("picked")).drop("picked")
+def draw_stage(visits: DataFrame, seed: str, power: float = 2.5) -> DataFrame:
+    """(patch_id, picked) from all visits of each patch, whether or not they add faces: no geometry is needed for the draw."""
+    n = visits.groupBy("patch_id").agg(F.countDistinct("stage").alias("n_stages"))
+    return n.select("patch_id", stage_index(uniform(f"{seed}/stage", "patch_id"), F.col("n_stages"), power).alias("picked"))
+
+
+def up_to_drawn(visits: DataFrame, seed: str, power: float = 2.5) -> DataFrame:
+    """The visits up to the drawn stage: the faces of their footprints are the sampled patch."""
+    return visits.join(draw_stage(visits, seed, power), "patch_id").filter(F.col("stage") <= F.col("picked")).drop("picked")
+
+
+def sample_stage(stages: DataFrame, visits: DataFrame, seed: str, power: float = 2.5) -> DataFrame:
+    """Faces of one sampled stage per patch, where the stages are already at hand: rows with stage <= the drawn one."""
+    return attach(stages, draw_stage(visits, seed, power), ["patch_id"], ["fid"]).filter(F.col("stage") <= F.col("picked")).drop("picked")
 
 
 def choose_mode(patches: DataFrame, present: DataFrame, seed: str, whole_tooth_prob: float = 0.0,

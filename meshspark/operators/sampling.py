@@ -13,10 +13,8 @@ from meshspark.functions.vectors import Vec
 from meshspark.operators.ordinals import attach, row_ordinal, take_smallest
 from meshspark.session import cut_lineage
 
-MAX_FACES = 20_000  # fixed value: default face cap of a patch
 
-
-def cap_faces(faces: DataFrame, max_faces: int = MAX_FACES, key: str = "patch_id", seed: str = "cap") -> DataFrame:
+def cap_faces(faces: DataFrame, max_faces: int, key: str = "patch_id", seed: str = "cap") -> DataFrame:
     """Exactly ``max_faces`` faces of a larger patch, uniform without replacement; smaller patches unchanged."""
     return take_smallest(faces, [key], uniform(seed, key, "fid"), ["fid"], max_faces)
 

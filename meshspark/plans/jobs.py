@@ -41,30 +41,31 @@ def build_cache(spark: SparkSession, raw: str, path: str, target_density: float
 
 def sample_patches(geom: DataFrame, adjacency: DataFrame, seed: str, epochs: int = 1, midline_prob: float = 0.0,
                    whole_tooth_prob: float = 0.0, is_train: bool = True, width: float = 14.0, height: float = 14.0,
-                   slab: float = 16.0) -> DataFrame:
+                   slab: float = 16.0, midline_size: tuple[float, float] = (8.0, 22.0)) -> DataFrame:
     """One sampled patch per mesh and epoch: (patch_id, arch_id, fid, stage, mode)."""
     present = pt.present_labels(geom)
     drawn = pt.draw_patches(present, seed, epochs)
     p = cut_lineage(pt.choose_mode(drawn, present, seed, whole_tooth_prob, midline_prob, is_train))
-    parts = [pt.sweep_stages(cut_lineage(pt.sweep_visits(p.filter("mode = 'sweep'"), present)), geom, adjacency, width,
-                             height, slab).select("patch_id", "arch_id", "fid", "stage")]
+    # the stage is drawn from the visits, and geometry is computed for visits up to it only
+    of = lambda mode: p.filter(F.col("mode") == mode)
+    sweep = cut_lineage(pt.up_to_drawn(pt.sweep_visits(of("sweep"), present), seed))
+    stages = pt.sweep_stages(sweep, geom, adjacency, width, height, slab).select("patch_id", "arch_id", "fid", "stage")
     if whole_tooth_prob > 0:
-        parts.append(pt.whole_tooth_stages(p.filter("mode = 'whole_tooth'"), geom))
+        whole = cut_lineage(pt.up_to_drawn(pt.whole_tooth_visits(of("whole_tooth"), present), seed))
+        stages = stages.unionByName(pt.whole_tooth_stages(p, geom, visits=whole))
     if midline_prob > 0:
-        mid = pt.midline_stages(pt.fr.tooth_frames(geom), geom, adjacency, slab=slab).drop("patch_id")
-        parts.append(p.filter("mode = 'midline'").select("patch_id", "arch_id").join(mid, "arch_id")
-                     .select("patch_id", "arch_id", "fid", "stage"))
-    stages = parts[0]
-    for extra in parts[1:]:
-        stages = stages.unionByName(extra)
-    return pt.sample_stage(stages, seed).join(p.select("patch_id", "mode"), "patch_id") \
+        mid = cut_lineage(pt.up_to_drawn(pt.midline_visits(of("midline")), seed))
+        stages = stages.unionByName(pt.midline_stages(pt.fr.tooth_frames(geom), geom, adjacency, *midline_size, slab=slab, visits=mid))
+    return stages.join(p.select("patch_id", "mode"), "patch_id") \
         .select("patch_id", "arch_id", "fid", "stage", "mode")
 
 
-def patch_features(patch: DataFrame, geom: DataFrame, normals: DataFrame, adjacency: DataFrame, colour: str | None = None,
-                   max_faces: int = sampling.MAX_FACES, augmented: bool = True, dropout: float = 0.0,
+def patch_features(patch: DataFrame, geom: DataFrame, normals: DataFrame, adjacency: DataFrame, max_faces: int | None,
+                   colour: str | None = None, augmented: bool = True, dropout: float = 0.0,
                    num_classes: int = 17, seed: str = "aug") -> DataFrame:
-    """Samples ready for a network: (patch_id, fid, label, x, area_mm2).
+    """Samples ready for a network: (patch_id, fid, label, x, area_mm2, n_capped).
+
+    ``max_faces`` is the caller's (None: no cap); n_capped says how many faces it cut from the patch.
 
     Dropout of faces, then the patch area, then shared-vertex noise, then the cap, features, colour: in that order, so
     the area ignores noise and cap.
@@ -78,7 +79,8 @@ def patch_features(patch: DataFrame, geom: DataFrame, normals: DataFrame, adjace
     if augmented:
         p = augment.drop_faces(p, adjacency, seed)
     full = cut_lineage(nz.with_corner_normals(geom, normals).join(p, ["arch_id", "fid"]))
-    area = full.groupBy("patch_id").agg(F.sum("area").alias("area_mm2"))
+    cut = F.greatest(F.count("*") - F.lit(max_faces), F.lit(0)) if max_faces is not None else F.lit(0)
+    area = full.groupBy("patch_id").agg(F.sum("area").alias("area_mm2"), cut.cast("bigint").alias("n_capped"))
     d = full
     if augmented:
         noise = {}
@@ -92,7 +94,8 @@ def patch_features(patch: DataFrame, geom: DataFrame, normals: DataFrame, adjace
             d = d.withColumnsRenamed({f"n{a}": f"_k{a}" for a in "xyz"}).withColumnsRenamed({f"{c}n{a}": f"n{a}" for a in "xyz"})
             d = augment.jitter_normals(d, f"v{i}", seed=f"{seed}/vn")
             d = d.withColumnsRenamed({f"n{a}": f"{c}n{a}" for a in "xyz"}).withColumnsRenamed({f"_k{a}": f"n{a}" for a in "xyz"})
-    d = sampling.cap_faces(d, max_faces)
+    if max_faces is not None:
+        d = sampling.cap_faces(d, max_faces)
     d = nz.normalise_patch(d)
     if colour:
         d = augment.paint(d, colour)
@@ -116,10 +119,16 @@ def neighbour_graph(points: DataFrame, k: int = 32, dilations: tuple[int, ...] =
 
 
 def full_sequence(geom: DataFrame, adjacency: DataFrame, seed: str, **size) -> DataFrame:
-    """All stages of every mesh at the fixed alignment 0.6, nothing augmented."""
+    """All stages of every mesh at the fixed alignment 0.6, nothing augmented: each face at its first stage.
+
+    A stage that adds no face has one row without a face, so the sequence is complete.
+    """
     present = pt.present_labels(geom)
     p = pt.draw_patches(present, seed, occlusality=None, fixed_occlusality=0.6)
-    return pt.sweep_stages(cut_lineage(pt.sweep_visits(p, present)), geom, adjacency, **size)
+    visits = cut_lineage(pt.sweep_visits(p, present))
+    faces = pt.sweep_stages(visits, geom, adjacency, **size).drop("arch_id")
+    return visits.select("patch_id", "arch_id", "stage", "phase", "tooth") \
+        .join(faces, ["patch_id", "stage", "phase", "tooth"], "left").select("patch_id", "arch_id", "fid", "stage", "phase", "tooth")
 
 
 def threshold_sweep(scored: DataFrame) -> DataFrame:
@@ -178,7 +187,7 @@ def experiment_board(runs: DataFrame, anchor: int, budget: int) -> DataFrame:
     return metrics.leaderboard(runs, anchor, budget)
 
 
-def live_inputs(accumulated: DataFrame, max_faces: int = sampling.MAX_FACES) -> DataFrame:
+def live_inputs(accumulated: DataFrame, max_faces: int) -> DataFrame:
     """Network input of a live cycle: capped faces per run with features; the area is that of the capped faces.
 
     accumulated: face geometry with corner normals keyed by run_id, as ``patch_id``.
@@ -189,7 +198,7 @@ def live_inputs(accumulated: DataFrame, max_faces: int = sampling.MAX_FACES) ->
     return nz.normalise_patch(d).select("patch_id", "fid", nz.feature_row(rgb).alias("x")).join(area, "patch_id")
 
 
-def live_cycle(spark: SparkSession, fold, frames: DataFrame, batch_id: int, score, snapshot_path: str, every: int = 1) -> DataFrame:
+def live_cycle(spark: SparkSession, fold, frames: DataFrame, batch_id: int, score, snapshot_path: str, max_faces: int, every: int = 1) -> DataFrame:
     """One micro-batch of a live run: fold chunks, read the accumulated mesh, score, derive label counts, snapshot.
 
     ``score`` is a DataFrame -> DataFrame function that adds ``pred`` to (patch_id, fid, ...). Use as a foreachBatch body.
@@ -198,7 +207,7 @@ def live_cycle(spark: SparkSession, fold, frames: DataFrame, batch_id: int, scor
     fold(frames, batch_id)
     acc = fold.accumulated(spark).withColumn("patch_id", F.col("run_id"))
     acc = acc.withColumn("fid", F.xxhash64("mesh_id", "fid"))
-    pred = score(sampling.cap_faces(acc, sampling.MAX_FACES))
+    pred = score(sampling.cap_faces(acc, max_faces))
     counts = pred.groupBy("run_id", F.lit(batch_id).cast("bigint").alias("cycle"), F.col("pred").alias("label")).agg(
         F.count("*").alias("n"), F.sum("area").alias("area_mm2"), *[F.avg("m" + a).alias("c" + a) for a in "xyz"])
     counts = cut_lineage(counts)

@@ -9,7 +9,6 @@ SPLIT_FILES = {
     (1, True): ["training_lower.txt", "training_upper.txt"], (1, False): ["testing_lower.txt", "testing_upper.txt"],
     (2, True): ["public-training-set-1.txt", "public-training-set-2.txt"], (2, False): ["private-testing-set.txt"],
 }
-CONFIGS = {"dense5": (5.0, 16000), "dense5_uncapped": (5.0, None)}
 
 
 def read_split(spark: SparkSession, folder: str, scheme: int, is_train: bool, processed: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ def stem(path_col) -> F.col:
 def read_meshes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of all .obj files below a folder; ids are 0-based file order, faces keep the vertex index only.
 
+    A polygon becomes a fan of triangles, numbered in the order of the lines.
+
     The position inside the filtered line array is the id, so no sort or shuffle is needed to number the lines.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.obj").option("recursiveFileLookup", True) \
@@ -29,11 +31,25 @@ def read_meshes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     v = numbered("v ", "vid").select(
         "arch_id", "vid", *[F.col("f")[1 + i].cast("double").alias(a) for i, a in enumerate("xyz")],
         *[F.try_element_at("f", F.lit(5 + i)).cast("double").alias(c) for i, c in enumerate("rgb")])
-    at = lambda i: (F.split(F.col("f")[1 + i], "/")[0].cast("bigint") - 1).alias(f"v{i}")
-    f = numbered("f ", "fid").select("arch_id", "fid", at(0), at(1), at(2))
+    own = F.filter(lines, lambda l: F.ltrim(l).startswith("f "))
+    corners = F.transform(own, lambda l: F.transform(F.slice(F.split(F.trim(l), r"\s+"), 2, 1 << 30), lambda c: _vertex_number(F.split(c, "/")[0])))
+    fans = F.flatten(F.transform(F.filter(corners, lambda c: F.size(c) >= 3), _fan))
+    f = raw.select("arch_id", F.posexplode(fans).alias("fid", "t")) \
+        .select("arch_id", F.col("fid").cast("bigint").alias("fid"), *[F.col("t")[i].alias(f"v{i}") for i in range(3)])
     return v, f
 
 
+def _vertex_number(text):
+    """0-based vertex number of a corner; numbers that count back from the line are refused, never misread."""
+    n = text.cast("bigint")
+    return F.when(n > 0, n - 1).otherwise(F.raise_error(F.concat(F.lit("not a positive vertex number: "), F.coalesce(text, F.lit("null")))).cast("bigint"))
+
+
+def _fan(corners):
+    """Triangles of a polygon: the first corner with each later edge."""
+    return F.transform(F.sequence(F.lit(1), F.size(corners) - 2), lambda i: F.array(F.get(corners, F.lit(0)), F.get(corners, i), F.get(corners, i + 1)))
+
+
 def read_vertex_labels(spark: SparkSession, folder: str) -> DataFrame:
     """(arch_id, vid, fdi) from JSON sidecars {"labels": [...]} with one code per vertex."""
     j = spark.read.schema("labels array<bigint>").option("multiLine", True).option("pathGlobFilter", "*.json") \
@@ -44,10 +60,13 @@ def read_vertex_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def face_labels_from_vertex_labels(faces: DataFrame, vertex_labels: DataFrame) -> DataFrame:
-    """A face takes the label of its first corner."""
+    """A face takes the label of its first corner; a face without one is an error, not left out."""
     value = [c for c in vertex_labels.columns if c not in ("arch_id", "vid")]
     first = vertex_labels.select("arch_id", F.col("vid").alias("v0"), *value)
-    return faces.join(first, ["arch_id", "v0"]).select(*faces.columns, *value)
+    first = first.withColumn("_known", F.lit(True))
+    lost = F.raise_error(F.concat(F.lit("no label for the first corner of face "), F.col("fid").cast("string"), F.lit(" of "), F.col("arch_id").cast("string")))
+    d = faces.join(first, ["arch_id", "v0"], "left")
+    return d.select(*faces.columns, *[F.when(F.col("_known"), F.col(c)).otherwise(lost.cast(d.schema[c].dataType)).alias(c) for c in value])
 
 
 def split_labelled(meshes: DataFrame, vertex_labels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -87,9 +87,14 @@ def test_sweep_stages_are_nested_connected_and_disjoint(spark, lattice):
     g, adj = lattice
     present = pt.present_labels(g)
     p = pt.draw_patches(present, "t")
-    s = cut_lineage(pt.sweep_stages(cut_lineage(pt.sweep_visits(p, present)), g, adj, 6.0, 6.0))
+    visits = cut_lineage(pt.sweep_visits(p, present))
+    s = cut_lineage(pt.sweep_stages(visits, g, adj, 6.0, 6.0))
     assert s.count() == s.select("patch_id", "fid").distinct().count() > 0
-    growth = pt.stage_growth(s, g)
+    growth = pt.stage_growth(s, g, visits)
+    assert growth.count() == visits.count() > s.select("patch_id", "stage").distinct().count()
+    drawn = pt.up_to_drawn(visits, "t")
+    early = {(r.patch_id, r.fid) for r in pt.sweep_stages(cut_lineage(drawn), g, adj, 6.0, 6.0).collect()}
+    assert early == {(r.patch_id, r.fid) for r in pt.sample_stage(s, visits, "t").collect()}
     assert pt.shrinking_stages(growth).count() == 0
     share = pt.phase_increments(s, g).groupBy("patch_id").agg(F.sum("share").alias("t")).collect()
     assert all(abs(r.t - 1.0) < 1e-9 for r in share)
