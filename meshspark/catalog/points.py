@@ -19,8 +19,9 @@ KNN = f"""knn AS MATERIALIZED (SELECT a.cloud, a.pid AS qid, b.pid, sqrt({D2}) A
 CAND = f"""cand AS MATERIALIZED (SELECT a.cloud, a.pid AS qid, b.pid, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.cloud, a.pid ORDER BY {D2}, b.pid) AS rank FROM pts a JOIN pts b ON b.cloud=a.cloud)"""
 
 
-def _pts(spark, sf):
-    p = cut_lineage(fixtures.points(spark, sf))
+def _pts(spark, sf, feat: bool = False):
+    p = fixtures.points(spark, sf).select("cloud", "pid", "x", "y", "z", *["feat"] * feat)
+    p = cut_lineage(p)
     return p, p.withColumnRenamed("pid", "qid")
 
 
@@ -46,7 +47,7 @@ def dilated_prefix(spark, sf):
     return nn.select("cloud", "qid", "rank", "pid", levels).filter("rank <= l.dk").select("cloud", "l.level", "qid", "rank", "pid")
 
 
-_FPS2 = """p1 AS MATERIALIZED (SELECT cloud, qid, pid, x, y, z, rank FROM cand WHERE rank<=12)"""
+_FPS2 = """p1 AS MATERIALIZED (SELECT cloud, level, qid, pid, x, y, z, rank FROM cand JOIN (VALUES (0,6),(1,12),(2,18)) t(level, dk) ON rank<=dk)"""
 
 
 def _fps_rounds(src: str, keys: str, order: str, start: str, k: int) -> str:
@@ -70,18 +71,18 @@ def fps(spark, sf):
     return sampling.farthest_points(p, 8)
 
 
-@query("token_sample", f"WITH {POINTS}, {_fps_rounds('pts', 'cloud', 'pid', 'pid', 4)} SELECT cloud, count(*) AS n_tokens, min(pid) AS first_pid FROM s4 GROUP BY cloud")
+@query("token_sample", f"WITH {POINTS}, {_fps_rounds('pts', 'cloud', 'pid', 'pid', 6)} SELECT cloud, CAST(step-1 AS BIGINT) AS step, pid FROM s6")
 def token_sample(spark, sf):
     p, _ = _pts(spark, sf)
-    return sampling.farthest_points(p, 4).groupBy("cloud").agg(F.count("*").alias("n_tokens"), F.min("pid").alias("first_pid"))
+    return sampling.farthest_points(p, 6)
 
 
-@query("dilated_fps", f"""WITH {POINTS}, {CAND}, {_FPS2}, {_fps_rounds('p1', 'cloud, qid', 'rank', 'rank', 4)}
-SELECT cloud, qid, CAST(step AS BIGINT) AS rank, pid FROM s4""")
+@query("dilated_fps", f"""WITH {POINTS}, {CAND}, {_FPS2}, {_fps_rounds('p1', 'cloud, level, qid', 'rank', 'rank', 4)}
+SELECT cloud, CAST(level AS BIGINT) AS level, qid, CAST(step AS BIGINT) AS rank, pid FROM s4""")
 def dilated_fps(spark, sf):
     p, q = _pts(spark, sf)
-    nn = spatial.nearest(q, p, 12, CELL)
-    return sampling.dilated_neighbours(nn, p, 4, [12]).select("cloud", "qid", "rank", "pid")
+    nn = spatial.nearest(q, p, 18, CELL)
+    return sampling.dilated_neighbours(nn, p, 4, [6, 12, 18]).select("cloud", "level", "qid", "rank", "pid")
 
 
 @query("three_nn_interp", f"""WITH {POINTS}, {_fps_rounds('pts', 'cloud', 'pid', 'pid', 8)}, kn AS (SELECT p.* FROM pts p JOIN s8 USING (cloud, pid)), nn AS (SELECT a.cloud, a.pid AS qid, b.pid, b.feat, sqrt({D2}) AS dist,
@@ -89,7 +90,7 @@ def dilated_fps(spark, sf):
 w AS (SELECT *, 1.0/(dist+CAST(1e-8 AS DOUBLE)) AS w FROM nn WHERE rank<=3)
 SELECT cloud, qid, {r6('sum(w*CAST(feat[1] AS DOUBLE))/sum(w)')} AS f0, {r6('sum(w*CAST(feat[2] AS DOUBLE))/sum(w)')} AS f1 FROM w GROUP BY ALL""")
 def three_nn_interp(spark, sf):
-    p, q = _pts(spark, sf)
+    p, q = _pts(spark, sf, feat=True)
     known = cut_lineage(p.join(sampling.farthest_points(p, 8).select("cloud", "pid"), ["cloud", "pid"]))
     f = ps.three_interpolate(q, known, 2, CELL)
     return f.select("cloud", "qid", rounded(F.col("feat")[0]).alias("f0"), rounded(F.col("feat")[1]).alias("f1"))
@@ -122,7 +123,7 @@ def edge_pool(spark, sf):
   row_number() OVER (PARTITION BY a.cloud, a.pid ORDER BY b.pid) AS rn FROM s5 a JOIN pts b ON b.cloud=a.cloud WHERE {D2}<CAST(9.0 AS DOUBLE))
 SELECT cloud, qid, {r6('max(dx) FILTER (rn<=8)')} AS a0, {r6('max(f0) FILTER (rn<=8)')} AS a3, {r6('max(dx) FILTER (rn<=16)')} AS b0 FROM hits GROUP BY ALL""")
 def set_abstraction(spark, sf):
-    p, _ = _pts(spark, sf)
+    p, _ = _pts(spark, sf, feat=True)
     c = sampling.farthest_points(p, 5).join(p.select("cloud", "pid", "x", "y", "z"), ["cloud", "pid"]) \
         .select("cloud", F.col("pid").alias("qid"), "x", "y", "z")
     v = ps.set_abstraction(cut_lineage(c), p, [(3.0, 8), (3.0, 16)], 2)
@@ -165,7 +166,7 @@ _FEAT = "[" + ",".join(f"{c}/15.0" for c in ("mx", "my", "mz", "px", "py", "pz",
 
 @query("feature_knn", f"""WITH {GEOM}, ft AS MATERIALIZED (SELECT arch_id, fid, {_FEAT} AS feat FROM geom), nn AS (SELECT a.arch_id, a.fid AS qid, b.fid AS pid, list_distance(a.feat, b.feat) AS dist
   FROM ft a JOIN ft b ON b.arch_id=a.arch_id AND b.fid<>a.fid)
-SELECT arch_id, qid, {r6('min(dist)')} AS d1 FROM nn GROUP BY ALL""")
+SELECT arch_id, qid, rank, {cols6('dist')} FROM (SELECT *, row_number() OVER (PARTITION BY arch_id, qid ORDER BY dist) AS rank FROM nn) WHERE rank<=4""")
 def feature_knn(spark, sf):
     g = lattice_geometry(spark, sf)
     s = F.lit(15.0)
@@ -173,7 +174,7 @@ def feature_knn(spark, sf):
     p = cut_lineage(g.select("arch_id", F.col("fid").alias("pid"), (F.col("mx") / s).alias("x"), (F.col("my") / s).alias("y"),
                              (F.col("mz") / s).alias("z"), feat.alias("feat")))
     nn = spatial.nearest_features(p.withColumnRenamed("pid", "qid"), p, 4, 0.05, 12, "feat", "arch_id")
-    return nn.filter("rank = 1").select("arch_id", "qid", rounded(F.col("dist")).alias("d1"))
+    return nn.select("arch_id", "qid", "rank", rounded(F.col("dist")).alias("dist"))
 
 
 @query("cap_faces", f"""WITH {GEOM} SELECT arch_id AS patch_id, fid FROM faces QUALIFY row_number() OVER (PARTITION BY arch_id ORDER BY {u('cap', 'arch_id', 'fid')}, fid)<=200""")

@@ -15,6 +15,7 @@ COARSE_NAMES = ["gum", "incisor", "canine", "premolar", "molar"]
 COARSE_RGB = [(255, 192, 203), (70, 130, 180), (255, 140, 0), (60, 179, 113), (147, 112, 219)]
 GUM_DISPLAY_RGB = (255, 192, 203)
 
+# fixed values: tooth labels and the order of the sweeps
 TOOTH_LABELS = list(range(1, 17))
 INCISORS = [7, 8, 9, 10]
 LEFT_SWEEP = [8, 7, 6, 5, 4, 3, 2, 1]

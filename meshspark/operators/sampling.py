@@ -97,18 +97,23 @@ def farthest_points(points: DataFrame, n: int, group: str = "cloud", pid: str =
         .select(group, F.col("step").cast("bigint").alias("step"), F.col("s.i").alias(pid))
 
 
-def _fps_rows(pool: np.ndarray, k: int) -> np.ndarray:
-    """Farthest-point order inside one candidate pool, starting from its first row."""
-    m = len(pool)
-    if k >= m:
-        return np.arange(m)
-    picked = np.zeros(k, dtype=np.int64)
-    gap = np.full(m, np.inf)
+POOLS_AT_ONCE = 256  # only sets how much one numpy step holds
+
+
+def _fps_picks(pools: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Farthest-point picks (B, k) of B candidate pools (B, M, 3) at once, each from its first row; a pool of at most k
+    rows gives them in order, then -1."""
+    n, m, _ = pools.shape
+    own, place = np.arange(n), np.arange(m)
+    gap = np.where(place[None, :] < sizes[:, None], np.inf, -1.0)
+    picked = np.zeros((n, k), np.int64)
     for s in range(1, k):
-        diff = pool - pool[picked[s - 1]]
-        np.minimum(gap, (diff * diff).sum(axis=1), out=gap)
-        gap[picked[:s]] = -1.0
-        picked[s] = int(gap.argmax())
+        diff = pools - pools[own, picked[:, s - 1]][:, None, :]
+        np.minimum(gap, (diff * diff).sum(axis=2), out=gap)
+        gap[own, picked[:, s - 1]] = -1.0
+        picked[:, s] = gap.argmax(axis=1)
+    small = sizes <= k
+    picked[small] = np.where(np.arange(k)[None, :] < sizes[small][:, None], np.arange(k)[None, :], -1)
     return picked
 
 
@@ -129,13 +134,19 @@ def dilated_neighbours(ranked: DataFrame, points: DataFrame, k: int, dilations:
     qkind = ranked.schema[qid].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for g, q, ids, x, y, z in zip(b[group], b[qid], b["ids"], b["x"], b["y"], b["z"]):
-                xyz = np.column_stack([x, y, z])
+        for whole in batches:
+            for at in range(0, len(whole), POOLS_AT_ONCE):
+                b = whole.iloc[at:at + POOLS_AT_ONCE]
+                sizes = b["ids"].map(len).to_numpy()
+                inside = np.arange(sizes.max())[None, :] < sizes[:, None]
+                xyz, ids = np.zeros((*inside.shape, 3)), np.zeros(inside.shape, b["ids"].iloc[0].dtype)
+                for i, a in enumerate("xyz"):
+                    xyz[..., i][inside] = np.concatenate(b[a].to_list())
+                ids[inside] = np.concatenate(b["ids"].to_list())
                 for level, d in enumerate(dilations):
-                    for r, at in enumerate(_fps_rows(xyz[:d], k)):
-                        rows.append((g, level, q, r + 1, ids[at]))
-            yield pd.DataFrame(rows, columns=[group, "level", qid, "rank", pid])
+                    picked = _fps_picks(xyz[:, :d], np.minimum(sizes, d), k)
+                    row, rank = np.nonzero(picked >= 0)
+                    yield pd.DataFrame({group: b[group].to_numpy()[row], "level": level, qid: b[qid].to_numpy()[row],
+                                        "rank": rank + 1, pid: ids[row, picked[row, rank]]})
 
     return pools.mapInPandas(run, f"{group} {kinds[group]}, level bigint, {qid} {qkind}, rank bigint, {pid} {kinds[pid]}")

@@ -27,6 +27,12 @@ def build_cache(spark: SparkSession, raw: str, path: str, target_density: float
     plan = g.groupBy("arch_id").agg(F.sum("area").alias("_area")) \
         .withColumn("target", mesh.target_count(F.col("_area"), target_density, max_target_count))
     rf = sampling.trim_to_target(rf.join(plan.select("arch_id", "target"), "arch_id")).drop("target")
+    # a mesh below its target is filled up with faces without area at its first vertex
+    short = rf.groupBy("arch_id").agg(F.count("*").alias("n_faces"), F.max("fid").alias("max_fid")) \
+        .join(plan.select("arch_id", F.col("target").cast("bigint").alias("target")), "arch_id")
+    at_first = rv.groupBy("arch_id").agg(F.min("vid").alias("_v")).join(short.select("arch_id", "max_fid"), "arch_id")
+    rf = cut_lineage(mesh.pad_faces(rf, cut_lineage(short)).join(at_first, "arch_id").select("arch_id", "fid", *[
+        F.when(F.col("fid") > F.col("max_fid"), F.col("_v")).otherwise(F.col(f"v{i}")).alias(f"v{i}") for i in range(3)]))
     rg = cut_lineage(mesh.face_geometry(rf, rv))
     at = [F.col("m" + a).alias(a) for a in "xyz"]
     cell = 1.0 / target_density ** 0.5
@@ -211,5 +217,5 @@ def live_cycle(spark: SparkSession, fold, frames: DataFrame, batch_id: int, scor
     counts = pred.groupBy("run_id", F.lit(batch_id).cast("bigint").alias("cycle"), F.col("pred").alias("label")).agg(
         F.count("*").alias("n"), F.sum("area").alias("area_mm2"), *[F.avg("m" + a).alias("c" + a) for a in "xyz"])
     counts = cut_lineage(counts)
-    snapshots.write_snapshots(counts, snapshot_path, every)
+    snapshots.write_snapshots(counts, snapshot_path, every, batch_id)
     return counts

@@ -9,11 +9,11 @@ OPTIONAL = {"guidance_state": ("string", "none"), "guidance_target_label": ("big
             "guidance_compass": ("string", None)}
 
 
-def write_snapshots(df: DataFrame, path: str, every: int = 1, mode: str = "append") -> None:
-    """Keep every n-th cycle; one folder per run."""
+def write_snapshots(df: DataFrame, path: str, every: int = 1, batch_id: int = 0) -> None:
+    """Keep every n-th cycle; one folder per batch, so that a retried batch replaces its own rows."""
     if every < 1:
         raise ValueError("every must be at least 1")
-    df.filter(F.col("cycle") % every == 0).write.mode(mode).partitionBy("run_id").parquet(path)
+    df.filter(F.col("cycle") % every == 0).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

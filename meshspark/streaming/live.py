@@ -273,7 +273,7 @@ class FoldOnce:
     """foreachBatch body: each chunk enters the accumulated mesh exactly once.
 
     Unchanged re-sends are skipped by signature, the rest is reduced to the working density, faces on claimed voxels are
-    left out, the others appended. All tables live under ``path`` with one folder per batch, so a repeated batch replaces
+    left out, the others appended. Frames that cannot be decoded go to the quarantine table. All tables live under ``path`` with one folder per batch, so a repeated batch replaces
     its own rows; history is only read through keyed anti-joins.
     """
 
@@ -299,7 +299,10 @@ class FoldOnce:
         from meshspark.operators.temporal import claim_voxels as claim, latest_frame
         from meshspark.sources import frames as fr
         spark = frames.sparkSession
-        parsed = fr.length_ok(fr.of_type(fr.parse_headers(frames), "mesh")).filter("length_ok and face_count > 0 and vertex_count > 0")
+        parsed = fr.length_ok(fr.of_type(fr.parse_headers(frames), "mesh"))
+        good = F.coalesce(F.expr("length_ok and face_count > 0 and vertex_count > 0"), F.lit(False))
+        self._write(parsed.filter(~good), "quarantine", batch_id)
+        parsed = parsed.filter(good)
         newest = latest_frame(parsed, ["run_id", "mesh_id"])
         seen = self._before(spark, "signatures", _SIGNATURE, batch_id)
         if seen is not None:
