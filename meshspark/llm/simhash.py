@@ -277,27 +277,36 @@ def links(distinct: DataFrame, bits: int = BITS, group_rows: int = GROUP_ROWS) -
 
 
 def near_duplicates(docs: DataFrame, columns: list[str] | None = None, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """``columns`` (default doc_id) of every document plus fp and component_id, the smallest doc_id that links reach.
+    """``columns`` (default doc_id) of every document plus fp, component (smallest fp that links reach) and component_id, the
+    smallest doc_id in it.
 
     Texts without words have fingerprint 0 and link like any other; null ids do not count as smallest, and a component of null ids
     has a null component_id; equal rows each stay; an empty table gives an empty one. Copies share a fingerprint and meet in one
-    row before any pairing. Input columns named fp or component_id are replaced.
+    row before any pairing. Input columns of the three names are replaced.
     """
-    columns = [c for c in (columns or ["doc_id"]) if c not in ("fp", "component_id")]
+    columns = [c for c in (columns or ["doc_id"]) if c not in ("fp", "component", "component_id")]
     prints = keep(fingerprints(docs, columns, words, seed), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     g = F.lit(0).alias("g")
     edges = links(distinct.select("fp"), bits).select(g, "a", "b")
-    comp = components(edges, distinct.select(g, F.col("fp").alias("v"))).select(F.col("v").alias("fp"), "comp")
+    comp = components(edges, distinct.select(g, F.col("fp").alias("v"))).select(F.col("v").alias("fp"), F.col("comp").alias("component"))
     of = keep(distinct.join(comp, "fp"), "fingerprint-components")
-    least = of.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(least, "comp").select("fp", "component_id"), "fp").select(*columns, "fp", "component_id")
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(of.join(least, "component").select("fp", "component", "component_id"), "fp") \
+        .select(*columns, "fp", "component", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, in the columns of ``docs``; one row of rows with equal ids."""
-    keepers = near_duplicates(docs, **options).select(F.col("component_id").alias("doc_id")).distinct()
-    return docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component in the columns of ``docs``: the smallest doc_id (null last), then the smallest hash of the text.
+
+    Rows are told apart by id and text, so documents that share an id, or have none, do not stand for each other.
+    """
+    d = docs.withColumn("_text", F.xxhash64("text"))
+    found = near_duplicates(d, ["doc_id", "_text"], **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("first")
+    keepers = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_hash"))
+    same = d["doc_id"].eqNullSafe(keepers["_id"]) & (d["_text"] == keepers["_hash"])
+    return d.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 @query("op7_simhash")

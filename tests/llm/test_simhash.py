@@ -59,4 +59,7 @@ def test_odd_rows(spark):
     got = sorted([(r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(docs).collect()])
     assert got == [(-1, 8), (3, 3), (5, 3), (8, 8), (8, 8), (9, 9)]
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [3, 8, 9]
+    shared = spark.createDataFrame([(None, "one two three four"), (None, "five six seven eight"), (4, "nine ten eleven"), (4, "twelve thirteen"), (4, "twelve thirteen")],
+                                   "doc_id long, text string")
+    assert simhash.drop_near_duplicates(shared).count() == 4
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
