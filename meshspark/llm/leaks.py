@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of 64 words are TF-IDF vectors over the benchmark's terms, with document frequencies from every passage of the corpus.
-A passage that holds too few of the rare terms of any item cannot pass the final checks and is left out. A randomised SVD of the
+A passage that holds too few answer terms of every item cannot pass the final checks and is left out. A randomised SVD of the
 other passages, computed as sums over Spark tasks, gives a latent space; passages near an item in it are candidates, and a
 candidate is a leak if the longest common subsequence with the item is long enough and its answer words are there. Rewording
 and changed order of sentences lower the subsequence only in part, so paraphrases remain findable.
@@ -130,25 +130,45 @@ def _weigh(q: Queries, docs: DataFrame) -> Queries:
 
 
 def _screen(q):
-    """Passages with two or more rare terms, with the words around them."""
+    """Passages that hold, with their margins, enough answer terms of one item to pass the final check; no other can.
+
+    Occurrences of answer terms, one per item that has the term, are sorted by text, item and place. Where an item's needed number
+    of occurrences falls within the reach of a passage, all passages of the grid that reach them are taken.
+    """
     def run(batches):
         own = q.value
+        terms = np.concatenate(own.answers)
+        item_of = np.repeat(np.arange(len(own.answers)), [len(a) for a in own.answers])
+        order = np.argsort(terms, kind="stable")
+        terms, item_of = terms[order], item_of[order]
+        first = np.searchsorted(terms, np.arange(len(own.terms) + 1))
+        need = np.array([math.ceil(MIN_ANSWER * len(a)) for a in own.answers])
         for b in sliced(batches):
             h, at = term_hashes(b.column("text"))
             c = own.columns(h)
-            flag = (c >= 0) & own.rare[np.maximum(c, 0)]
-            total = np.zeros(len(h) + 1, np.int64)
-            np.cumsum(flag, out=total[1:])
-            n = np.diff(at)
-            many = np.where(n > 0, 1 + np.maximum(0, -(-(n - PASSAGE) // STRIDE)), 0)
-            row = np.repeat(np.arange(len(n)), many)
-            start = at[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
-            end = np.minimum(start + PASSAGE, at[row + 1])
-            hit = np.flatnonzero(total[end] - total[start] >= 2)
-            hit = hit[[len(np.unique(c[s:e][flag[s:e]])) >= 2 for s, e in zip(start[hit], end[hit])]] if len(hit) else hit
-            if not len(hit):
+            seen = np.flatnonzero((c >= 0) & own.rare[np.maximum(c, 0)])
+            width = first[c[seen] + 1] - first[c[seen]]
+            place = np.repeat(seen, width)
+            item = item_of[np.repeat(first[c[seen]] - (np.cumsum(width) - width), width) + np.arange(len(place))]
+            row = np.searchsorted(at, place, side="right") - 1
+            order = np.lexsort((place, row * len(need) + item))
+            place, item, row = place[order], item[order], row[order]
+            last = np.arange(len(place)) + need[item] - 1
+            ok = last < len(place)
+            last[~ok] = 0
+            ok &= (row[last] == row) & (item[last] == item) & (place[last] - place < PASSAGE + 2 * MARGIN)
+            if not ok.any():
                 continue
-            r, s, e = row[hit], start[hit], end[hit]
+            row, low, high = row[ok], place[ok] - at[row[ok]], place[last[ok]] - at[row[ok]]
+            n = np.diff(at)[row]
+            end = STRIDE * np.maximum(0, -(-(n - PASSAGE) // STRIDE))
+            top = np.minimum((low + MARGIN) // STRIDE * STRIDE, end)
+            base = np.minimum(np.maximum(0, -(-(high + 1 - PASSAGE - MARGIN) // STRIDE) * STRIDE), top)
+            many = (top - base) // STRIDE + 1
+            start = np.repeat(base, many) + STRIDE * (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
+            spots = np.unique(np.stack([np.repeat(row, many), start], axis=1), axis=0)
+            r, s = spots[:, 0], spots[:, 1] + at[spots[:, 0]]
+            e = np.minimum(s + PASSAGE, at[r + 1])
             low, high = np.maximum(s - MARGIN, at[r]), np.minimum(e + MARGIN, at[r + 1])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(r)), pa.array(s - at[r]), pa.array(s - low), pa.array(e - low),
@@ -162,44 +182,38 @@ def _products(q, basis):
     def run(batches):
         own, m = q.value, basis.value
         out = np.zeros(m.shape)
-        n = 0
         for b in batches:
             for f, t, w in zip(*[b.column(x).to_pylist() for x in ("from", "to", "words")]):
                 col, v = own.vector(np.array(w, np.int64).view(np.uint64)[f:t])
                 out[col] += np.outer(v, v @ m[col])
-                n += 1
-        if n:
-            for at in range(0, len(out), TERM_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([out[at:at + TERM_ROWS].tobytes()], pa.binary()), pa.array([n])],
-                                                 names=["term", "rows", "n"])
+        for at in range(0, len(out), TERM_ROWS):
+            if out[at:at + TERM_ROWS].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([out[at:at + TERM_ROWS].tobytes()], pa.binary())], names=["term", "rows"])
     return run
 
 
 def _added(batches):
     """Running sums by block of terms: a partition holds only the blocks dealt to it."""
-    held, count = {}, {}
+    held = {}
     for b in batches:
-        for term, rows, n in zip(*[b.column(x).to_pylist() for x in ("term", "rows", "n")]):
+        for term, rows in zip(*[b.column(x).to_pylist() for x in ("term", "rows")]):
             x = np.frombuffer(rows)
             held[term] = x + held[term] if term in held else x
-            count[term] = count.get(term, 0) + n
     for term, x in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([term]), pa.array([x.tobytes()], pa.binary()), pa.array([count[term]])],
-                                         names=["term", "rows", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([term]), pa.array([x.tobytes()], pa.binary())], names=["term", "rows"])
 
 
 def _gram_times(q: Queries, sent, passages: DataFrame, basis: np.ndarray) -> np.ndarray:
     """A'A times basis over corpus passages and, weighted to dominate, the benchmark pieces."""
     spark = passages.sparkSession
     m = spark.sparkContext.broadcast(basis)
-    kind = "term bigint, rows binary, n bigint"
+    kind = "term bigint, rows binary"
     parts = passages.select("from", "to", "words").mapInArrow(_products(sent, m), kind) \
         .repartition(min(partitions(spark), -(-len(basis) // TERM_ROWS)), "term").mapInArrow(_added, kind).toPandas()
-    out, n = np.zeros(basis.shape), 0
+    out, n = np.zeros(basis.shape), passages.count()
     for r in parts.itertuples():
         rows = np.frombuffer(r.rows).reshape(-1, basis.shape[1])
         out[r.term:r.term + len(rows)] += rows
-        n = r.n
     weight = max(1.0, 4.0 * n / len(q.pieces))
     for h in q.pieces:
         col, v = q.vector(h)
@@ -293,7 +307,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any leak, in the columns of ``docs``."""
+    """The documents without any leak, in the columns of ``docs``; rows that share an id, null included, go together."""
     bad = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
