@@ -21,7 +21,7 @@ from meshspark.llm.shared import buffer_of, keep, mixed, partitions, query, read
 LENGTH = 400
 GRAM = 64
 SHALLOW = 96
-CLASSES_PER_TASK_GROUP = 2000
+CLASSES_PER_TASK_GROUP = 20_000
 _rng = np.random.default_rng(97)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
