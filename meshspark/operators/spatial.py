@@ -8,6 +8,8 @@ exact. Points at one identical position are reduced to the few with the smallest
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshspark.functions.vectors import Vec
@@ -93,17 +95,33 @@ def _block_bounds(points: DataFrame, need: int, cell: float, levels: int) -> Dat
         .select("_g", "_lv", "_cx", "_cy", "_cz", F.sqrt(reach).alias("_reach"))
 
 
+def _grid(queries: DataFrame, points: DataFrame, need: int, cell: float) -> tuple[float, int]:
+    """(cell edge, levels) from two single-row aggregates: the fullest cell and the extent of all positions."""
+    full = points.select("_g", *AXES).distinct().groupBy("_g", *_cells("_c", cell)).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    finer = min(20, max(0, math.ceil(math.log2(full / (4.0 * need)) / 2))) if full else 0
+    span = queries.select(*AXES).unionByName(points.select(*AXES)).agg(*[(F.max(_finite(a)) - F.min(_finite(a))).alias(a) for a in AXES]).first()
+    cell = cell / 2 ** finer
+    extent = max([span[a] or 0.0 for a in AXES])
+    return cell, min(60, max(1, math.ceil(math.log2(max(extent / cell, 1.0)))) + 2)
+
+
+def _finite(axis: str) -> Column:
+    return F.when(F.abs(axis) < 1e300, F.col(axis))
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: str = "cloud", qid: str = "qid",
-            pid: str = "pid", exclude_self: bool = False, max_dist: float | None = None,
-            levels: int = 12) -> DataFrame:
+            pid: str = "pid", exclude_self: bool = False, max_dist: float | None = None) -> DataFrame:
     """The k nearest points of each query, ranked by (distance, id): (group, qid, rank, pid, dist).
 
-    ``cell`` is the finest cell edge worth looking at (about the point spacing); coarser levels double it.
-    Groups with fewer than k points give all they have. ``max_dist`` drops farther points (inclusive).
+    ``cell`` is a first guess of the cell edge (about the point spacing); the grid is refined where cells hold many points, and
+    its levels double the edge until one block of cells spans everything, so that a far outlier still searches blocks.
+    Only groups with fewer points than asked for are one key. They give all they have. ``max_dist`` drops farther points (inclusive).
     """
     need = k + (1 if exclude_self else 0)
-    q = _q(queries, group, qid, "_qid").select("*", *_cells("_h", cell))
-    p = distinct_positions(_q(points, group, pid, "_pid"), need)
+    q, p = _q(queries, group, qid, "_qid"), _q(points, group, pid, "_pid")
+    cell, levels = _grid(q, p, need, cell)
+    p = distinct_positions(p, need)
+    q = q.select("*", *_cells("_h", cell))
 
     homes = q.select("_g", "_hx", "_hy", "_hz").distinct()
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_lv")

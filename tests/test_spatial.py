@@ -15,6 +15,9 @@ def cloud(seed, n, shape):
         p[0] = (500.0, -300.0, 40.0)
     if shape == "lattice":
         p = np.round(p * 2)
+    if shape == "dense":
+        p[: n // 2] *= 1e-4
+        p[-1] = (4e5, -7e6, 1.0)
     return p
 
 
@@ -32,7 +35,7 @@ def brute(a, k, exclude):
     return out
 
 
-@pytest.mark.parametrize("shape", ["plain", "copies", "outlier", "lattice"])
+@pytest.mark.parametrize("shape", ["plain", "copies", "outlier", "lattice", "dense"])
 @pytest.mark.parametrize("k,exclude", [(1, False), (5, True), (200, True)])
 def test_nearest_equals_brute_force(spark, shape, k, exclude):
     arrays = [cloud(1, 60, shape), cloud(2, 25, shape), cloud(3, 2, "plain")]
