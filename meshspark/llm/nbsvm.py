@@ -99,7 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     The descent takes the ``fit_rows`` labelled rows of smallest doc_id hash, all of them if there are fewer; it runs in one task,
     whose input that bounds. Null labels and ids are no training rows; without rows of both classes the model is constant.
     """
-    train = docs.select("doc_id", "text").join(labels.select("doc_id", F.col(label).alias("y")).filter("y in (0, 1)"), "doc_id") \
+    # a shuffled join whatever the number of labels: the plan, and what it costs a row, is the same at every size
+    known = labels.select("doc_id", F.col(label).alias("y")).filter("y in (0, 1)").hint("merge")
+    train = docs.select("doc_id", "text").join(known, "doc_id") \
         .select("text", F.col("y").cast("long").alias("y"), F.xxhash64("doc_id").alias("draw"))
     train = keep(train, "labelled-texts")
     counts = train.select("text", "y").mapInArrow(_class_counts, "col bigint, n0 bigint, n1 bigint") \
