@@ -3,13 +3,14 @@
 Passages of 64 words are TF-IDF vectors over the benchmark's terms, with document frequencies from every passage of the corpus.
 A passage that holds too few answer terms of every item cannot pass the final checks and is left out. A randomised SVD of the
 other passages, computed as sums over Spark tasks, gives a latent space; passages near an item in it are candidates, and a
-candidate is a leak if the longest common subsequence with the item is long enough and its answer words are there. Rewording
-and changed order of sentences lower the subsequence only in part, so paraphrases remain findable.
+candidate is a leak if enough of the item's words are there in order and its answer words are there. Order is asked for inside
+sentences and clauses only: each one is aligned on its own, so they may come in any order.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +23,14 @@ from meshspark.llm.shared import buffer_of, keep, partitions, query, read, slice
 PASSAGE, STRIDE, MARGIN = 64, 16, 16
 PIECE = 48
 MIN_WORDS = 5
+CLAUSE, SPREAD = 6, 4
 PIECES_PER_BLOCK = 256
 OVERSAMPLE = 16
 MIN_COSINE = 0.35
 MIN_COMMON = 0.6
 MIN_ANSWER = 0.5
 TERM_ROWS = 256
+_CLAUSE_END = re.compile("[.!?;:,\n]")
 _BREAK = np.zeros(256, bool)
 _BREAK[:128] = True
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -45,6 +48,7 @@ class Queries:
     """A block of benchmark pieces: item ids, term hashes of each, the sorted vocabulary, its idf, and answer terms of each."""
     items: list
     pieces: list[np.ndarray]
+    clauses: list[list[np.ndarray]]
     terms: np.ndarray
     idf: np.ndarray | None = None
     answers: list[np.ndarray] | None = None
@@ -69,26 +73,47 @@ class Queries:
 
 def _blocks(benchmark: DataFrame):
     """Blocks of benchmark pieces, streamed to the driver; only one block is held at a time."""
-    items, pieces = [], []
+    items, pieces, clauses = [], [], []
 
     def block():
-        return Queries(items, pieces, np.unique(np.concatenate(pieces)))
+        return Queries(items, pieces, clauses, np.unique(np.concatenate(pieces)))
 
     for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
         h, _ = term_hashes(pa.array([r.text]))
         if len(h) < MIN_WORDS:
             continue
+        ends = _clause_ends(r.text)
         n = max(1, round(len(h) / PIECE))
-        for part in np.array_split(h, n):
+        for own in np.array_split(np.arange(len(h)), n):
+            part = h[own]
             items.append(r.item_id)
             pieces.append(part)
+            clauses.append(_clauses(part, ends - own[0]))
         if len(pieces) >= PIECES_PER_BLOCK:
             yield block()
-            items, pieces = [], []
+            items, pieces, clauses = [], [], []
     if pieces:
         yield block()
 
 
+def _clause_ends(text: str) -> np.ndarray:
+    """In words, where the sentences and clauses of a text end."""
+    _, at = term_hashes(pa.array(_CLAUSE_END.split(text)))
+    return np.unique(at[1:])
+
+
+def _clauses(part: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """A piece cut at clause ends into parts of at least ``CLAUSE`` words and less than twice as many."""
+    cuts = [0]
+    for e in [*ends[(ends > 0) & (ends < len(part))].tolist(), len(part)]:
+        if e - cuts[-1] >= CLAUSE and (len(part) - e >= CLAUSE or e == len(part)):
+            n = max(1, (e - cuts[-1]) // CLAUSE)
+            cuts += [cuts[-1] + (e - cuts[-1]) * k // n for k in range(1, n)] + [e]
+    if cuts[-1] < len(part):
+        cuts.append(len(part))
+    return [part[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def _frequencies(q):
     """Per task: in how many disjoint passages each benchmark term occurs; -1 counts the passages."""
     def run(batches):
@@ -253,6 +278,18 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def common_words(piece: np.ndarray, clauses: list[np.ndarray], words: np.ndarray) -> int:
+    """Words of a piece found in order: in all of it, or clause by clause, each inside the best stretch of its length plus ``SPREAD``."""
+    whole = common_subsequence(piece.tolist(), words.tolist())
+    if len(clauses) < 2:
+        return whole
+    total = 0
+    for c in clauses:
+        reach, spots = len(c) + SPREAD, np.flatnonzero(np.isin(words, c))
+        total += max((common_subsequence(c.tolist(), words[s:s + reach].tolist()) for s in spots), default=0)
+    return max(whole, total)
+
+
 def _matches(q):
     """Candidates by cosine in the latent space, checked word by word."""
     def run(batches):
@@ -270,7 +307,7 @@ def _matches(q):
                     share = np.isin(own.answers[i], have).mean()
                     if share < MIN_ANSWER:
                         continue
-                    common = common_subsequence(own.pieces[i].tolist(), h.tolist()) / len(own.pieces[i])
+                    common = common_words(own.pieces[i], own.clauses[i], h) / len(own.pieces[i])
                     if common >= MIN_COMMON:
                         out.append((doc, own.items[i], start, float(cosine[i]), common, float(share)))
             if out:
@@ -285,7 +322,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, cosine, common, answer): each document and item of which it holds a leak, with its best passage.
 
     docs: (doc_id, text), benchmark: (item_id long, text); other columns are ignored. start counts words; common is the share of an
-    item's words in the longest common subsequence, answer that of its rarest third. Long items are searched in pieces of about
+    item's words in the longest common subsequence of all of it or of its clauses one by one, answer that of its rarest third. Long items are searched in pieces of about
     48 words and count by their best piece. Null texts hold nothing; items under 5 words or null cannot be told from ordinary text and
     are not searched; equal rows give one result; an empty table on either side gives an empty one. All passages of whole texts are
     read. The benchmark goes to the tasks in blocks of at most 256 pieces (plus one item), which bounds what is broadcast.

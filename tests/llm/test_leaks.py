@@ -55,3 +55,40 @@ def test_paraphrases_and_odd_rows(spark):
     left = [r.doc_id for r in leaks.drop_leaks(d, b).collect()]
     assert None not in left and {500, 501} <= set(left) and not set(left) & {i for i, _ in planted}
     assert leaks.find_leaks(d.limit(0), b).count() == 0 and leaks.find_leaks(d, b.limit(0)).count() == 0
+
+
+def test_reordered_items(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(4000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [[draw(rng.randint(6, 12)) for _ in range(rng.randint(2, 5))] for _ in range(30)]
+    docs = [draw(rng.randint(5, 300)) for _ in range(120)]
+    planted = set()
+    for k in range(90):
+        sentences = [list(s) for s in items[k % 30]]
+        if k < 30:
+            w = sum(reversed(sentences), [])
+        elif k < 60:  # halves swapped
+            w = sum(sentences, [])
+            w = w[len(w) // 2:] + w[:len(w) // 2]
+        else:  # in reverse order and a word in ten replaced
+            w = sum(reversed(sentences), [])
+            for x in rng.sample(range(len(w)), len(w) // 10):
+                w[x] = rng.choice(vocab)
+        at = rng.randint(0, len(docs[k]))
+        docs[k] = docs[k][:at] + w + docs[k][at:]
+        planted.add((k, k % 30))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(" ".join(s) + "." for s in x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, b).collect()} == planted
+
+
+def test_items_of_the_table_in_other_order(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    found = 0
+    for b in leaks._blocks(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")):
+        for piece, clauses in zip(b.pieces, b.clauses):
+            assert sum(map(len, clauses)) == len(piece)
+            swapped = list(piece[len(piece) // 2:]) + list(piece[:len(piece) // 2])
+            found += leaks.common_words(piece, clauses, leaks.np.array(swapped)) >= leaks.MIN_COMMON * len(piece)
+    assert found > 0.95 * len(texts)
