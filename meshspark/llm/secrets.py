@@ -13,11 +13,14 @@ from meshspark.session import scratch_path
 
 # (kind, version, pattern, group that must be long enough, least characters); order is the order of kinds at one start.
 _KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+# To the END mark, over header lines and escaped line feeds; without one to the next BEGIN mark or the end of the text.
+_MARK = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_PEM = f"-----BEGIN {_MARK}(?:(?!-----(?:BEGIN|END) {_MARK}).)*+(?:-----END {_MARK})?"
 RULES = (
     ("assign", "1", "(" + _KEY + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
     ("access", "1", "AKIA[A-Z0-9]+", 0, 18),
     ("hex", "1", "[0-9a-f]{16,}", 0, 16),
-    ("pem", "1", "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
+    ("pem", "2", _PEM, 0, 1),
     ("jwt", "1", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("forge", "1", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("chat", "1", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
@@ -38,7 +41,7 @@ def new_ledger(spark: SparkSession, path: str) -> str:
 
 def _scanner(rules):
     ids = rule_ids(rules)
-    compiled = {i: (re.compile(r[2], re.ASCII), r[3], r[4]) for i, r in zip(ids, rules)}
+    compiled = {i: (re.compile(r[2], re.ASCII | re.DOTALL), r[3], r[4]) for i, r in zip(ids, rules)}
 
     def scan(batches):
         for b in sliced(batches):
