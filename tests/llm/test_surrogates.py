@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     assert len(got) == 5 and got[got.doc_id == 3].n_entities.item() == 20000
     assert got[got.doc_id == 4].text.nunique() == 1 and "555-3824" not in got[got.doc_id == 4].text.iloc[0]
     assert s.replace(docs.limit(0), KEY).count() == 0
+
+
+def test_numbers_next_to_others():
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    for text, want in ((f"{card} 123", [card]), ("4111111111111111 12", ["4111111111111111"]), ("12 4111111111111111", ["4111111111111111"]),
+                       (f"{card} 5500-0000-0000-0004", [card, "5500-0000-0000-0004"]), (f"no 7 12 {card} 12/30", [card]),
+                       (f"{card} {card} {card} 123", [card] * 3), (f"{iban} 2024", [iban]), (f"{iban} DE89 3704 0044 0532 0130 00 X1", [iban, "DE89 3704 0044 0532 0130 00"]),
+                       (f"REF1 2345 6789 {iban}", [iban]), (f"AB12 3456 7890 {iban}", [iban]), ("2123465659789240 or 12 34", []), ("94111111111111111", [])):
+        found = [(text[a:b], k) for a, b, k, _ in s.detect(text) if k in ("card", "iban")]
+        assert found == [(w, "iban" if w[0].isalpha() else "card") for w in want], text
