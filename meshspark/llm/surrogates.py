@@ -1,7 +1,7 @@
 """Personal data: keyed, type-consistent surrogates.
 
 Mail addresses, phone numbers, network addresses, card, account and social security numbers, and names behind a form of
-address are replaced. A surrogate comes from HMAC-SHA256 of a secret key, the kind and the normal form of the entity, and follows its
+address are replaced, these names also wherever else in their text they stand. A surrogate comes from HMAC-SHA256 of a secret key, the kind and the normal form of the entity, and follows its
 format: digits and punctuation where the original has them, a valid check digit, the same script, letter case and gender.
 Equal entities get equal surrogates everywhere. Distinct entities get distinct ones: the table of entities is checked for
 collisions, also with values that really occur, and colliding entries are drawn again until none is left.
@@ -46,10 +46,13 @@ _PATTERNS = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w-])", re.ASCII)),
     ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])", re.ASCII)),
-    ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{4}(?![\w-])", re.ASCII)),
+    ("phone", re.compile(r"(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{4}"
+                         r"|\+1(?:[ .()-]{0,3}\d){10}|\+[2-9](?:[ .()-]{0,3}\d){7,14}"
+                         r"|0[1-9]\d{8,9}|0[1-9](?P<gap>[ .-])\d\d(?:(?P=gap)\d\d){3})(?![\w-])", re.ASCII)),
 )
 _NAME = re.compile(rf"(?<!\w)(?P<form>{'|'.join(map(re.escape, FEMALE + MALE + NEUTRAL))})\.? (?P<name>[{_UPPER}][{_LETTER}'’-]+(?: [{_UPPER}][{_LETTER}'’-]+){{0,2}})")
 _WORD = re.compile(rf"[{_LETTER}]+")
+_WHOLE_WORD = re.compile(rf"(?<!\w)[{_LETTER}]{{2,}}(?!\w)")
 
 
 def _luhn(digits: str) -> bool:
@@ -112,7 +115,7 @@ def _spans(kind: str, pattern: re.Pattern, text: str):
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Mentions (start, end, kind, normal form), not overlapping, by start. Names are split into words, so that a surname
-    alone and a full name agree on it."""
+    alone and a full name agree on it; a capitalised word that is part of such a name is a mention everywhere in the text."""
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -139,7 +142,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "card":
                 canon = digits
             elif kind == "phone":
-                canon = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
+                canon = digits[1:] if len(digits) == 11 and digits[0] == "1" else "+" * (raw[0] == "+") + digits
                 if not 7 <= len(digits) <= 15 or (raw[0] not in "+(" and len(digits) < 10):
                     continue
             else:
@@ -147,12 +150,21 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if add(start, end, kind, canon):
                 new.append((start, end))
         taken = sorted(taken + new) if new else taken
+    names: dict[str, str] = {}
+    places = set()
     for m in _NAME.finditer(text):
         gender = "female" if m["form"] in FEMALE else "male" if m["form"] in MALE else "neutral"
         words = list(_WORD.finditer(m["name"]))
         for i, w in enumerate(words):
             role = "surname" if i == len(words) - 1 else gender
-            add(m.start("name") + w.start(), m.start("name") + w.end(), f"name/{role}/{_script(w[0])}", w[0].lower())
+            start, kind, canon = m.start("name") + w.start(), f"name/{role}/{_script(w[0])}", w[0].lower()
+            if add(start, start + len(w[0]), kind, canon):
+                places.add(start)
+                names.setdefault(canon, kind)
+    for w in _WHOLE_WORD.finditer(text) if names else ():
+        canon = w[0].lower()
+        if canon in names and w[0][0].isupper() and w.start() not in places:
+            add(w.start(), w.end(), names[canon], canon)
     return sorted(found)
 
 
@@ -192,9 +204,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "ssn":
         return "9" + "".join(digit() for _ in canon[1:])
     if kind == "phone":
-        if len(canon) == 10:
+        if len(canon) == 10 and canon[0] not in "+0":
             return f"{2 + s.below(8)}" + "".join(digit() for _ in range(9))
-        keep_ = max(0, len(canon) - 9)
+        keep_ = max(3 * (canon[0] == "+"), len(canon) - 9, 0)
         return canon[:keep_] + "".join(digit() for _ in canon[keep_:])
     _, role, script = kind.split("/")
     syllables = SYLLABLES[script]
@@ -211,6 +223,8 @@ def write_like(original: str, kind: str, canon: str, new: str) -> str:
         return new.upper() if original.isupper() else new
     if kind == "ip":
         return new
+    if kind == "phone":
+        new = new.removeprefix("+")
     if kind == "phone" and sum(c.isdigit() for c in original) == len(new) + 1:
         new = "1" + new
     fill = iter(new)

@@ -75,3 +75,16 @@ def test_numbers_next_to_others():
                        (f"REF1 2345 6789 {iban}", [iban]), (f"AB12 3456 7890 {iban}", [iban]), ("2123465659789240 or 12 34", []), ("94111111111111111", [])):
         found = [(text[a:b], k) for a, b, k, _ in s.detect(text) if k in ("card", "iban")]
         assert found == [(w, "iban" if w[0].isalpha() else "card") for w in want], text
+
+
+def test_phones_of_other_forms_and_repeated_names():
+    for phone in ("+14155550123", "+33 1 23 45 67 89", "+49 30 123456", "0612345678", "06 12 34 56 78", "+44 (0)20 7946 0958"):
+        (a, b, k, c), = s.detect(f"Call {phone}, please.")
+        new = s.write_like(phone, k, c, s.surrogate(KEY, k, c, 0))
+        assert (k, f"Call {phone}, please."[a:b]) == ("phone", phone) and new != phone
+        assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", phone) and (phone[:3] == "+14" or new[0] == phone[0])
+    assert not s.detect("On 01.02.2024 12 of 1234567890 and 0.0612345678 or 01-02-2024.")
+    text = "Smith came. Mrs. Ada Smith called. Later Ada Smith left and SMITH wrote to Smithson, a smith; Smith's end."
+    found = s.detect(text)
+    assert [text[a:b] for a, b, *_ in found] == ["Smith", "Ada", "Smith", "Ada", "Smith", "SMITH", "Smith"]
+    assert len({(k, c) for *_, k, c in found}) == 2
