@@ -5,7 +5,7 @@ import importlib
 from meshspark.llm.shared import ORACLES, QUERIES
 
 for _name in ("mixing", "cleaning", "secrets", "chat", "tokens", "simhash", "nbsvm", "surrogates", "leaks", "suffixes", "resampling",
-              "pieces"):
+              "pieces", "collocations"):
     importlib.import_module(f"meshspark.llm.{_name}")
 
 __all__ = ["QUERIES", "ORACLES"]
