@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from meshspark.llm.shared import LOWER, buffer_of, distinct_words, keep, mixed, partitions, query, read, sliced, words_of
 from meshspark.operators import ordinals
 
-BLOCK_WORDS = 3_000_000
-BUCKETS_PER_PARTITION = 4
+BLOCK_WORDS = 1_500_000
+BUCKETS_PER_PARTITION = 2
 STRETCH = 512
 SEEDS = 4
 
@@ -47,26 +47,42 @@ def _factorized(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return code, parts
 
 
-def block_graph(word: np.ndarray, goes_on: np.ndarray, n: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
-    """Runs of 1 to n words with their weights: [(columns of word numbers, weights)] by length.
+def block_graph(word: np.ndarray, goes_on: np.ndarray, n: int):
+    """(columns of word numbers, weights) of all runs of n, n - 1, ... 1 words.
 
     ``goes_on[i]``: word i + 1 follows word i in the same piece. Edges are counted; all shorter runs get their flow.
     """
-    end = np.int64(-1)
-    columns, alive = [word.astype(np.int64)], np.ones(len(word), bool)
+    size = len(word)
+    base = int(word.max()) + 2 if size else 2
+    columns, alive = [word.astype(np.int32) + np.int32(1)], np.ones(size, bool)  # 0: the piece has ended
     for k in range(1, n):
-        alive = alive & np.append(goes_on[k - 1:], np.zeros(min(k, len(word)), bool))[:len(word)]
-        columns.append(np.where(alive, np.append(word[k:], np.full(min(k, len(word)), end))[:len(word)], end))
-    code, edges = _factorized(*columns)
-    weight = np.bincount(code, minlength=len(edges[0])).astype(np.int64)
-    out = []
+        gap = min(k, size)
+        alive[:size - gap] &= goes_on[k - 1:size - gap + k - 1]
+        alive[size - gap:] = False
+        columns.append(np.where(alive, np.append(columns[0][gap:], np.zeros(gap, np.int32)), np.int32(0)))
+    if base ** n < 1 << 64:
+        key = columns[0].astype(np.uint64)
+        for c in columns[1:]:
+            key *= np.uint64(base)
+            key += c.astype(np.uint64)
+        del columns, alive
+        key, weight = np.unique(key, return_counts=True)
+        edges = []
+        for _ in range(n):
+            edges.append((key % np.uint64(base)).astype(np.int32))
+            key //= np.uint64(base)
+        edges = edges[::-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        edges = [c[order] for c in columns]
+        first = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in edges], axis=0)))
+        edges, weight = [c[first] for c in edges], np.diff(first, append=size)
     for k in range(n, 0, -1):
-        whole = edges[k - 1] != end
-        out.append(([c[whole] for c in edges[:k]], weight[whole]))
-        if k > 1:  # the flow of a node is the weight of all edges that leave it, those that end in it included
-            code, edges = _factorized(*edges[:k - 1])
-            weight = np.bincount(code, weights=weight, minlength=len(edges[0])).astype(np.int64)
-    return out[::-1]
+        whole = np.flatnonzero(edges[k - 1])
+        yield [c[whole] - np.int32(1) for c in edges[:k]], weight[whole]
+        if k > 1:  # the flow of a node is the weight of all edges that leave it, those that end in it included; they are neighbours
+            new = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in edges[:k - 1]], axis=0)))
+            edges, weight = [c[new] for c in edges[:k - 1]], np.add.reduceat(weight, new)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -83,12 +99,11 @@ def _unplanes(raw: bytes, at: int, n: int, kind) -> tuple[np.ndarray, int]:
 
 def _pack(columns: list[np.ndarray], weight: np.ndarray, hashes: np.ndarray, tool) -> bytes:
     """Sorted runs over the list of their words' hashes."""
-    order = np.lexsort(columns[::-1])
-    words, local = np.unique(np.concatenate([c[order] for c in columns]), return_inverse=True)
-    first = np.diff(local[:len(order)], prepend=0).astype("<u4")
-    rest = local[len(order):].astype("<u4")
-    raw = struct.pack("<qqq", len(columns), len(order), len(words)) + hashes[words].tobytes() + _planes(first) + _planes(rest) \
-        + _planes(weight[order].astype("<i8"))
+    words, local = np.unique(np.concatenate(columns), return_inverse=True)
+    first = np.diff(local[:len(weight)], prepend=0).astype("<u4")
+    rest = local[len(weight):].astype("<u4")
+    raw = struct.pack("<qqq", len(columns), len(weight), len(words)) + hashes[words].tobytes() + _planes(first) + _planes(rest) \
+        + _planes(weight.astype("<i8"))
     return tool.compress(raw)
 
 
@@ -126,35 +141,57 @@ def _bucket_rows(keys: np.ndarray, buckets: int):
     return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(edges, [*edges[1:], len(order)])]
 
 
-def _packed_block(parts: list, n: int, buckets: int, seed: int):
-    """Rows (bucket, kind, packed) of one block; parts: (bytes, starts, ends, language, goes_on) of its slices."""
-    import xxhash
-    import zstandard
-    tool = zstandard.ZstdCompressor(level=3)
-    base = np.cumsum([0] + [len(p[0]) for p in parts])
-    data = np.concatenate([p[0] for p in parts])
-    starts, ends = (np.concatenate([p[i] + b for p, b in zip(parts, base)]) for i in (1, 2))
-    names: dict[str, int] = {}
-    lang = np.concatenate([np.array([names.setdefault(x, len(names)) for x in p[3]], np.int64)[p[4]] for p in parts])
-    goes_on = np.concatenate([p[5] for p in parts])
-    word, first = distinct_words(data, starts, ends)
-    number, (of_word, of_lang) = _factorized(word, lang)
-    tags = [x.encode() for x in names]
-    items = [data[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    digest = b"".join(xxhash.xxh3_128_digest(tags[g] + b"\x00" + items[w], seed) for w, g in zip(of_word.tolist(), of_lang.tolist()))
-    pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
-    hashes, checks = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
-    for k, (columns, weight) in enumerate(block_graph(number, goes_on, n), 1):
-        key = np.zeros(len(weight), np.uint64)
-        for c in columns:
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + hashes[c].view(np.uint64))
-        for bucket, rows in _bucket_rows(key, buckets):
-            if k == 1:
-                at = columns[0][rows]
-                blob = _pack_words(hashes[at], checks[at], weight[rows], [items[of_word[i]] for i in at], [tags[of_lang[i]] for i in at], tool)
-            else:
-                blob = _pack([c[rows] for c in columns], weight[rows], hashes, tool)
-            yield bucket, k, blob
+class _Block:
+    """Words of one block of texts by number: their hashes, languages and bytes, and the block as a sequence of numbers."""
+
+    def __init__(self, seed: int):
+        self.seed, self.known, self.items, self.digests = seed, {}, [], bytearray()
+        self.numbers, self.goes_on, self.count = [], [], 0
+
+    def add(self, data, offsets, langs: list[str]):
+        import xxhash
+        starts, ends, row = words_of(data, offsets, BREAKS)
+        if not len(starts):
+            return
+        seps = np.cumsum(ENDS[data])[starts]
+        self.goes_on.append(np.append((row[1:] == row[:-1]) & (seps[1:] == seps[:-1]), False))
+        word, first = distinct_words(data, starts, ends)
+        names: dict[str, int] = {}
+        lang = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)[row]
+        local, (of_word, of_lang) = _factorized(word, lang)
+        tags = [x.encode() for x in names]
+        number = np.empty(len(of_word), np.int32)
+        for i, (a, b, g) in enumerate(zip(starts[first][of_word].tolist(), ends[first][of_word].tolist(), of_lang.tolist())):
+            item = (tags[g], data[a:b].tobytes())
+            n = self.known.get(item)
+            if n is None:
+                n = self.known[item] = len(self.items)
+                self.items.append(item)
+                self.digests += xxhash.xxh3_128_digest(item[0] + b"\x00" + item[1], self.seed)
+            number[i] = n
+        self.numbers.append(number[local])
+        self.count += len(local)
+
+    def packed(self, n: int, buckets: int):
+        """Rows (bucket, kind, packed)."""
+        import zstandard
+        tool = zstandard.ZstdCompressor(level=3)
+        pair = np.frombuffer(bytes(self.digests), np.int64).reshape(-1, 2)
+        hashes, checks = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
+        self.known = {}
+        word, goes_on = np.concatenate(self.numbers), np.concatenate(self.goes_on)
+        self.numbers, self.goes_on = [], []
+        for columns, weight in block_graph(word, goes_on, n):
+            key = np.zeros(len(weight), np.uint64)
+            for c in columns:
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + hashes[c].view(np.uint64))
+            for bucket, rows in _bucket_rows(key, buckets):
+                if len(columns) == 1:
+                    at = columns[0][rows]
+                    blob = _pack_words(hashes[at], checks[at], weight[rows], [self.items[i][1] for i in at], [self.items[i][0] for i in at], tool)
+                else:
+                    blob = _pack([c[rows] for c in columns], weight[rows], hashes, tool)
+                yield bucket, len(columns), blob
 
 
 def _blocks(n: int, buckets: int, seed: int):
@@ -162,9 +199,9 @@ def _blocks(n: int, buckets: int, seed: int):
         b, k, p = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], schema=_BLOCK)
 
-    def sent(parts):
+    def sent(block):
         rows, size = [], 0
-        for r in _packed_block(parts, n, buckets, seed):
+        for r in block.packed(n, buckets):
             rows.append(r)
             size += len(r[2])
             if size > 4 << 20:
@@ -174,22 +211,15 @@ def _blocks(n: int, buckets: int, seed: int):
             yield batch(rows)
 
     def run(batches):
-        parts, count = [], 0
+        block = _Block(seed)
         for b in sliced(batches):
             data, offsets = buffer_of(b.column("text"))
-            data = LOWER[data]
-            starts, ends, row = words_of(data, offsets, BREAKS)
-            if not len(starts):
-                continue
-            seps = np.cumsum(ENDS[data])[starts]
-            goes_on = np.append((row[1:] == row[:-1]) & (seps[1:] == seps[:-1]), False)
-            parts.append((data, starts, ends, b.column("lang").to_pylist(), row, goes_on))
-            count += len(starts)
-            if count >= BLOCK_WORDS:
-                yield from sent(parts)
-                parts, count = [], 0
-        if parts:
-            yield from sent(parts)
+            block.add(LOWER[data], offsets, b.column("lang").to_pylist())
+            if block.count >= BLOCK_WORDS:
+                yield from sent(block)
+                block = _Block(seed)
+        if block.count:
+            yield from sent(block)
     return run
 
 
