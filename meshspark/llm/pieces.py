@@ -18,9 +18,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from meshspark.llm.shared import distinct_words, query, ragged, read, sliced
 
-BLOCK_BYTES = 4 << 20
-KNOWN_SEGMENTS = 1 << 20
-KNOWN_PAIRS = 1 << 21
+BLOCK_BYTES = 2 << 20
+KNOWN_SEGMENTS = 1 << 18
+KNOWN_PAIRS = 1 << 18
 
 
 class Encoder:
@@ -43,8 +43,10 @@ class Encoder:
         for p in self.ids:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
-        self.pairs: dict = {}
-        self.segments: dict[str, tuple] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.prefix: dict[str, str | None] = {}
+        self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         letters = sorted({c for p in self.ids for c in p})
         self.letter = np.zeros(0x110000, np.int32)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
@@ -56,54 +58,61 @@ class Encoder:
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the best score first, the leftmost of equal ones; characters without a piece stay alone."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min((self.rank.get(a + b, float("inf")), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == float("inf"):
+        parts, rank, never = list(text), self.rank.get, float("inf")
+        ranks = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            i = ranks.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], never)
         return parts
 
     def fits(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        """Whether merging the joined text of two neighbours gives the same two pieces again."""
+        if len(self.pairs) >= KNOWN_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
 
     def shorter(self, piece: str) -> str | None:
         """The next shorter piece with which this one begins; a single character always counts."""
-        for n in range(len(piece) - 1, 0, -1):
-            if n == 1 or piece[:n] in self.ids:
-                return piece[:n]
-        return None
+        if piece not in self.prefix:
+            n = next((n for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.ids), 0)
+            self.prefix[piece] = piece[:n] or None  # only pieces and single characters come here
+        return self.prefix[piece]
 
     def encode(self, text: str) -> list[str]:
         """Pieces of a normalised text; characters without a piece stay alone."""
-        longest = [1] * len(text)
-        for end, size in self.automaton.iter(text):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        open_ = (1 << (len(text) + 1)) - 1  # bit i: position i has not failed
+        size = len(text)
+        longest = [1] * size
+        for end, n in self.automaton.iter(text):
+            if n > longest[end - n + 1]:
+                longest[end - n + 1] = n
+        failed = bytearray(size + 8 >> 3)  # one bit a position
         out: list[str] = []
-        at = 0
+        at, last, known, prefix = 0, "", self.pairs.get, self.prefix
         piece = text[:longest[0]] if text else None
         while piece is not None:
             end = at + len(piece)
-            if open_ >> end & 1 and self.fits(out[-1] if out else "", piece):
-                out.append(piece)
-                at = end
-                piece = text[at:at + longest[at]] if at < len(text) else None
-                continue
-            piece = self.shorter(piece)
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fit = known((last, piece))
+                if fit or fit is None and self.fits(last, piece):
+                    out.append(piece)
+                    at, last = end, piece
+                    piece = text[at:at + longest[at]] if at < size else None
+                    continue
+            piece = prefix[piece] if piece in prefix else self.shorter(piece)
             while piece is None:
-                open_ &= ~(1 << at)
-                last = out.pop()
+                failed[at >> 3] |= 1 << (at & 7)
                 at -= len(last)
-                piece = self.shorter(last)
+                piece = self.shorter(out.pop())
+                last = out[-1] if out else ""
         return out
 
     def to_ids(self, pieces: list[str]) -> list[int]:
@@ -115,12 +124,15 @@ class Encoder:
                 out += [self.byte_ids[f"<0x{b:02X}>"] for b in p.encode()]
         return out
 
-    def segment_ids(self, text: str) -> tuple:
+    def segment_ids(self, text: str) -> bytes:
+        """Ids of a segment as 32-bit numbers; the last one or two times ``KNOWN_SEGMENTS`` short segments are remembered."""
         known = self.segments.get(text)
         if known is None:
-            known = tuple(self.to_ids(self.encode(text)))
+            known = self.older.get(text)
+            if known is None:
+                known = np.array(self.to_ids(self.encode(text)), np.int32).tobytes()
             if len(self.segments) >= KNOWN_SEGMENTS:
-                self.segments.clear()
+                self.older, self.segments = self.segments, {}
             if len(text) <= 64:
                 self.segments[text] = known
         return known
@@ -142,8 +154,8 @@ class Encoder:
         ends = np.append(starts[1:], len(points))
         number, first = distinct_words(points.view(np.uint8), starts * 4, ends * 4)
         found = [self.segment_ids(joined[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        width = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.int32, int(width.sum()))
+        width = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         per = width[number]
         ids = flat[ragged(per, (np.cumsum(width) - width)[number])]
         before = np.zeros(len(starts) + 1, np.int64)
@@ -177,13 +189,19 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     return d.mapInArrow(run, schema)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str):
+    import sentencepiece
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encoded with ``decoded``: the text of every row's ids; null or no ids give an empty text, other columns stay."""
     d = encoded.drop(decoded)
     schema = StructType([*d.schema, StructField(decoded, StringType())])
 
     def run(batches):
-        model = encoder(model_path).model
+        model = decoder(model_path)
         for b in batches:
             for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
                 texts = [model.decode(x) if x else "" for x in part.column(ids).to_pylist()]

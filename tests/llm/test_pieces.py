@@ -38,7 +38,7 @@ def test_positions_fail_and_are_taken_back():
     e = pieces.Encoder(PATH)
     e.ids = {p: i for i, p in enumerate(["a", "b", "c", "d", "ab", "cd", "bc", "abc"])}
     e.rank = {"bc": 0, "ab": 1, "cd": 2, "abc": 3}
-    e.pairs, e.segments = {}, {}
+    e.pairs, e.prefix = {}, {}
     import ahocorasick
     e.automaton = ahocorasick.Automaton()
     for p in e.ids:
