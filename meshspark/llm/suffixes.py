@@ -364,4 +364,5 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, length: in
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))

@@ -1,11 +1,11 @@
 import hashlib
 import re
 
-import numpy as np
 import pytest
+from test_near_copies import plain_keepers
 
 import corpus_pipeline
-from meshspark.llm import cleaning, leaks, secrets, simhash
+from meshspark.llm import cleaning, leaks, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,13 +32,8 @@ def terms(text):
 def plain(spark, sf):
     docs = {r.doc_id: r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     kept = {i: dict(d, text=t) for i, d in docs.items() if (t := clean(d["text"] or "")) is not None}
-    ids = sorted(kept)
-    fp = np.array([simhash.fingerprint_of(kept[i]["text"]) for i in ids], np.uint64)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
-    label = np.array(ids)
-    for _ in ids:
-        label = np.where(near, label[None, :], 1 << 60).min(axis=1)
-    kept = {i: kept[i] for i, c in zip(ids, label) if i == c}
+    stay, _ = plain_keepers({i: d["text"] for i, d in kept.items()})
+    kept = {i: d for i, d in kept.items() if i in stay}
     items = [terms(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for i in list(kept):
         w = terms(kept[i]["text"])
