@@ -10,6 +10,7 @@ from meshspark.catalog.registry import query
 from meshspark.catalog.sqlviews import GEOM, OBS, POINTS, cols6, r6, u
 from meshspark.functions.vectors import rounded
 from meshspark.operators import pointset as ps, sampling, spatial
+from meshspark.operators.metric_index import nearest_features
 from meshspark.session import cut_lineage
 
 CELL = 0.5
@@ -161,20 +162,31 @@ def nearest_with_cap(spark, sf):
     return m.select("cloud", "qid", F.coalesce("pid", F.lit(-1)).alias("match"), rounded(F.col("dist")).alias("dist"))
 
 
-_FEAT = "[" + ",".join(f"{c}/15.0" for c in ("mx", "my", "mz", "px", "py", "pz", "qx", "qy", "qz")) + ",nx,ny,nz]"
+_FEAT = ",".join(r6(c) for c in ("mx/15.0", "my/15.0", "mz/15.0", "px/15.0", "py/15.0", "pz/15.0", "qx/15.0", "qy/15.0", "qz/15.0", "nx", "ny", "nz"))
 
 
-@query("feature_knn", f"""WITH {GEOM}, ft AS MATERIALIZED (SELECT arch_id, fid, {_FEAT} AS feat FROM geom), nn AS (SELECT a.arch_id, a.fid AS qid, b.fid AS pid, list_distance(a.feat, b.feat) AS dist
+def _d2(dim: int) -> str:
+    return "+".join(f"(CAST(a.feat[{i}] AS DOUBLE)-CAST(b.feat[{i}] AS DOUBLE))*(CAST(a.feat[{i}] AS DOUBLE)-CAST(b.feat[{i}] AS DOUBLE))" for i in range(1, dim + 1))
+
+
+@query("feature_knn", f"""WITH {GEOM}, ft AS MATERIALIZED (SELECT arch_id, fid, [{_FEAT}] AS feat FROM geom), nn AS (SELECT a.arch_id, a.fid AS qid, b.fid AS pid, {_d2(12)} AS d2
   FROM ft a JOIN ft b ON b.arch_id=a.arch_id AND b.fid<>a.fid)
-SELECT arch_id, qid, rank, {cols6('dist')} FROM (SELECT *, row_number() OVER (PARTITION BY arch_id, qid ORDER BY dist) AS rank FROM nn) WHERE rank<=4""")
+SELECT arch_id, qid, rank, pid, {r6('sqrt(d2)')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY arch_id, qid ORDER BY d2, pid) AS rank FROM nn) WHERE rank<=4""")
 def feature_knn(spark, sf):
     g = lattice_geometry(spark, sf)
-    s = F.lit(15.0)
-    feat = F.array(*[F.col(c) / s for c in ("mx", "my", "mz", "px", "py", "pz", "qx", "qy", "qz")], "nx", "ny", "nz")
-    p = cut_lineage(g.select("arch_id", F.col("fid").alias("pid"), (F.col("mx") / s).alias("x"), (F.col("my") / s).alias("y"),
-                             (F.col("mz") / s).alias("z"), feat.alias("feat")))
-    nn = spatial.nearest_features(p.withColumnRenamed("pid", "qid"), p, 4, 0.05, 12, "feat", "arch_id")
-    return nn.select("arch_id", "qid", "rank", rounded(F.col("dist")).alias("dist"))
+    scaled = [F.col(c) / F.lit(15.0) for c in ("mx", "my", "mz", "px", "py", "pz", "qx", "qy", "qz")]
+    feat = F.array(*[rounded(c) for c in scaled], *[rounded(F.col(c)) for c in ("nx", "ny", "nz")])
+    p = cut_lineage(g.select("arch_id", F.col("fid").alias("pid"), feat.alias("feat")))
+    nn = nearest_features(p.withColumnRenamed("pid", "qid"), p, 4, 12, group="arch_id")
+    return nn.select("arch_id", "qid", "rank", "pid", rounded(F.col("dist")).alias("dist"))
+
+
+@query("embedding_knn", f"""WITH {POINTS}, nn AS (SELECT a.cloud, a.pid AS qid, b.pid, {_d2(64)} AS d2 FROM pts a JOIN pts b ON b.cloud=a.cloud AND b.pid<>a.pid)
+SELECT cloud, qid, rank, pid, {r6('sqrt(d2)')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY cloud, qid ORDER BY d2, pid) AS rank FROM nn) WHERE rank<=8""")
+def embedding_knn(spark, sf):
+    p = fixtures.points(spark, sf)
+    nn = nearest_features(p.withColumnRenamed("pid", "qid"), p, 8, 64)
+    return nn.select("cloud", "qid", "rank", "pid", rounded(F.col("dist")).alias("dist"))
 
 
 @query("cap_faces", f"""WITH {GEOM} SELECT arch_id AS patch_id, fid FROM faces QUALIFY row_number() OVER (PARTITION BY arch_id ORDER BY {u('cap', 'arch_id', 'fid')}, fid)<=200""")

@@ -190,41 +190,6 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: s
                          F.col("_pid").alias(pid), F.sqrt("d2").alias("dist"))
 
 
-def nearest_features(queries: DataFrame, points: DataFrame, k: int, cell: float, dim: int, feature: str = "feat",
-                     group: str = "cloud", qid: str = "qid", pid: str = "pid") -> DataFrame:
-    """k nearest in a wide feature space, self excluded: filter on the (x, y, z) part, refine on all dimensions.
-
-    x, y, z must be three of the feature's own dimensions: their distance never exceeds the full one. The k
-    spatially nearest points give each query an upper bound, and one ball search within it is exact.
-    """
-    first = nearest(queries, points, k, cell, group, qid, pid, exclude_self=True)
-    fq = queries.select(F.col(group), F.col(qid), F.col(feature).alias("_fq"))
-    fp = points.select(F.col(group), F.col(pid), F.col(feature).alias("_fp"))
-    # spelled out per dimension: unlike a higher-order function this is compiled with the rest of the stage
-    terms = [F.col("_fq")[i] - F.col("_fp")[i] for i in range(dim)]
-    full = F.sqrt(sum((t * t for t in terms[1:]), terms[0] * terms[0]))
-    bound = first.join(fq, [group, qid]).join(fp, [group, pid]).withColumn("_d", full) \
-        .groupBy(group, qid).agg(F.max("_d").alias("_r"), F.count("*").alias("_k"))
-    q = queries.join(bound, [group, qid])
-    step = F.greatest(F.ceil(F.log2(F.greatest("_r", F.lit(float(cell))) / F.lit(float(cell)))), F.lit(0))
-    located = cut_lineage(q.withColumn("_lv", step.cast("int")))
-    in_use = sorted(r[0] for r in located.select("_lv").distinct().collect())
-    edge = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_lv"))
-    for a in AXES:
-        located = located.withColumn(f"_c{a}", F.explode(F.sequence(
-            F.floor((F.col(a) - F.col("_r")) / edge), F.floor((F.col(a) + F.col("_r")) / edge))))
-    spread = points.withColumn("_lv", F.explode(F.array(*[F.lit(i) for i in in_use or [0]]))).select(
-        group, pid, "_lv", *[F.col(a).alias("p" + a) for a in AXES], F.col(feature).alias("_fp"),
-        *[F.floor(F.col(a) / edge).alias(f"_c{a}") for a in AXES])
-    near = Vec.cols("").minus(Vec.cols("p")).sq() <= F.col("_r") * F.col("_r") * F.lit(1.0 + 1e-9)
-    pairs = located.withColumnRenamed(feature, "_fq").join(spread, [group, "_lv", "_cx", "_cy", "_cz"]) \
-        .filter(near & (F.col(qid) != F.col(pid))).withColumn("dist", full) \
-        .filter(F.col("dist") <= F.col("_r") * F.lit(1.0 + 1e-9))
-    w = Window.partitionBy(group, qid).orderBy("dist", pid)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .select(group, qid, F.col("rank").cast("bigint").alias("rank"), pid, "dist")
-
-
 def in_boxes(faces: DataFrame, frames: DataFrame, group: str = "arch_id") -> DataFrame:
     """Faces inside oriented boxes.
 

@@ -56,17 +56,6 @@ def test_nearest_with_cap_drops_far_points(spark):
     assert got == {9: 1, 11: 2}
 
 
-def test_feature_neighbours_equal_brute_force(spark):
-    rng = np.random.default_rng(5)
-    f = rng.normal(size=(50, 6))
-    rows = [(0, i, *map(float, v[:3]), [float(c) for c in v]) for i, v in enumerate(f)]
-    p = spark.createDataFrame(rows, "cloud bigint, pid bigint, x double, y double, z double, feat array<double>")
-    got = {}
-    for r in spatial.nearest_features(p.withColumnRenamed("pid", "qid"), p, 3, 0.2, 6).orderBy("qid", "rank").collect():
-        got.setdefault(r.qid, []).append(r.pid)
-    assert got == brute(f, 3, True)
-
-
 def test_ball_query_pads_with_first_hit_and_empty_is_zero(spark):
     p = frame(spark, [np.array([[0.0, 0, 0], [0.5, 0, 0], [0.9, 0, 0], [50.0, 0, 0]])])
     q = spark.createDataFrame([(0, 0, 0.2, 0.0, 0.0), (0, 1, -20.0, 0.0, 0.0)], "cloud bigint, qid bigint, x double, y double, z double")
