@@ -10,6 +10,7 @@ from meshspark.catalog.registry import query
 from meshspark.catalog.sqlviews import GEOM, OBS, POINTS, cols6, r6, u
 from meshspark.functions.vectors import rounded
 from meshspark.operators import pointset as ps, sampling, spatial
+from meshspark.operators.farthest import farthest_points
 from meshspark.operators.metric_index import nearest_features
 from meshspark.session import cut_lineage
 
@@ -69,13 +70,13 @@ def _fps_rounds(src: str, keys: str, order: str, start: str, k: int) -> str:
 @query("fps", f"WITH {POINTS}, {_fps_rounds('pts', 'cloud', 'pid', 'pid', 8)} SELECT cloud, CAST(step-1 AS BIGINT) AS step, pid FROM s8")
 def fps(spark, sf):
     p, _ = _pts(spark, sf)
-    return sampling.farthest_points(p, 8)
+    return farthest_points(p, 8)
 
 
-@query("token_sample", f"WITH {POINTS}, {_fps_rounds('pts', 'cloud', 'pid', 'pid', 6)} SELECT cloud, CAST(step-1 AS BIGINT) AS step, pid FROM s6")
+@query("token_sample", f"WITH {POINTS}, {_fps_rounds('pts', 'cloud', 'pid', 'pid', 24)} SELECT cloud, CAST(step-1 AS BIGINT) AS step, pid FROM s24")
 def token_sample(spark, sf):
     p, _ = _pts(spark, sf)
-    return sampling.farthest_points(p, 6)
+    return farthest_points(p, 24)
 
 
 @query("dilated_fps", f"""WITH {POINTS}, {CAND}, {_FPS2}, {_fps_rounds('p1', 'cloud, level, qid', 'rank', 'rank', 4)}
@@ -92,7 +93,7 @@ w AS (SELECT *, 1.0/(dist+CAST(1e-8 AS DOUBLE)) AS w FROM nn WHERE rank<=3)
 SELECT cloud, qid, {r6('sum(w*CAST(feat[1] AS DOUBLE))/sum(w)')} AS f0, {r6('sum(w*CAST(feat[2] AS DOUBLE))/sum(w)')} AS f1 FROM w GROUP BY ALL""")
 def three_nn_interp(spark, sf):
     p, q = _pts(spark, sf, feat=True)
-    known = cut_lineage(p.join(sampling.farthest_points(p, 8).select("cloud", "pid"), ["cloud", "pid"]))
+    known = cut_lineage(p.join(farthest_points(p, 8).select("cloud", "pid"), ["cloud", "pid"]))
     f = ps.three_interpolate(q, known, 2, CELL)
     return f.select("cloud", "qid", rounded(F.col("feat")[0]).alias("f0"), rounded(F.col("feat")[1]).alias("f1"))
 
@@ -125,7 +126,7 @@ def edge_pool(spark, sf):
 SELECT cloud, qid, {r6('max(dx) FILTER (rn<=8)')} AS a0, {r6('max(f0) FILTER (rn<=8)')} AS a3, {r6('max(dx) FILTER (rn<=16)')} AS b0 FROM hits GROUP BY ALL""")
 def set_abstraction(spark, sf):
     p, _ = _pts(spark, sf, feat=True)
-    c = sampling.farthest_points(p, 5).join(p.select("cloud", "pid", "x", "y", "z"), ["cloud", "pid"]) \
+    c = farthest_points(p, 5).join(p.select("cloud", "pid", "x", "y", "z"), ["cloud", "pid"]) \
         .select("cloud", F.col("pid").alias("qid"), "x", "y", "z")
     v = ps.set_abstraction(cut_lineage(c), p, [(3.0, 8), (3.0, 16)], 2)
     return v.select("cloud", "qid", rounded(F.col("pooled")[0]).alias("a0"), rounded(F.col("pooled")[3]).alias("a3"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from meshspark.functions.hashing import uniform
-from meshspark.operators.ordinals import attach, take_smallest
+from meshspark.operators.ordinals import attach, blocks, take_smallest
 from meshspark.session import cut_lineage
 
 UNIT = 2048
@@ -25,13 +25,6 @@ SLACK = 1.0 + 1e-9
 _UNIT = ["_g", "_cell", "_ring", "_part"]
 
 
-def _blocks(df: DataFrame, keys: list[str], ident: str, size: int, columns: list[str], out: str) -> DataFrame:
-    """(keys..., _b, out array<struct<columns>>): rows of each key in blocks of about ``size`` by a hash of ``ident``."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    d = attach(df, n, keys, [ident]).withColumn("_b", F.pmod(F.xxhash64(ident), F.ceil(F.col("_n") / size)))
-    return d.groupBy(*keys, "_b").agg(F.collect_list(F.struct(*columns)).alias(out))
-
-
 def _lists(column: pa.ListArray, i: int) -> pa.StructArray:
     return column.slice(i, 1).flatten()
 
@@ -166,7 +159,7 @@ def nearest_features(queries: DataFrame, points: DataFrame, k: int, dim: int, fe
     pivots = cut_lineage(drawn.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("pivots")))
 
     def assigned(rows: DataFrame) -> DataFrame:
-        b = attach(_blocks(rows, ["_g"], "i", unit, ["i", "f"], "rows"), pivots, ["_g"], ["_b"])
+        b = attach(blocks(rows, ["_g"], "i", unit, ["i", "f"], "rows"), pivots, ["_g"], ["_b"])
         return b.select("_g", "rows", "pivots").mapInArrow(
             _assigned(dim, need, g_type), f"_g {g_name}, i bigint, f array<double>, _cell int, r double, bound double")
 
@@ -174,14 +167,14 @@ def nearest_features(queries: DataFrame, points: DataFrame, k: int, dim: int, fe
     cells = p.groupBy("_g", "_cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.ceil(F.count("*") / unit).cast("int").alias("rings"))
     cells = cut_lineage(cells)
     p = attach(p, cells, ["_g", "_cell"], ["i"]).withColumn("_ring", _ring("r")).drop("low", "high", "rings")
-    units = _blocks(p, ["_g", "_cell", "_ring"], "i", unit, ["i", "f", "r"], "points").withColumnRenamed("_b", "_part")
+    units = blocks(p, ["_g", "_cell", "_ring"], "i", unit, ["i", "f", "r"], "points").withColumnRenamed("_b", "_part")
     units = cut_lineage(units)
     met = units.select(*_UNIT, F.array_min("points.r").alias("lo"), F.array_max("points.r").alias("hi"), F.size("points").alias("n"))
     parts = met.groupBy("_g", "_cell", "_ring").agg(F.count("*").alias("_parts"))
 
     def search(rows: DataFrame) -> DataFrame:
         """rows: (unit, i, f, bound)."""
-        b = _blocks(rows, _UNIT, "i", unit, ["i", "f", "bound"], "queries")
+        b = blocks(rows, _UNIT, "i", unit, ["i", "f", "bound"], "queries")
         return b.join(units, _UNIT).select("_g", "queries", "points").mapInArrow(
             _searched(dim, k, exclude_self, g_type), f"_g {g_name}, qid bigint, pid bigint, d2 double")
 
@@ -194,7 +187,7 @@ def nearest_features(queries: DataFrame, points: DataFrame, k: int, dim: int, fe
         .filter(F.col("_k") >= k).drop("_k")
     q = cut_lineage(q.join(closer, ["_g", "i"], "left").withColumn("bound", F.least("bound", F.coalesce("_r", "bound"))).drop("_r"))
     index = pivots.join(cells.groupBy("_g").agg(F.collect_list(F.struct("_cell", "low", "high")).alias("cells")), "_g")
-    probes = attach(_blocks(q, ["_g"], "i", unit, ["i", "f", "bound", "_cell"], "queries"), index, ["_g"], ["_b"]) \
+    probes = attach(blocks(q, ["_g"], "i", unit, ["i", "f", "bound", "_cell"], "queries"), index, ["_g"], ["_b"]) \
         .select("_g", "queries", "pivots", "cells").mapInArrow(_probed(dim, g_type), f"_g {g_name}, i bigint, _vc int, d double, reach double")
     visits = attach(probes, met.withColumnRenamed("_cell", "_vc"), ["_g", "_vc"], ["i"]) \
         .filter((F.col("d") - F.col("reach") <= F.col("hi")) & (F.col("d") + F.col("reach") >= F.col("lo"))) \

@@ -85,3 +85,12 @@ def take_smallest(df: DataFrame, keys: list[str], draw: Column, tie: list[str],
     edge = j.filter((F.col("_off") < F.col("_lim")) & (F.col("_off") + F.col("_n") > F.col("_lim"))) \
         .withColumn("_rn", rn).filter(F.col("_rn") + F.col("_off") <= F.col("_lim")).drop("_rn")
     return whole.unionByName(edge).select(*df.columns)
+
+
+def blocks(df: DataFrame, keys: list[str], ident: str, size, columns: list[str], name: str) -> DataFrame:
+    """(keys..., _b, name array<struct<columns>>): rows of each key in blocks of about ``size`` rows (a number or a column that
+    is constant for a key), dealt by a hash of ``ident``."""
+    per = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    limit = F.lit(size) if isinstance(size, int) else size
+    d = attach(df, per, keys, [ident]).withColumn("_b", F.pmod(F.xxhash64(ident), F.ceil(F.col("_n") / limit)))
+    return d.groupBy(*keys, "_b").agg(F.collect_list(F.struct(*columns)).alias(name))

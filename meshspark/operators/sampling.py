@@ -1,4 +1,4 @@
-"""Farthest-point sampling, dilated neighbourhoods, exact caps, thinning and spatial splits."""
+"""Dilated neighbourhoods, exact caps, thinning and spatial splits."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshspark.functions.hashing import uniform
-from meshspark.functions.vectors import Vec
 from meshspark.operators.ordinals import attach, row_ordinal, take_smallest
-from meshspark.session import cut_lineage
 
 
 def cap_faces(faces: DataFrame, max_faces: int, key: str = "patch_id", seed: str = "cap") -> DataFrame:
@@ -67,36 +65,6 @@ def even_sample(df: DataFrame, key: str, index: str, n: str, k: int) -> DataFram
     return df.filter((F.col(n) <= k) | F.array_contains(picks, F.col(index)))
 
 
-def farthest_points(points: DataFrame, n: int, group: str = "cloud", pid: str = "pid",
-                    skip_near_zero: bool = False) -> DataFrame:
-    """Farthest-point sample of each cloud: (group, step, pid). Start is the smallest id; ties keep the smaller id.
-
-    Each round is one partial aggregate over all clouds; only one small row per cloud is carried along. Clouds with
-    at most n points give all of them, in sampling order. ``skip_near_zero`` leaves points at the origin out of
-    the later picks (|p|^2 <= 1e-3).
-    """
-    p = points.select(F.col(group).alias("g"), F.col(pid).alias("i"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
-    p = cut_lineage(p)
-    start = p.groupBy("g").agg(F.min(F.struct("i", "x", "y", "z")).alias("s"))
-    chosen = cut_lineage(start.select("g", F.array("s").alias("c")))
-    pool = p.filter(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2 > 1e-3) if skip_near_zero else p
-    here = Vec.cols("")
-
-    def gap(c):
-        return here.minus(Vec(c["x"], c["y"], c["z"])).sq()
-
-    for _ in range(n - 1):
-        j = attach(pool, chosen, ["g"], ["i"]).filter(~F.exists("c", lambda c: c["i"] == F.col("i")))
-        dist = F.array_min(F.transform("c", gap))
-        best = j.groupBy("g").agg(F.max(F.struct(dist.alias("d"), (-F.col("i")).alias("o"), "x", "y", "z")).alias("b"))
-        nxt = best.select("g", F.struct((-F.col("b.o")).alias("i"), "b.x", "b.y", "b.z").alias("s"))
-        grown = chosen.join(nxt, "g", "left").select(
-            "g", F.when(F.col("s").isNotNull(), F.concat("c", F.array("s"))).otherwise(F.col("c")).alias("c"))
-        chosen = cut_lineage(grown)
-    return chosen.select(F.col("g").alias(group), F.posexplode("c").alias("step", "s")) \
-        .select(group, F.col("step").cast("bigint").alias("step"), F.col("s.i").alias(pid))
-
-
 POOLS_AT_ONCE = 256  # only sets how much one numpy step holds
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from meshspark.operators import pointset, sampling, spatial
+from meshspark.operators.farthest import farthest_points
 
 
 def cloud(seed, n, shape):
@@ -74,7 +75,7 @@ def test_ball_is_open_and_margin_is_closed(spark):
 
 def test_farthest_points_small_cloud_gives_all(spark):
     a = cloud(4, 6, "plain")
-    got = sampling.farthest_points(frame(spark, [a]), 10).orderBy("step").collect()
+    got = farthest_points(frame(spark, [a]), 10).orderBy("step").collect()
     assert sorted(r.pid for r in got) == list(range(6)) and got[0].pid == 0
 
 
