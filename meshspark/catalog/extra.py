@@ -93,9 +93,23 @@ def colour_transfer(spark, sf):
     return transfer_vertex_colours(moved, v, 0.5).select("arch_id", "vid", "r", "g", "b")
 
 
-@query("view_fit")
+_SEEN = ", ".join(f"{m}({m}(c{a})) OVER w AS {m}_{a}" for a in "xyz" for m in ("min", "max"))
+_FIT = ", ".join(f"(s.min_{a}+s.max_{a})/2.0{sign}greatest((s.max_{a}-s.min_{a})/2.0,CAST(0.001 AS DOUBLE))*CAST(1.7 AS DOUBLE) AS {n}_{a}"
+                 for a in "xyz" for n, sign in (("lo", "-"), ("hi", "+")))
+_IN = " AND ".join(f"s.min_{a}>=f.lo_{a} AND s.max_{a}<=f.hi_{a}" for a in "xyz")
+_BOX = [f"{n}_{a}" for a in "xyz" for n in ("lo", "hi")]
+
+
+@query("view_fit", f"""WITH RECURSIVE {V3}, s AS MATERIALIZED (SELECT run_id, cycle, row_number() OVER (PARTITION BY run_id ORDER BY cycle) AS k, {_SEEN} FROM fr GROUP BY run_id, cycle
+  WINDOW w AS (PARTITION BY run_id ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f AS (SELECT run_id, cycle, k, true AS refit, {_FIT} FROM s WHERE k=1
+  UNION ALL SELECT s.run_id, s.cycle, s.k, NOT ({_IN}), {", ".join(f"CASE WHEN {_IN} THEN f.{c} ELSE n.{c} END" for c in _BOX)}
+  FROM f JOIN s ON s.run_id=f.run_id AND s.k=f.k+1 JOIN (SELECT run_id, k, {_FIT} FROM s) n ON n.run_id=s.run_id AND n.k=s.k)
+SELECT f.run_id, f.cycle, f.refit, {", ".join(f"{r6('f.' + c)} AS {c}" for c in _BOX)}, {", ".join(f"{r6('s.' + c)} AS {c}" for a in "xyz" for c in (f"min_{a}", f"max_{a}"))}
+FROM f JOIN s USING (run_id, cycle)""")
 def view_fit(spark, sf):
-    return tp.grow_only_fit(tp.bounds(fixtures.frames(spark, sf), ["run_id", "cycle"]))
+    d = tp.grow_only_fit(tp.bounds(fixtures.frames(spark, sf), ["run_id", "cycle"]))
+    return out(d, ["run_id", "cycle", "refit"], [c for c in d.columns if c[:3] in ("lo_", "hi_", "min", "max")])
 
 
 @query("gum_smoothing_step")

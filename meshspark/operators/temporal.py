@@ -5,10 +5,13 @@ Frame-level steps use bucketed look-backs; everything per cycle works on aggrega
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshspark.functions.labels import LEFT_SWEEP, RIGHT_SWEEP
-from meshspark.operators.ordinals import with_lookback
+from meshspark.operators.ordinals import attach, with_lookback
+from meshspark.session import cut_lineage
 
 MIN_FACES, CONFIRM_CYCLES = 30, 8  # fixed values
 
@@ -164,19 +167,45 @@ def oscillation(counts: DataFrame, a: int, b: int) -> DataFrame:
 def ema_by_key(scores: DataFrame, keys: list[str], order: str, value: str, alpha: float) -> DataFrame:
     """Blend with the previous cycle of the same key: alpha * raw + (1 - alpha) * previous; a missing cycle restarts.
 
-    scores: one row per key and cycle. The fold runs over each key's own few cycles.
+    scores: one row per key and cycle (an integer), keys not null. A step is the affine map of the previous value, so a history is a scan of composed
+    maps: prefix sums inside buckets of cycles, and between buckets the value that the bucket before hands on. A bucket that is run
+    through passes on less than 1e-12 of what came in, so what two buckets hand on is all that a double can hold. No
+    task holds a key: windows see one bucket, and buckets meet by number.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    start = F.expr("cast(array() as array<struct<o:bigint,v:double>>)")
-
-    def step(acc, e):
-        prev = F.element_at(acc, -1)
-        linked = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["o"] == e["o"] - 1)
-        v = F.when(linked, F.lit(alpha) * e["v"] + F.lit(1.0 - alpha) * F.get(acc, F.size(acc) - 1)["v"]).otherwise(e["v"])
-        return F.concat(acc, F.array(F.struct(e["o"].alias("o"), v.alias("v"))))
-
-    return scores.groupBy(*keys).agg(seq.alias("_s")).select(*keys, F.explode(F.aggregate("_s", start, step)).alias("e")) \
-        .select(*keys, F.col("e.o").alias(order), F.col("e.v").alias("blended"))
+    d = 1.0 - alpha
+    if not 1e-6 <= alpha <= 1.0:
+        raise ValueError("alpha must lie between 1e-6 and 1")
+    length = 1 if d <= 1e-12 else max(1, math.ceil(-12.0 / math.log10(d)))
+    rows = scores.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_x"), F.floor(F.col(order) / length).alias("_bk"))
+    bucket = Window.partitionBy(*keys, "_bk").orderBy("_o")
+    rows = rows.withColumn("_new", (F.coalesce(F.lag("_o").over(bucket) != F.col("_o") - 1, F.lit(True))).cast("int")) \
+        .withColumn("_seg", F.sum("_new").over(bucket))
+    seg = Window.partitionBy(*keys, "_bk", "_seg").orderBy("_o")
+    j = F.row_number().over(seg) - 1
+    rows = rows.withColumn("_j", j).withColumn("_x0", F.first("_x").over(seg))
+    # weights grow by at most 1e12 inside a bucket
+    up = F.pow(F.lit(d), -F.col("_j")) if d > 1e-12 else F.when(F.col("_j") == 0, 1.0).otherwise(0.0)
+    total = F.sum(F.when(F.col("_j") > 0, up * F.col("_x")).otherwise(0.0)).over(seg.rowsBetween(Window.unboundedPreceding, 0))
+    own = F.pow(F.lit(d), "_j") * (F.col("_x0") + F.lit(alpha) * F.col("_t")) if d > 1e-12 else F.col("_x")
+    rows = rows.withColumn("_t", total).withColumn("_u", own)
+    # what a bucket hands on: u + d^n (c - x0) if one unbroken segment of n rows leads through it, else u
+    last = F.max_by(F.struct("_o", "_u", "_seg", "_j", "_x0"), "_o").alias("_l")
+    handed = rows.groupBy(*keys, "_bk").agg(F.min("_o").alias("_first"), last) \
+        .select(*keys, "_bk", "_first", F.col("_l._o").alias("_last"), F.col("_l._u").alias("_u"),
+                F.when(F.col("_l._seg") == 1, F.pow(F.lit(d), F.col("_l._j") + 1)).otherwise(F.lit(0.0)).alias("_w"), F.col("_l._x0").alias("_x0"))
+    handed = cut_lineage(handed)
+
+    def before(table: DataFrame, carry: DataFrame) -> DataFrame:
+        """The value handed on by the bucket before, where its last cycle is the one before this bucket's first."""
+        c = carry.select(*keys, (F.col("_bk") + 1).alias("_bk"), (F.col("_last") + 1).alias("_first"), F.col("_c"))
+        return table.join(c, [*keys, "_bk", "_first"], "left")
+
+    once = before(handed, handed.withColumn("_c", F.col("_u")))
+    once = once.withColumn("_c", F.col("_u") + F.when(F.col("_c").isNotNull(), F.col("_w") * (F.col("_c") - F.col("_x0"))).otherwise(F.lit(0.0)))
+    carried = before(handed.select(*keys, "_bk", "_first"), once).filter("_c is not null").drop("_first")
+    out = rows.join(carried, [*keys, "_bk"], "left")
+    fix = F.when((F.col("_seg") == 1) & F.col("_c").isNotNull(), F.pow(F.lit(d), F.col("_j") + 1) * (F.col("_c") - F.col("_x0"))).otherwise(F.lit(0.0))
+    return out.select(*keys, F.col("_o").alias(order), (F.col("_u") + fix).alias("blended"))
 
 
 def bounds(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,30 +244,51 @@ def sessions(frames: DataFrame, is_reset: Column, bucket_size: int = 4096) -> Da
         .select(*frames.columns, (F.col("_base") + F.col("_in")).alias("session"))
 
 
+def running_bounds(per_cycle: DataFrame, bucket_size: int = 1024) -> DataFrame:
+    """Bounds of all cycles of the run up to each one: bounds per bucket of cycles first, then inside the bucket."""
+    sides = [(f"{m}_{a}", F.min if m == "min" else F.max, F.least if m == "min" else F.greatest) for a in "xyz" for m in ("min", "max")]
+    d = per_cycle.withColumn("_bk", F.floor(F.col("cycle") / bucket_size))
+    whole = d.groupBy("run_id", "_bk").agg(*[f(c).alias(c) for c, f, _ in sides])
+    earlier = Window.partitionBy("run_id").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("run_id", "_bk", *[f(c).over(earlier).alias("_" + c) for c, f, _ in sides])
+    inside = Window.partitionBy("run_id", "_bk").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("run_id", "_bk", "cycle", *[f(c).over(inside).alias(c) for c, f, _ in sides])
+    return d.join(whole, ["run_id", "_bk"]).select("run_id", "cycle", *[join(c, "_" + c).alias(c) for c, _, join in sides])
+
+
 def grow_only_fit(per_cycle: DataFrame, margin: float = 1.7) -> DataFrame:
     """View box per run and cycle: kept while everything seen so far fits, else refitted with a margin.
 
-    per_cycle: one row of bounds per (run_id, cycle); the fold runs over a run's own cycles.
+    per_cycle: one row of bounds per (run_id, cycle). Running bounds only grow, so the next refit of a run is the first cycle whose
+    running bounds leave the current box: a keyed minimum. Each refit widens an axis by a share of the margin, so rounds are
+    few (the logarithm of how far the bounds grow), and no history is gathered.
     """
     axes = "xyz"
-    b = F.struct("cycle", *[f"{m}_{a}" for a in axes for m in ("min", "max")])
-    runs = per_cycle.groupBy("run_id").agg(F.array_sort(F.collect_list(b)).alias("_s"))
-    fields = ", ".join(f"{n}_{a}:double" for a in axes for n in ("lo", "hi", "min", "max"))
-    start = F.expr(f"cast(array() as array<struct<cycle:bigint,refit:boolean,{fields}>>)")
-
-    def step(acc, e):
-        p = F.get(acc, F.size(acc) - 1)
-        lo = {a: F.least(p[f"min_{a}"], e[f"min_{a}"]) for a in axes}
-        hi = {a: F.greatest(p[f"max_{a}"], e[f"max_{a}"]) for a in axes}
-        fits = F.size(acc) > 0
-        for a in axes:
-            fits = fits & (lo[a] >= p[f"lo_{a}"]) & (hi[a] <= p[f"hi_{a}"])
-        cols = [e["cycle"].alias("cycle"), (~fits).alias("refit")]
+    seen = cut_lineage(running_bounds(per_cycle))
+    lo = [F.col(f"min_{a}") for a in axes]
+    hi = [F.col(f"max_{a}") for a in axes]
+    box = []
+    for a, low, high in zip(axes, lo, hi):
+        mid, half = (low + high) / 2.0, F.greatest((high - low) / 2.0, F.lit(1e-3)) * margin
+        box += [(mid - half).alias(f"lo_{a}"), (mid + half).alias(f"hi_{a}")]
+    bounds_at = F.struct("cycle", *lo, *hi)
+
+    def fitted(first: DataFrame) -> DataFrame:
+        return cut_lineage(first.select("run_id", "_m.*").select("run_id", F.col("cycle").alias("since"), *box))
+
+    now = fitted(seen.groupBy("run_id").agg(F.min_by(bounds_at, "cycle").alias("_m")))
+    fits = now
+    while True:
+        leaves = F.lit(False)
         for a in axes:
-            mid, half = (lo[a] + hi[a]) / 2.0, F.greatest((hi[a] - lo[a]) / 2.0, F.lit(1e-3)) * margin
-            cols += [F.when(fits, p[f"lo_{a}"]).otherwise(mid - half).alias(f"lo_{a}"),
-                     F.when(fits, p[f"hi_{a}"]).otherwise(mid + half).alias(f"hi_{a}"),
-                     lo[a].alias(f"min_{a}"), hi[a].alias(f"max_{a}")]
-        return F.concat(acc, F.array(F.struct(*cols)))
-
-    return runs.select("run_id", F.explode(F.aggregate("_s", start, step)).alias("e")).select("run_id", "e.*")
+            leaves = leaves | (F.col(f"min_{a}") < F.col(f"lo_{a}")) | (F.col(f"max_{a}") > F.col(f"hi_{a}"))
+        later = attach(seen, now, ["run_id"], ["cycle"]).filter((F.col("cycle") > F.col("since")) & leaves)
+        now = fitted(later.groupBy("run_id").agg(F.min_by(bounds_at, "cycle").alias("_m")))
+        if now.isEmpty():
+            break
+        fits = fits.unionByName(now)
+    spans = cut_lineage(fits.withColumn("_until", F.lead("since").over(Window.partitionBy("run_id").orderBy("since"))))
+    met = attach(seen, spans, ["run_id"], ["cycle"]) \
+        .filter((F.col("cycle") >= F.col("since")) & (F.col("_until").isNull() | (F.col("cycle") < F.col("_until"))))
+    return met.select("run_id", "cycle", (F.col("cycle") == F.col("since")).alias("refit"),
+                      *[f"{n}_{a}" for a in axes for n in ("lo", "hi", "min", "max")])
