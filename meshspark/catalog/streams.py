@@ -10,7 +10,7 @@ from meshspark.catalog.sqlviews import COUNTS, FACES, OBS, V3, cols6, r6
 from meshspark.catalog.temporal import CYC, MIN, STREAK
 from meshspark.functions.vectors import rounded
 from meshspark.session import cut_lineage, scratch_path
-from meshspark.sources import cache, frames as fr, mesh_text, snapshots
+from meshspark.sources import cache, frames as fr, mesh_text, ply, snapshots
 from meshspark.streaming import live
 
 
@@ -114,17 +114,14 @@ def cache_append(spark, sf):
     return spark.read.parquet(path).groupBy("arch_id").agg(F.count("*").alias("n_faces"))
 
 
-@query("mesh_text_roundtrip", f"""WITH {FACES} SELECT arch_id, count(*) AS n_faces, CAST(sum(label) AS BIGINT) AS label_sum FROM faces GROUP BY arch_id""")
+@query("mesh_text_roundtrip", f"""WITH {FACES}, o AS (SELECT *, row_number() OVER (PARTITION BY arch_id ORDER BY fid)-1 AS line FROM faces)
+SELECT arch_id, line AS fid, v0, v1, v2, label FROM o""")
 def mesh_text_roundtrip(spark, sf):
-    """Coloured text meshes out, face lines back in, labels recovered from the colours."""
-    from meshspark.functions import labels as lab
+    """Coloured text meshes out and in again: corners, and labels recovered from the colours."""
     path = scratch_path(spark, "ply")
     mesh_text.write_coloured_meshes(fixtures.lattice_vertices(spark, sf), fixtures.lattice_faces(spark, sf), path)
-    p = F.split("value", " ")
-    rows = spark.read.text(path).filter(F.size(p) == 7).select(
-        F.regexp_extract("mesh", r"(\d+)$", 1).cast("bigint").alias("arch_id"),
-        *[p[4 + i].cast("bigint").alias(c) for i, c in enumerate("rgb")])
-    return lab.with_label_from_rgb(rows).groupBy("arch_id").agg(F.count("*").alias("n_faces"), F.sum("label").alias("label_sum"))
+    _, f = ply.read_labelled(spark, path, pattern="*")
+    return f.select(F.regexp_extract("arch_id", r"(\d+)$", 1).cast("bigint").alias("arch_id"), "fid", "v0", "v1", "v2", "label")
 
 
 @query("stream_fold_once")
