@@ -9,7 +9,7 @@ from meshspark.catalog.common import lattice_geometry, out
 from meshspark.catalog.registry import query
 from meshspark.catalog.sqlviews import GEOM, OBS, POINTS, cols6, r6, u
 from meshspark.functions.vectors import rounded
-from meshspark.operators import pointset as ps, sampling, spatial
+from meshspark.operators import axis_split, pointset as ps, sampling, spatial
 from meshspark.operators.farthest import farthest_points
 from meshspark.operators.metric_index import nearest_features
 from meshspark.session import cut_lineage
@@ -218,6 +218,22 @@ def spatial_split(spark, sf):
     return sampling.spatial_split(o, F.col("cx"), 4, "one", "k", tie_bucket=F.expr("part div 16")).select("chunk", "line", "part", "piece")
 
 
+_PIECES = f"""cv AS MATERIALIZED (SELECT arch_id, {", ".join(f"covar_pop(m{a}, m{b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM geom GROUP BY arch_id),
+it AS (SELECT arch_id, 0 AS i, CAST(1.0 AS DOUBLE) AS x, CAST(0.7 AS DOUBLE) AS y, CAST(0.3 AS DOUBLE) AS z FROM cv UNION ALL
+  SELECT arch_id, i+1, px/s, py/s, pz/s FROM (SELECT *, sqrt(px*px+py*py+pz*pz) AS s FROM (SELECT arch_id, i, xx*x+xy*y+xz*z AS px, xy*x+yy*y+yz*z AS py, xz*x+yz*y+zz*z AS pz
+  FROM it JOIN cv USING (arch_id) WHERE i<400))),
+ax AS (SELECT arch_id, x*g AS x, y*g AS y, z*g AS z FROM (SELECT *, sign(CASE WHEN abs(x)>=abs(y) AND abs(x)>=abs(z) THEN x WHEN abs(y)>=abs(z) THEN y ELSE z END) AS g FROM it WHERE i=400)),
+al AS (SELECT arch_id, fid, {r6('mx*x+my*y+mz*z')} AS pos FROM geom JOIN ax USING (arch_id))"""
+
+
+@query("main_axis_split", f"""WITH RECURSIVE {GEOM}, {_PIECES}
+SELECT arch_id, fid, ntile(5) OVER (PARTITION BY arch_id ORDER BY pos, fid)-1 AS piece FROM al""")
+def main_axis_split(spark, sf):
+    """Five pieces of each mesh along its main axis; positions are rounded, so that both engines see the same ties."""
+    g = cut_lineage(lattice_geometry(spark, sf).select("arch_id", "fid", "mx", "my", "mz"))
+    return axis_split.split_main_axis(g, 5, digits=6).select("arch_id", "fid", "piece")
+
+
 @query("even_sample", f"""WITH e AS (SELECT DISTINCT o_custkey%20 AS run_id FROM orders), s AS (SELECT run_id, i FROM e, (SELECT unnest(generate_series(0,10)) AS i))
 SELECT DISTINCT run_id, CAST(round_even(i*((c.n-1)/10.0),0) AS BIGINT) AS epoch FROM s JOIN (SELECT o_custkey%20 AS run_id, count(*) AS n FROM orders GROUP BY 1) c USING (run_id)""")
 def even_sample(spark, sf):
