@@ -16,11 +16,14 @@ CORNERS = ("p", "q", "r")
 
 def gather_corners(faces: DataFrame, vertices: DataFrame, attrs: tuple[str, ...] = ("x", "y", "z"),
                    key: str = "arch_id") -> DataFrame:
-    """Attach the attributes of the three corner vertices as ``p*``, ``q*``, ``r*`` columns."""
+    """Attach the attributes of the three corner vertices as ``p*``, ``q*``, ``r*`` columns; a corner that is no vertex is an error."""
     out = faces
     for i, p in enumerate(CORNERS):
-        v = vertices.select(F.col(key), F.col("vid").alias(f"v{i}"), *[F.col(c).alias(p + c) for c in attrs])
-        out = out.join(v, [key, f"v{i}"])
+        v = vertices.select(F.col(key), F.col("vid").alias(f"v{i}"), *[F.col(c).alias(p + c) for c in attrs], F.lit(True).alias("_known"))
+        out = out.join(v, [key, f"v{i}"], "left")
+        first = p + attrs[0]
+        lost = F.raise_error(F.concat(F.lit("no vertex "), F.coalesce(F.col(f"v{i}").cast("string"), F.lit("null")), F.lit(" in mesh "), F.col(key).cast("string")))
+        out = out.withColumn(first, F.when(F.col("_known"), F.col(first)).otherwise(lost.cast(out.schema[first].dataType))).drop("_known")
     return out
 
 

@@ -3,6 +3,7 @@
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from meshspark.functions.hashing import uniform_between
@@ -86,3 +87,12 @@ def test_board_and_threshold(spark):
     rows = [(200, 60, 60)] * 40 + [(120, 118, 110)] * 60 + [(102, 102, 102)] * 5
     t = jobs.redness_threshold(spark.createDataFrame(rows, "r bigint, g bigint, b bigint")).toPandas()
     assert isinstance(t, pd.DataFrame) and len(t) == 1
+
+
+def test_a_corner_without_a_vertex_is_an_error(spark):
+    from meshspark.operators import mesh
+    v = spark.createDataFrame([(0, i, float(i), 0.0, 1.0) for i in range(3)], "arch_id long, vid long, x double, y double, z double")
+    good, bad = (spark.createDataFrame([(0, 0, 0, 1, k)], "arch_id long, fid long, v0 long, v1 long, v2 long") for k in (2, 9))
+    assert mesh.gather_corners(good, v).count() == 1
+    with pytest.raises(Exception, match="no vertex 9 in mesh 0"):
+        mesh.gather_corners(bad, v).collect()
