@@ -13,14 +13,18 @@ from meshspark.session import scratch_path
 
 # (kind, version, pattern, group that must be long enough, least characters); order is the order of kinds at one start.
 _KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-# To the END mark, over header lines and escaped line feeds; without one to the next BEGIN mark or the end of the text.
+# To the END mark. Without one before the next BEGIN mark: over header lines and lines of base64 alone, with plain or escaped line feeds
+# (a last line at the end of the text may be short), so that prose which only names the mark is left as it is.
 _MARK = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-_PEM = f"-----BEGIN {_MARK}(?:(?!-----(?:BEGIN|END) {_MARK}).)*+(?:-----END {_MARK})?"
+_FEED = r"[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*"
+_HEADER = r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+"
+_BODY = f"(?:(?:{_FEED})++(?:{_HEADER}|=?[A-Za-z0-9+/]{{16,}}+={{0,2}}|=?[A-Za-z0-9+/]++={{0,2}}(?=\\s*\\Z)|=[A-Za-z0-9+/]{{4}}(?![A-Za-z0-9+/])))++(?:{_FEED})*+"
+_PEM = f"-----BEGIN {_MARK}(?:(?:(?!-----(?:BEGIN|END) {_MARK}).)*+-----END {_MARK}|{_BODY})"
 RULES = (
     ("assign", "1", "(" + _KEY + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
     ("access", "1", "AKIA[A-Z0-9]+", 0, 18),
     ("hex", "1", "[0-9a-f]{16,}", 0, 16),
-    ("pem", "2", _PEM, 0, 1),
+    ("pem", "3", _PEM, 0, 1),
     ("jwt", "1", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("forge", "1", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("chat", "1", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
@@ -124,7 +128,11 @@ def _redacted(batches):
 
 
 def redact(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
-    """All documents, each secret replaced by its kind in brackets; overlapping spans become one. n_chars follows the text."""
+    """All documents, each secret replaced by its kind in brackets; overlapping spans become one. n_chars follows the text.
+
+    Null texts stay null, empty and very long ones are read whole, equal rows all come back, an empty table gives an empty one. A column
+    named findings is replaced.
+    """
     d = scan(docs, ledger, rules, docs.columns)
     out = d.mapInArrow(_redacted, docs.drop("findings").schema)
     if "n_chars" in docs.columns:
