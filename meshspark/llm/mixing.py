@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from meshspark.llm.shared import keep, query, read
+from meshspark.llm.shared import keep, query, read, unused
 
 ROWS_PER_BUCKET = 1 << 17
 
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, share: float = 1.5,
 
     Order inside a source is the hash of doc_id, so reruns agree; the last pass is cut at the word where the demand ends, so
     each source meets its rounded target. Null texts have size 0 and are not taken; equal rows are separate documents;
-    sources of size 0 get target 0; an empty table gives an empty one. Input columns of the same names are replaced.
+    sources of size 0 get target 0; an empty table gives an empty one. Input columns named as the added ones are replaced, others kept.
 
     A source is cut into hash buckets whose number follows the row count, and offsets per bucket come from sums: no task
     holds a whole source, however large.
@@ -83,6 +83,9 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, share: float = 1.5,
     new = ["size", "source_size", "target", "taken", "position", "passes"]
     d = docs.drop(*new)
     columns = d.columns
+    own = ["_h", "_size", "_tie", "_bucket", "_s", "_before", "_offset", "_start", "_source_size", "_target", "_weight", "_segments"]
+    aside = {c: unused([*columns, *own], f"_{c}") for c in columns if c.lower() in own}
+    d = d.withColumnsRenamed(aside)
     bits = max(7, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET)))
     d = d.withColumn("_h", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))) \
         .withColumn("_size", text_size() if size is None else size).withColumn("_tie", F.xxhash64("text")) \
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, share: float = 1.5,
     n = math.ceil(cap)
     passes = F.filter(F.array(*[one(F.lit(i)) for i in range(n)]), lambda x: x.words > 0)
     return d.withColumn("passes", passes).select(
-        *columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        *[F.col(aside.get(c, c)).alias(c) for c in columns], F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         F.coalesce(F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x.words), F.lit(0)).alias("taken"),
         F.try_element_at("passes", F.lit(1)).getField("position").alias("position"), "passes")
 
@@ -131,11 +134,27 @@ def cyclic_schedules(sources: DataFrame, cycle: tuple = ((6.0, 4.0), (2.0, 2.0),
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """Range-sort by position: partition i holds earlier positions than partition i + 1; what is not taken comes last."""
+    """Range-sort by position: partition i holds earlier positions than partition i + 1; what is not taken comes last.
+
+    Ties go by the hash of doc_id. Every row and column is kept, texts are not looked at; an empty table gives an empty one.
+    """
     return mixed.withColumn("_p", F.coalesce("position", F.lit(2.0))).repartitionByRange(F.col("_p"), F.xxhash64("doc_id")) \
         .sortWithinPartitions("_p", F.xxhash64("doc_id")).drop("_p")
 
 
+def training_rows(mixed: DataFrame) -> DataFrame:
+    """One row per document and pass, sorted into training order by ranges of position.
+
+    ``taken``, ``position`` and ``pass`` (from 0) are those of the pass, so a document taken twice stands at two places and its rows add up
+    to what the mix takes of it. A document that is not taken has one row with taken 0 and no position, at the end.
+    """
+    p = F.col("_p")
+    own = [c for c in mixed.columns if c not in ("passes", "taken", "position", "pass")]
+    rows = mixed.select(*own, F.explode_outer("passes").alias("_p")).select(
+        *own, F.coalesce(p["words"], F.lit(0)).cast("long").alias("taken"), p["pass"].alias("pass"), p["position"].alias("position"))
+    return in_training_order(rows)
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),

@@ -28,6 +28,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshspark.llm.shared import keep, partitions, query, read
+from meshspark.llm.shared import keep, partitions, query, read, unused
 from meshspark.operators.graph import components
 
 SEED = 42
@@ -299,14 +299,17 @@ def near_duplicates(docs: DataFrame, columns: list[str] | None = None, words: in
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each component in the columns of ``docs``: the smallest doc_id (null last), then the smallest hash of the text.
 
-    Rows are told apart by id and text, so documents that share an id, or have none, do not stand for each other.
+    Rows are told apart by id and text, so documents that share an id, or have none, do not stand for each other. Null and
+    empty texts share the fingerprint zero, texts are read whole, an empty table gives an empty one, and input columns of any other
+    name come back as they are.
     """
-    d = docs.withColumn("_text", F.xxhash64("text"))
-    found = near_duplicates(d, ["doc_id", "_text"], **options)
+    own = unused(docs.columns, "_text")
+    d = docs.withColumn(own, F.xxhash64("text"))
+    found = near_duplicates(d.select("doc_id", "text", F.col(own).alias("_text")), ["doc_id", "_text"], **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("first")
     keepers = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_hash"))
-    same = d["doc_id"].eqNullSafe(keepers["_id"]) & (d["_text"] == keepers["_hash"])
-    return d.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    same = d["doc_id"].eqNullSafe(keepers["_id"]) & (d[own] == keepers["_hash"])
+    return d.join(keepers, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
 
 
 @query("op7_simhash")

@@ -43,3 +43,16 @@ def test_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     again = mixing.mix(docs.repartition(5)).toPandas()
     assert sorted(zip(out.doc_id.fillna(-1), out.taken)) == sorted(zip(again.doc_id.fillna(-1), again.taken))
+
+
+def test_every_pass_has_its_place_and_columns_come_back(spark):
+    rows = [(i, "a b c d", "s", i, -i, "p") for i in range(10)] + [(99, None, "s", 0, 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _h long, _Size long, pass string")
+    mixed = mixing.mix(docs)
+    assert {(r.doc_id, r._h, r._Size) for r in mixed.collect()} == {(r[0], r[3], r[4]) for r in rows}
+    got = mixing.training_rows(mixed).collect()
+    taken = {r.doc_id: r.taken for r in mixed.collect()}
+    assert len(got) == sum(len(r.passes) or 1 for r in mixed.collect()) > len(rows)
+    assert all(sum(r.taken for r in got if r.doc_id == i) == n for i, n in taken.items())
+    places = [r.position for r in got]
+    assert places[-1] is None and places[:-1] == sorted(places[:-1]) and len(set(places)) == len(places)

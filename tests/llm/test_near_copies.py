@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from meshspark.llm import near_copies
+from meshspark.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -63,3 +63,10 @@ def test_edited_copies_and_blocks(spark):
     shared = spark.createDataFrame([(None, "one two three four"), (None, "five six seven eight"), (4, "nine ten"), (4, "twelve"), (4, "twelve")], docs.schema)
     assert near_copies.drop_near_copies(shared).count() == 4
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_columns_named_as_inner_ones_come_back(spark):
+    rows = [(1, "a b c d e f", "x", 5), (2, "a b c d e f", "y", 6), (3, "other words stand in this text", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, __TEXT long")
+    for out in (near_copies.drop_near_copies(docs), simhash.drop_near_duplicates(docs)):
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [rows[0], rows[2]]
