@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from meshspark import fixtures
 from meshspark.catalog.registry import ORACLES, query
-from meshspark.catalog.sqlviews import COUNTS, FACES, OBS, V3, cols6, r6
+from meshspark.catalog.mesh import _W as VERTEX_NORMALS
+from meshspark.catalog.sqlviews import COUNTS, FACES, GEOM, OBS, V3, cols6, r6, u
 from meshspark.catalog.temporal import CYC, MIN, STREAK
 from meshspark.functions.vectors import rounded
 from meshspark.session import cut_lineage, scratch_path
 from meshspark.sources import cache, frames as fr, mesh_text, ply, snapshots
-from meshspark.streaming import live
+from meshspark.operators import normalise as nz
+from meshspark.plans import jobs
+from meshspark.streaming import fold, live
 
 
 @query("stream_claim", ORACLES["claim_voxels"])
@@ -130,9 +133,62 @@ def stream_fold_once(spark, sf):
     path, out = scratch_path(spark, "capture"), scratch_path(spark, "fold")
     frames = fr.encode(_row_chunks(spark, sf)).withColumn("run_id", F.lit(0).cast("bigint"))
     frames.write.parquet(path)
-    fold = live.FoldOnce(out, density=0.6, voxel=0.4)
+    once = live.FoldOnce(out, density=0.6, voxel=0.4)
     s = live.file_stream(spark, path, spark.read.parquet(path).schema)
-    q = s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(fold).start()
+    q = s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(once).start()
     q.awaitTermination()
-    fold(spark.read.parquet(path), 1_000_000)
-    return fold.accumulated(spark).groupBy("run_id", "batch_id").agg(F.count("*").alias("n_kept"), rounded(F.sum("area")).alias("area_mm2"))
+    once(spark.read.parquet(path), 1_000_000)
+    return once.accumulated(spark).groupBy("run_id", "batch_id").agg(F.count("*").alias("n_kept"), rounded(F.sum("area")).alias("area_mm2"))
+
+
+_FOLD_RESET, _FOLD_VOXEL, _FOLD_CAP = 2, 1.7, 60
+# Rows of the lattice as chunks: the row is the mesh, heights travel as 32-bit floats.
+_CHUNK_GEOM = GEOM.replace("p_size*CAST(0.05 AS DOUBLE) AS z", "CAST(CAST(p_size*CAST(0.05 AS DOUBLE) AS FLOAT) AS DOUBLE) AS z").replace("g.j//10 AS arch_id", "g.j AS arch_id")
+_FOLD = f"""{_CHUNK_GEOM}, {VERTEX_NORMALS}, lf AS (SELECT geom.*, row_number() OVER (PARTITION BY arch_id ORDER BY fid)-1 AS k,
+  CASE WHEN arch_id>={_FOLD_RESET} THEN 1 ELSE 0 END AS session, {', '.join(f"CAST(floor(m{a}/CAST({_FOLD_VOXEL} AS DOUBLE)) AS BIGINT) AS v{a}" for a in 'xyz')},
+  {', '.join(f'(v0*{s}%200+v1*{s}%200+v2*{s}%200)//3 AS {c}' for c, s in zip(('red', 'green', 'blue'), (1, 7, 3)))} FROM geom),
+acc AS (SELECT lf.*, {', '.join(f'n{i}.n{a} AS {p}n{a}' for i, p in enumerate('pqr') for a in 'xyz')} FROM lf
+  {' '.join(f'JOIN vn n{i} ON n{i}.arch_id=lf.arch_id AND n{i}.vid=lf.v{i}' for i in range(3))}
+  QUALIFY row_number() OVER (PARTITION BY session, vx, vy, vz ORDER BY lf.arch_id, k)=1)"""
+
+
+def _coloured_capture(spark, sf):
+    """Lattice rows as coloured chunks of run 0, delivered twice, with a reset of the run before chunk 2."""
+    path = scratch_path(spark, "capture")
+    rows = _row_chunks(spark, sf)
+    k = F.sequence(F.lit(0), (F.size("vertices") / 3).cast("int") - 1)
+    vid = lambda i: (F.col("vertices")[i * 3 + 1] * 50 + F.col("vertices")[i * 3]).cast("int")
+    colours = F.flatten(F.transform(k, lambda i: F.array(*[(vid(i) * s % 200).cast("smallint") for s in (1, 7, 3)])))
+    sent = fr.encode(rows.withColumn("colors", colours)).select(F.lit(0).cast("bigint").alias("run_id"), "header", "blob")
+    reset = spark.range(1).select(F.lit(0).cast("bigint").alias("run_id"),
+                                  F.lit(f'{{"type": "scan_control", "action": "reset", "seq": {_FOLD_RESET}}}').alias("header"), F.lit(None).cast("binary").alias("blob"))
+    sent.unionByName(reset).unionByName(sent).write.parquet(path)
+    return live.file_stream(spark, path, spark.read.parquet(path).schema)
+
+
+def _live_fold(spark, sf):
+    return fold.accumulated(fold.advance(_coloured_capture(spark, sf), scratch_path(spark, "fold"), density=1000.0, voxel=_FOLD_VOXEL))
+
+
+@query("live_fold", f"""WITH {_FOLD} SELECT session, vx, vy, vz, arch_id AS mesh_id, k AS fid, red AS r, green AS g, blue AS b,
+  {cols6('area', 'mx', 'pnx', 'qny', 'rnz')} FROM acc""")
+def live_fold(spark, sf):
+    d = _live_fold(spark, sf)
+    return d.select("session", "vx", "vy", "vz", "mesh_id", "fid", "r", "g", "b", *[rounded(F.col(c)).alias(c) for c in ("area", "mx", "pnx", "qny", "rnz")])
+
+
+_X = {"px": "(px-ox)", "mz": "(mz-oz)"}
+
+
+@query("live_features", f"""WITH {_FOLD}, named AS (SELECT *, session AS patch_id, arch_id*1000+k AS id FROM acc),
+cut AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY {u('cap', 'patch_id', 'id')}, id)<={_FOLD_CAP}),
+o AS (SELECT patch_id, sum(area) AS area_mm2, {', '.join(f'(sum(p{a})+sum(q{a})+sum(r{a}))/(count(*)*3) AS o{a}' for a in 'xyz')} FROM cut GROUP BY 1)
+SELECT patch_id, id AS fid, {cols6('area_mm2')}, 27 AS width, {', '.join(f"(round({e}/CAST({nz.SCALE_MM} AS DOUBLE),5)+0.0) AS {c}" for c, e in _X.items())},
+  (round(pny,5)+0.0) AS pny, (round(blue/CAST(127.5 AS DOUBLE)-1,5)+0.0) AS blue FROM cut JOIN o USING (patch_id)""")
+def live_features(spark, sf):
+    """Network input of a live run: accumulated faces, cut to a ceiling, with colours and corner normals."""
+    acc = _live_fold(spark, sf).withColumn("patch_id", F.col("session")).withColumn("fid", F.col("mesh_id") * 1000 + F.col("fid"))
+    d = jobs.live_inputs(acc, _FOLD_CAP)
+    at = lambda c, i: (F.round(F.col("x")[i].cast("double"), 5) + 0.0).alias(c)
+    return d.select("patch_id", "fid", rounded(F.col("area_mm2")).alias("area_mm2"), F.size("x").alias("width"),
+                    at("px", 0), at("mz", 11), at("pny", 13), at("blue", 26))
