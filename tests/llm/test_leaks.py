@@ -92,3 +92,82 @@ def test_items_of_the_table_in_other_order(spark):
             swapped = list(piece[len(piece) // 2:]) + list(piece[:len(piece) // 2])
             found += leaks.common_words(piece, clauses, leaks.np.array(swapped)) >= leaks.MIN_COMMON * len(piece)
     assert found > 0.95 * len(texts)
+
+
+def made_up(seed, size=4000):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(size)]
+    return rng, lambda n: [rng.choice(vocab) for _ in range(n)]
+
+
+def tables(spark, docs, items):
+    return (spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"),
+            spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string"))
+
+
+def test_scattered_words_are_mostly_rejected_by_the_cosine_alone(spark):
+    rng, draw = made_up(21, 1000)
+    items = [draw(6) for _ in range(20)]
+    docs = [draw(200) for _ in range(800)]
+    for k, w in enumerate(items):  # all words in order, six apart, among others: no passage is about the item
+        for j, x in enumerate(w):
+            docs[k][60 + 6 * j] = x
+        docs[20 + k][100:106] = w
+    d, b = tables(spark, docs, items)
+    copies = {(20 + k, k) for k in range(20)}
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, b).collect()}
+    without = {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, b, min_cosine=-1.0).collect()}
+    assert copies <= got < without and len(without) >= 35
+    assert 2 * len(got - copies) < len(without - copies), (len(got), len(without))
+
+
+def test_recall_by_share_of_replaced_words(spark):
+    rng, draw = made_up(22)
+    items = [draw(rng.randint(15, 60)) for _ in range(50)]
+    shares, docs, planted = (0.1, 0.2, 0.3, 0.5), [draw(rng.randint(20, 300)) for _ in range(400)], {}
+    for s, share in enumerate(shares):
+        for i, item in enumerate(items):
+            w = [rng.choice(draw(3)) if rng.random() < share else x for x in item]
+            k = s * 50 + i
+            at = rng.randint(0, len(docs[k]))
+            docs[k][at:at] = w
+            planted[k, i] = share
+    d, b = tables(spark, docs, items)
+    got, checks_alone = ({(r.doc_id, r.item_id) for r in leaks.find_leaks(d, b, c).collect()} for c in (leaks.MIN_COSINE, -1.0))
+    found = {s: sum(1 for p, x in planted.items() if x == s and p in got) / 50 for s in shares}
+    assert got <= set(planted) and len(got) >= 0.97 * len(checks_alone)
+    assert found[0.1] == 1.0 and found[0.2] >= 0.9 and found[0.3] >= 0.75, found
+
+
+def test_short_items_long_texts_and_unsearched_ones(spark):
+    rng, draw = made_up(23)
+    items = [draw(4), draw(2), draw(30), draw(5), ["alone"], []]
+    docs = [draw(300) for _ in range(20)] + [draw(3 * leaks.STRIP)]
+    docs[0][10:14] = items[0]
+    docs[1][50:52] = items[1]
+    docs[2][50:53] = [items[1][0], "between", items[1][1]]
+    docs[3][7:8] = ["alone"]
+    for at in (leaks.STRIP - 10, 2 * leaks.STRIP + 5, 3 * leaks.STRIP - 30):
+        docs[20][at:at + 30] = items[2]
+    docs[20][leaks.STRIP + 1000:leaks.STRIP + 1005] = items[3]
+    d, b = tables(spark, docs, items)
+    got = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(d, b).collect()}
+    text = [" ".join(x) for x in docs]
+    exact = {(i, j) for i, t in enumerate(text) for j in range(4) if f" {' '.join(items[j])} " in f" {t} "}
+    assert set(got) == exact >= {(0, 0), (1, 1), (20, 2), (20, 3)}
+    assert abs(got[20, 3].start - leaks.STRIP - 1000) <= 8
+    assert sorted(r.item_id for r in leaks.unsearched(b).collect()) == [4, 5]
+    for at in (leaks.STRIP - 10, 3 * leaks.STRIP - 30):  # alone, so that no other place can stand in
+        one = docs[4] + draw(3 * leaks.STRIP - 300)
+        one[at:at + 30] = items[2]
+        hit = leaks.find_leaks(*tables(spark, [one], items[2:3])).collect()
+        assert len(hit) == 1 and hit[0].common == 1.0 and abs(hit[0].start - at) <= 8
+
+
+def test_clashing_columns(spark):
+    rng, draw = made_up(24)
+    items = [draw(30)]
+    d, b = tables(spark, [draw(20) + items[0], draw(50)], items)
+    d = d.withColumn("_bad", d.doc_id).withColumn("item_id", d.doc_id)
+    left = leaks.drop_leaks(d, b)
+    assert left.columns == d.columns and [r.doc_id for r in left.collect()] == [1]
