@@ -45,7 +45,7 @@ def pairs_within(queries: DataFrame, points: DataFrame, radius: float, group: st
         q = q.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_c{a}") - 1, F.col(f"_c{a}") + 1)))
     d2 = Vec.cols("").minus(Vec.cols("p")).sq()
     r2 = F.lit(float(radius) * float(radius))
-    j = q.join(p, ["_g", *[f"_c{a}" for a in AXES]]).withColumn("d2", d2)
+    j = q.join(p.hint("merge"), ["_g", *[f"_c{a}" for a in AXES]]).withColumn("d2", d2)
     return j.filter(F.col("d2") <= r2 if inclusive else F.col("d2") < r2) \
         .select(F.col("_g").alias(group), F.col("_qid").alias(qid), F.col("_pid").alias(pid), "d2")
 
@@ -58,7 +58,7 @@ def any_within(queries: DataFrame, points: DataFrame, radius: float, group: str
         q = q.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_c{a}") - 1, F.col(f"_c{a}") + 1)))
     q = q.alias("q")
     p = points.select(F.col(group).alias("_g"), *[F.col(a).cast("double").alias("p" + a) for a in AXES],
-                      *_cells("_c", radius)).distinct().alias("p")
+                      *_cells("_c", radius)).distinct().hint("merge").alias("p")
     near = Vec(*[F.col(f"q.{a}") for a in AXES]).minus(Vec(*[F.col(f"p.p{a}") for a in AXES])).sq() \
         <= F.lit(float(radius) * float(radius))
     same = [F.col(f"q.{c}") == F.col(f"p.{c}") for c in ("_g", "_cx", "_cy", "_cz")]
@@ -128,11 +128,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: s
     chain = homes.select("*", lv).select(
         "*", *[F.expr(f"shiftright(_h{a}, _lv)").alias(f"_c{a}") for a in AXES])
     bounds = _block_bounds(p, need, cell, levels)
-    found = chain.join(bounds, ["_g", "_lv", "_cx", "_cy", "_cz"]) \
+    found = chain.join(bounds.hint("merge"), ["_g", "_lv", "_cx", "_cy", "_cz"]) \
         .groupBy("_g", "_hx", "_hy", "_hz").agg(F.min(F.struct("_lv", "_reach")).alias("_b")) \
         .select("_g", "_hx", "_hy", "_hz", F.col("_b._lv").alias("_l"), F.col("_b._reach").alias("_reach"))
     top = levels  # one cell per group: used where no block holds enough points
-    located = q.join(found, ["_g", "_hx", "_hy", "_hz"], "left")
+    located = q.join(found.hint("merge"), ["_g", "_hx", "_hy", "_hz"], "left")
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_l"))
     bound = F.col("_reach") * size * F.lit(1.0 + 1e-9)
     if max_dist is not None:
@@ -173,7 +173,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: s
                 *[F.when(F.col("_lv") == top, F.lit(0).cast("bigint"))
                   .otherwise(F.expr(f"shiftright(_b{a}, _lv)")).alias(f"_c{a}") for a in AXES])
     d2 = Vec.cols("").minus(Vec.cols("p")).sq()
-    pairs = keyed.join(spread, ["_g", "_lv", "_cx", "_cy", "_cz"]).withColumn("d2", d2) \
+    pairs = keyed.join(spread.hint("merge"), ["_g", "_lv", "_cx", "_cy", "_cz"]).withColumn("d2", d2) \
         .filter(F.col("_r").isNull() | (F.col("d2") <= F.col("_r") * F.col("_r") * F.lit(1.0 + 1e-9)))
     if max_dist is not None:
         pairs = pairs.filter(F.sqrt("d2") <= F.lit(float(max_dist)))
@@ -206,7 +206,7 @@ def in_boxes(faces: DataFrame, frames: DataFrame, group: str = "arch_id") -> Dat
                                                         F.floor((c + F.col("_reach")) / size))))
     s = faces.select("*", *[F.floor(F.col("m" + a) / size).alias(f"_c{a}") for a in AXES])
     rel = Vec.cols("m").minus(o)
-    j = s.join(f, [group, "_cx", "_cy", "_cz"])
+    j = s.join(f.hint("merge"), [group, "_cx", "_cy", "_cz"])
     inside = (F.abs(rel.dot(Vec.cols("t"))) <= F.col("half_u")) & (F.abs(rel.dot(Vec.cols("b"))) <= F.col("half_v")) \
         & (F.abs(rel.dot(Vec.cols("w"))) <= F.col("half_w")) \
         & (Vec.cols("n").dot(Vec.cols("w")) >= F.col("min_align"))
@@ -227,8 +227,8 @@ def pairs_cells(geom: DataFrame, margin: float) -> DataFrame:
     for a in AXES:
         homes = homes.withColumn(f"_h{a}", F.explode(F.sequence(F.col(f"_c{a}") - 1, F.col(f"_c{a}") + 1)))
     q = pos.select(F.col("arch_id").alias("_g"), "fid", *AXES, *_cells("_h", margin))
-    tried = q.join(homes, ["_g", "_hx", "_hy", "_hz"]).alias("q")
-    t = tooth.alias("t")
+    tried = q.join(homes.hint("merge"), ["_g", "_hx", "_hy", "_hz"]).alias("q")
+    t = tooth.hint("merge").alias("t")
     same = [F.col(f"q.{c}") == F.col(f"t.{c}") for c in ("_g", "tooth", "_cx", "_cy", "_cz")]
     near = Vec(*[F.col(f"q.{a}") for a in AXES]).minus(Vec(*[F.col(f"t.p{a}") for a in AXES])).sq() \
         <= F.lit(float(margin) * float(margin))

@@ -12,8 +12,8 @@ def transfer_nearest(target: DataFrame, source: DataFrame, values: list[str], ce
                      tid: str = "fid", sid: str = "sid") -> DataFrame:
     """Each target row takes the values of the nearest source row of its group (ties: the smaller id)."""
     nn = nearest(target.select(group, tid, "x", "y", "z"), source.select(group, sid, "x", "y", "z"), 1, cell, group, tid, sid)
-    got = nn.select(group, tid, sid).join(source.select(group, sid, *values), [group, sid]).drop(sid)
-    return target.join(got, [group, tid])
+    got = nn.select(group, tid, sid).join(source.select(group, sid, *values).hint("merge"), [group, sid]).drop(sid)
+    return target.join(got.hint("merge"), [group, tid])
 
 
 def match_previous(now: DataFrame, previous: DataFrame, max_dist: float, cell: float, group: str = "cloud",
@@ -21,7 +21,7 @@ def match_previous(now: DataFrame, previous: DataFrame, max_dist: float, cell: f
     """Nearest row of the previous cycle within ``max_dist``, else nulls: now + (pid, dist)."""
     nn = nearest(now.select(group, qid, "x", "y", "z"), previous.select(group, pid, "x", "y", "z"), 1, cell, group, qid,
                  pid, max_dist=max_dist)
-    return now.join(nn.select(group, qid, pid, "dist"), [group, qid], "left")
+    return now.join(nn.select(group, qid, pid, "dist").hint("merge"), [group, qid], "left")
 
 
 def fill_missing_colour(faces: DataFrame, value: Column, cell: float, default, group: str = "run_id", fid: str = "fid") -> DataFrame:
@@ -38,10 +38,10 @@ def fill_missing_colour(faces: DataFrame, value: Column, cell: float, default, g
     spots = d.filter("_missing").select(group, "x", "y", "z").distinct() \
         .withColumn("_q", F.struct("x", "y", "z"))
     nn = nearest(spots, known, 1, cell, group, "_q", "_sid").select(group, "_q", "_sid") \
-        .join(known.select(group, "_sid", "_near"), [group, "_sid"]) \
-        .join(spots, [group, "_q"]).select(group, "x", "y", "z", "_near")
+        .join(known.select(group, "_sid", "_near").hint("merge"), [group, "_sid"]) \
+        .join(spots.hint("merge"), [group, "_q"]).select(group, "x", "y", "z", "_near")
     own = d.filter("not _missing").withColumn("_near", F.col("_own"))
-    lent = d.filter("_missing").join(nn, [group, "x", "y", "z"], "left").select(*own.columns)
+    lent = d.filter("_missing").join(nn.hint("merge"), [group, "x", "y", "z"], "left").select(*own.columns)
     return own.unionByName(lent).select(*faces.columns, F.coalesce("_near", F.lit(default)).alias("filled"))
 
 
