@@ -33,10 +33,10 @@ def merge_meshes(vertices: DataFrame, faces: DataFrame, digits: int = 8) -> tupl
     fid, v0, v1, v2). Chunks without vertices or faces vanish; missing colour becomes the sentinel.
     """
     alive = faces.select("run_id", "mesh_id").distinct()
-    v = vertices.join(alive, ["run_id", "mesh_id"], "left_semi")
+    v = vertices.join(alive.hint("merge"), ["run_id", "mesh_id"], "left_semi")
     off = chunk_offsets(v).select("run_id", "mesh_id", "offset")
     rank = F.row_number().over(Window.partitionBy("run_id", "mesh_id").orderBy("vid")) - 1
-    v = v.withColumn("_local", rank).join(off, ["run_id", "mesh_id"]) \
+    v = v.withColumn("_local", rank).join(off.hint("merge"), ["run_id", "mesh_id"]) \
         .withColumn("gid", F.col("offset") + F.col("_local"))
     if "r" in vertices.columns:
         v = v.withColumns({c: F.coalesce(F.col(c), F.lit(s)) for c, s in zip("rgb", NO_COLOUR)})

@@ -1,6 +1,10 @@
 """What only shows on larger tables: broadcasts planned from file sizes, ids of more digits, near ties."""
 
+from pyspark.sql import functions as F
+
 from meshspark import catalog, fixtures
+from meshspark.operators import mesh
+from meshspark.operators.merge import merge_meshes
 
 
 def plan(df) -> str:
@@ -11,3 +15,11 @@ def test_transfer_broadcasts_no_mesh(spark, sf):
     assert "Broadcast" not in plan(fixtures.lattice_faces(spark, sf))
     assert "Broadcast" not in plan(fixtures.lattice_vertices(spark, sf))
     assert "Broadcast" not in plan(catalog.QUERIES["colour_transfer"](spark, sf))
+
+
+def test_weld_broadcasts_no_mesh(spark, sf):
+    key = F.lit(0).cast("bigint").alias("run_id"), F.col("arch_id").alias("mesh_id")
+    f = fixtures.lattice_faces(spark, sf).select(*key, "fid", "v0", "v1", "v2")
+    v = fixtures.lattice_vertices(spark, sf).select(*key, "vid", "x", "y", "z")
+    for d in (*merge_meshes(v, f), mesh.face_geometry(fixtures.lattice_faces(spark, sf), fixtures.lattice_vertices(spark, sf))):
+        assert "Broadcast" not in plan(d)
