@@ -45,7 +45,7 @@ def chunk_offsets_query(spark, sf):
 
 @query("text_functions", f"""WITH {V3} SELECT seq, strftime(ts, '%Y%m%d_%H%M%S') AS run_text, seq AS cycle, 'type'||frame_type||'_run'||run_id AS run_label FROM fr""")
 def text_functions(spark, sf):
-    f = fixtures.frames(spark, sf).withColumn("name", F.concat(F.lit("runs/cycle_"), F.lpad(F.col("seq").cast("string"), 6, "0"), F.lit(".npz"))) \
+    f = fixtures.frames(spark, sf).withColumn("name", F.format_string("runs/cycle_%06d.npz", "seq")) \
         .withColumn("run_text0", F.col("run_id").cast("string"))
     return f.select("seq", results.run_id_of(F.col("ts")).alias("run_text"), snapshots.cycle_of(F.col("name")).alias("cycle"),
                     results.run_label({"frame_type": "type", "run_text0": "run"}).alias("run_label"))

@@ -1,5 +1,7 @@
 """What only shows on larger tables: broadcasts planned from file sizes, ids of more digits, near ties."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
@@ -17,6 +19,15 @@ def test_transfer_broadcasts_no_mesh(spark, sf):
     assert "Broadcast" not in plan(catalog.QUERIES["colour_transfer"](spark, sf))
 
 
+def test_cycle_of_a_name_with_more_than_six_digits(spark, tmp_path):
+    ids = [7, 999_999, 1_000_000, 12_345_678]
+    spark.createDataFrame([(i, dt.datetime(2024, 1, 1), 3, "mesh", 1.0, "{}") for i in ids],
+                          "event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["text_functions"](spark, str(tmp_path)).collect()
+    assert sorted((r.seq, r.cycle) for r in got) == [(i, i) for i in ids]
+
+
 def test_weld_broadcasts_no_mesh(spark, sf):
     key = F.lit(0).cast("bigint").alias("run_id"), F.col("arch_id").alias("mesh_id")
     f = fixtures.lattice_faces(spark, sf).select(*key, "fid", "v0", "v1", "v2")
