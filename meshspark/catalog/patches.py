@@ -124,7 +124,7 @@ visits AS (SELECT patch_id, s.arch_id, min_align, step AS stage, 'occlusal' AS p
 viewed AS MATERIALIZED (SELECT v.patch_id, v.arch_id, v.stage, v.phase, v.tooth, v.min_align, ox, oy, oz, tx, ty, tz,
   CASE phase WHEN 'occlusal' THEN nx WHEN 'facial' THEN fx ELSE -fx END AS ax, CASE phase WHEN 'occlusal' THEN ny WHEN 'facial' THEN fy ELSE -fy END AS ay,
   CASE phase WHEN 'occlusal' THEN nz WHEN 'facial' THEN fz ELSE -fz END AS az FROM visits v JOIN facial f ON f.arch_id=v.arch_id AND f.label=v.tooth),
-boxes AS MATERIALIZED ({boxes_sql('viewed', "patch_id||'/'||stage", 'a', '', str(SIZE), str(SIZE), '16.0', 'min_align')}), {HITS},
+boxes AS MATERIALIZED ({boxes_sql('viewed', "patch_id||'/'||stage", 'a', '', str(SIZE), str(SIZE), '16.0', 'min_align')}), {HITS.replace('END, d2, fid)', f'END, round(d2, {pt.TIE_DIGITS}), fid)')},
 stages AS MATERIALIZED (SELECT v.patch_id, f.arch_id, f.fid, v.stage, v.phase, v.tooth FROM foot f JOIN viewed v ON v.patch_id||'/'||v.stage=f.fp
   QUALIFY row_number() OVER (PARTITION BY v.patch_id, f.fid ORDER BY v.stage)=1)"""
 

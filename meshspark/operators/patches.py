@@ -18,6 +18,7 @@ from meshspark.operators.spatial import any_within, in_boxes
 from meshspark.session import cut_lineage
 
 PHASES = ("occlusal", "facial", "lingual")
+TIE_DIGITS = 8  # squared distances that agree to so many digits are a tie
 
 
 def present_labels(faces: DataFrame, teeth_only: bool = True) -> DataFrame:
@@ -86,23 +87,26 @@ def _viewing_axis(facial: DataFrame) -> DataFrame:
     return facial.select(*cols, F.explode(F.array(*rows)).alias("_k")).select("*", "_k.*").drop("_k")
 
 
-def footprints(boxes: DataFrame, geom: DataFrame, adjacency: DataFrame, min_faces: int = 5) -> DataFrame:
-    """(fp, arch_id, fid) of each box: eligible faces, their components, the component nearest to the origin."""
+def footprints(boxes: DataFrame, geom: DataFrame, adjacency: DataFrame, min_faces: int = 5, digits: int | None = None) -> DataFrame:
+    """(fp, arch_id, fid) of each box: eligible faces, their components, the component nearest to the origin (squared distances at ``digits``)."""
     slim = geom.select("arch_id", "fid", *[f"{p}{a}" for p in "mn" for a in "xyz"])
     # the boxes are one small row per footprint; written once so that their long expressions are not inlined
     hit = cut_lineage(in_boxes(slim, cut_lineage(boxes)).select("fp", "arch_id", "fid", "d2"))
     comp = set_components(hit, adjacency, "fp")
-    return choose_component(comp, min_faces, "fp").select("fp", "arch_id", "fid")
+    return choose_component(comp, min_faces, "fp", digits).select("fp", "arch_id", "fid")
 
 
 def sweep_stages(visits: DataFrame, geom: DataFrame, adjacency: DataFrame, width: float = 14.0, height: float = 14.0,
                  slab: float = 16.0, min_faces: int = 5) -> DataFrame:
-    """Nested sweep masks (patch_id, arch_id, fid, stage, phase, tooth): each face at its first stage."""
+    """Nested sweep masks (patch_id, arch_id, fid, stage, phase, tooth): each face at its first stage.
+
+    Of components whose nearest faces are equally far from the origin (squared distance to ``TIE_DIGITS`` digits) that with the smaller face id counts.
+    """
     f = fr.facial_directions(fr.tangent_axes(fr.tooth_frames(geom)), fr.arch_centers(geom))
     d = visits.join(_viewing_axis(f), ["arch_id", "tooth", "phase"])
     fp = F.concat_ws("/", "patch_id", F.col("stage").cast("string")).alias("fp")
     boxes = fr.view_boxes(d.select("*", fp), "w", width, height, slab, F.col("min_align"))
-    seen = footprints(boxes, geom, adjacency, min_faces)
+    seen = footprints(boxes, geom, adjacency, min_faces, TIE_DIGITS)
     keyed = seen.join(visits.select("patch_id", "stage", "phase", "tooth", fp), "fp")
     return first_stage(keyed, ["phase", "tooth"])
 

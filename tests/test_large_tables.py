@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
-from meshspark.operators import mesh
+from meshspark.operators import graph, mesh
 from meshspark.operators.merge import merge_meshes
 
 
@@ -34,3 +34,16 @@ def test_weld_broadcasts_no_mesh(spark, sf):
     v = fixtures.lattice_vertices(spark, sf).select(*key, "vid", "x", "y", "z")
     for d in (*merge_meshes(v, f), mesh.face_geometry(fixtures.lattice_faces(spark, sf), fixtures.lattice_vertices(spark, sf))):
         assert "Broadcast" not in plan(d)
+
+
+def test_components_at_one_distance_go_by_face_id(spark):
+    # 0.3 and 0.1 + 0.2 are one distance, whatever way it was added up; the second component has the smaller id
+    rows = [("a", 10 + i, 10, 0.3 + i) for i in range(5)] + [("a", 1 + i, 1, 0.1 + 0.2 + i) for i in range(5)]
+    d = spark.createDataFrame(rows, "fp string, fid long, comp long, d2 double")
+    assert {r.comp for r in graph.choose_component(d, digits=8).collect()} == {1}
+    assert {r.comp for r in graph.choose_component(d).collect()} == {10}
+
+
+def test_sweep_sql_breaks_near_ties_as_the_query_does():
+    for name in ("sweep_stages", "phase_increments", "stage_growth", "stage_draw", "job_full_sequence"):
+        assert "round(d2, 8), fid)" in catalog.ORACLES[name]
