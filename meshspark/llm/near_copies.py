@@ -1,6 +1,8 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-Every text has MinHash values in bands; texts that share a band are candidates, and candidates chain to loose clusters. Texts of one
+Every text has a SimHash fingerprint over its shingles; the Gray-order index of ``simhash`` links fingerprints at three or fewer differing
+bits, and their texts are candidates. That is about 0.98 in similarity, so MinHash values in bands widen the search down to 0.8: texts that
+share a band are candidates too. Candidates chain to loose clusters. Texts of one
 cluster meet in one task, which counts their common shingles exactly and links those at a similarity of 0.8 or more. A cluster too
 large for a task is cut into blocks and every pair of blocks meets. A pair at exactly 0.8 shares no band with a probability of
 (1 - 0.8^5)^28, about 2 in 100,000, and less above; nothing else can lose a link.
@@ -12,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from meshspark.llm import simhash
 from meshspark.llm.shared import buffer_of, keep, mixed, ngram_hashes, partitions, sliced, unused, word_hashes, words_of
 from meshspark.operators.graph import components
 
@@ -64,12 +67,22 @@ def bands(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def fingerprints(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is set if over half of its hashes have it."""
+    h, half = mixed(values), np.diff(at)
+    out = np.zeros(len(half), np.uint64)
+    for k in range(64):
+        ones = np.add.reduceat((h >> np.uint64(k)) & np.uint64(1), at[:-1]).astype(np.int64)
+        out |= (2 * ones > half).astype(np.uint64) << np.uint64(k)
+    return out.view(np.int64)
+
+
 def _printed(batches):
     for b in sliced(batches):
         values, at = shingle_sets(b.column("text"))
         keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands(values, at).ravel()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_text"), pa.array(_set_ids(values, at)), pa.array(np.diff(at)), keys],
-                                         names=["doc_id", "_text", "set", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_text"), pa.array(_set_ids(values, at)), pa.array(np.diff(at)),
+                                          pa.array(fingerprints(values, at)), keys], names=["doc_id", "_text", "set", "size", "fp", "bands"])
 
 
 def linked_sets(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -138,13 +151,23 @@ def _linked(batches):
 
 
 def _clusters(sets: DataFrame) -> DataFrame:
-    """(set, cluster): sets joined by shared bands, without those that share none."""
+    """(set, cluster): sets joined by linked fingerprints and shared bands, without those that have neither."""
     keys = sets.select("set", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.min("set").alias("a"), F.max("set").alias("_last")).filter("a < _last").drop("_last")
-    edges = keep(keys.join(shared, ["band", "key"]).filter("set <> a").select("a", F.col("set").alias("b")).distinct(), "band-edges")
+    banded = keys.join(shared, ["band", "key"]).filter("set <> a").select("a", F.col("set").alias("b"))
+    edges = keep(banded.unionByName(_fingerprint_edges(sets)).distinct(), "candidate-edges")
     return _components(edges).withColumnRenamed("comp", "cluster")
 
 
+def _fingerprint_edges(sets: DataFrame) -> DataFrame:
+    """(a, b): sets of one fingerprint as stars, and their least sets where the Gray-order index links two fingerprints."""
+    least = keep(sets.groupBy("fp").agg(F.min("set").alias("a")), "fingerprints")
+    same = sets.select("set", "fp").join(least, "fp").filter("set <> a").select("a", F.col("set").alias("b"))
+    found = simhash.links(least.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
+    linked = found.join(least.select(F.col("fp").alias("fa"), "a"), "fa").join(least.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb")
+    return same.unionByName(linked.select("a", "b"))
+
+
 def _components(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     g = F.lit(0).alias("g")
@@ -158,8 +181,8 @@ def links(docs: DataFrame, prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     spark = docs.sparkSession
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("first")
-    sets = keep(prints.groupBy("set").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")), "shingle-sets")
-    of = keep(sets.drop("bands").join(_clusters(sets), "set"), "shingle-clusters")
+    sets = keep(prints.groupBy("set").agg(first, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-sets")
+    of = keep(sets.drop("fp", "bands").join(_clusters(sets), "set"), "shingle-clusters")
     parts = of.groupBy("cluster").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
     of = of.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -183,10 +206,10 @@ def drop_near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     d = docs.withColumn(own, F.xxhash64("text"))
     texts = d.select("doc_id", F.col(own).alias("_text"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = keep(texts.mapInArrow(_printed, f"doc_id {kind}, _text bigint, set bigint, size bigint, bands array<bigint>"), "shingle-prints")
+    prints = keep(texts.mapInArrow(_printed, f"doc_id {kind}, _text bigint, set bigint, size bigint, fp bigint, bands array<bigint>"), "shingle-prints")
     comp = _components(keep(links(texts, prints, block), "near-copies"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("first")
-    keepers = prints.drop("bands").join(comp, "set", "left").groupBy(F.coalesce("comp", "set").alias("component")).agg(first) \
+    keepers = prints.drop("fp", "bands").join(comp, "set", "left").groupBy(F.coalesce("comp", "set").alias("component")).agg(first) \
         .select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_hash"))
     same = d["doc_id"].eqNullSafe(keepers["_id"]) & (d[own] == keepers["_hash"])
     return d.join(keepers, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)

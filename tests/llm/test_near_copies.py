@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from meshspark.llm import near_copies, simhash
 
@@ -70,3 +74,16 @@ def test_columns_named_as_inner_ones_come_back(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, __TEXT long")
     for out in (near_copies.drop_near_copies(docs), simhash.drop_near_duplicates(docs)):
         assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [rows[0], rows[2]]
+
+
+def test_candidates_come_from_the_fingerprint_index(spark):
+    # one word of 400 differs: the fingerprints link; no band at all is given, so nothing else can join the two
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(f"v{i}" for i in range(400))]
+    values, at = near_copies.shingle_sets(pa.array(texts))
+    fp = near_copies.fingerprints(values, at)
+    assert int(np.bitwise_count((fp[0] ^ fp[1]).view(np.uint64))) <= 3 < int(np.bitwise_count((fp[0] ^ fp[2]).view(np.uint64)))
+    none = F.array().cast("array<bigint>").alias("bands")
+    sets = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fp)], "set long, fp long").select("set", "fp", none)
+    got = {r["set"]: r.cluster for r in near_copies._clusters(sets).collect()}
+    assert got == {0: 0, 1: 0}
