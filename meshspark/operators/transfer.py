@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshspark.functions.colour import is_sentinel
 from meshspark.operators.spatial import nearest
+from meshspark.session import cut_lineage
 
 
 def transfer_nearest(target: DataFrame, source: DataFrame, values: list[str], cell: float, group: str = "arch_id",
@@ -17,11 +18,18 @@ def transfer_nearest(target: DataFrame, source: DataFrame, values: list[str], ce
 
 
 def match_previous(now: DataFrame, previous: DataFrame, max_dist: float, cell: float, group: str = "cloud",
-                   qid: str = "qid", pid: str = "pid") -> DataFrame:
-    """Nearest row of the previous cycle within ``max_dist``, else nulls: now + (pid, dist)."""
-    nn = nearest(now.select(group, qid, "x", "y", "z"), previous.select(group, pid, "x", "y", "z"), 1, cell, group, qid,
-                 pid, max_dist=max_dist)
-    return now.join(nn.select(group, qid, pid, "dist").hint("merge"), [group, qid], "left")
+                   qid: str = "qid", pid: str = "pid", values: tuple[str, ...] = ()) -> DataFrame:
+    """Nearest row of the previous cycle within ``max_dist``, else nulls: now + (pid, values of that row, dist).
+
+    Rows at one position have one answer, and of previous ones only the smallest id can be it: positions are searched, not rows.
+    """
+    # written once: the search goes over positions several times
+    spots = cut_lineage(now.select(group, "x", "y", "z").distinct().withColumn("_q", F.struct("x", "y", "z")))
+    known = cut_lineage(previous.groupBy(group, "x", "y", "z").agg(F.min(F.struct(pid, *values)).alias("_s")))
+    nn = nearest(spots, known.select(group, "x", "y", "z", F.col(f"_s.{pid}").alias(pid)), 1, cell, group, "_q", pid, max_dist=max_dist) \
+        .join(known.select(group, F.col(f"_s.{pid}").alias(pid), *[f"_s.{v}" for v in values]), [group, pid])
+    at = cut_lineage(nn.select(group, *[F.col(f"_q.{a}").alias(a) for a in "xyz"], pid, *values, "dist"))
+    return now.join(at, [group, "x", "y", "z"], "left").select(*now.columns, pid, *values, "dist")
 
 
 def fill_missing_colour(faces: DataFrame, value: Column, cell: float, default, group: str = "run_id", fid: str = "fid") -> DataFrame:
@@ -37,11 +45,13 @@ def fill_missing_colour(faces: DataFrame, value: Column, cell: float, default, g
                                                              F.col("s._own").alias("_near"))
     spots = d.filter("_missing").select(group, "x", "y", "z").distinct() \
         .withColumn("_q", F.struct("x", "y", "z"))
+    known, spots = cut_lineage(known), cut_lineage(spots)
     nn = nearest(spots, known, 1, cell, group, "_q", "_sid").select(group, "_q", "_sid") \
         .join(known.select(group, "_sid", "_near").hint("merge"), [group, "_sid"]) \
         .join(spots.hint("merge"), [group, "_q"]).select(group, "x", "y", "z", "_near")
+    nn = cut_lineage(nn)
     own = d.filter("not _missing").withColumn("_near", F.col("_own"))
-    lent = d.filter("_missing").join(nn.hint("merge"), [group, "x", "y", "z"], "left").select(*own.columns)
+    lent = d.filter("_missing").join(nn, [group, "x", "y", "z"], "left").select(*own.columns)
     return own.unionByName(lent).select(*faces.columns, F.coalesce("_near", F.lit(default)).alias("filled"))
 
 

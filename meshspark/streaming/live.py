@@ -387,7 +387,6 @@ def smooth_gum(current: DataFrame, previous: DataFrame | None, alpha: float = 0.
         d = raw.withColumn("score", F.col("raw"))
     else:
         prev = previous.select("run_id", F.col("fid").alias("pid"), "x", "y", "z", F.col("score").alias("old"))
-        m = match_previous(raw, prev, max_dist, max_dist, "run_id", "fid", "pid")
-        m = m.join(prev.select("run_id", "pid", "old"), ["run_id", "pid"], "left")
+        m = match_previous(raw, prev, max_dist, max_dist, "run_id", "fid", "pid", ("old",))
         d = m.withColumn("score", F.when(F.col("old").isNull(), F.col("raw")).otherwise(alpha * F.col("raw") + (1 - alpha) * F.col("old")))
     return d.select("run_id", "fid", "x", "y", "z", "score", (F.col("score") > 0.5).alias("is_gum"))

@@ -5,8 +5,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
-from meshspark.operators import graph, mesh
+from meshspark.operators import graph, mesh, transfer
 from meshspark.operators.merge import merge_meshes
+from meshspark.operators.spatial import nearest
 
 
 def plan(df) -> str:
@@ -47,3 +48,18 @@ def test_components_at_one_distance_go_by_face_id(spark):
 def test_sweep_sql_breaks_near_ties_as_the_query_does():
     for name in ("sweep_stages", "phase_increments", "stage_growth", "stage_draw", "job_full_sequence"):
         assert "round(d2, 8), fid)" in catalog.ORACLES[name]
+
+
+def test_previous_cycle_is_searched_by_position(spark, monkeypatch):
+    searched = []
+
+    def spy(queries, points, *rest, **kw):
+        searched.append((queries.count(), points.count()))
+        return nearest(queries, points, *rest, **kw)
+
+    monkeypatch.setattr(transfer, "nearest", spy)
+    now = spark.createDataFrame([(0, i, float(i % 2), 0.0, 0.0) for i in range(40)], "cloud int, qid int, x double, y double, z double")
+    before = spark.createDataFrame([(0, i, 0.25 + 3.0 * (i % 2), 0.0, 0.0, i * 10) for i in range(5, 45)], "cloud int, pid int, x double, y double, z double, old int")
+    got = {r.qid: (r.pid, r.old, r.dist) for r in transfer.match_previous(now, before, 0.5, 0.5, values=("old",)).collect()}
+    assert searched == [(2, 2)]
+    assert got == {i: (None, None, None) if i % 2 else (6, 60, 0.25) for i in range(40)}
