@@ -116,11 +116,11 @@ class _ClaimBlock(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         own = [*self.voxel, *self.order]
         kept = [c for c in self.columns if c != self.run]  # the grouping columns come with the key only
-        pdf = pd.concat(list(rows), ignore_index=True)[kept].assign(_new=True)
-        if self.held.exists():
-            before = pa.ipc.open_stream(self.held.get()[0]).read_pandas().assign(_new=False)
-            pdf = pd.concat([before, pdf], ignore_index=True)
-        won = pdf.sort_values([*own, "_new"], kind="stable").drop_duplicates(self.voxel)
+        won = pa.ipc.open_stream(self.held.get()[0]).read_pandas().assign(_new=False) if self.held.exists() else None
+        for pdf in rows:  # chunk by chunk: no more than the block's winners and one chunk are held
+            pdf = pdf[kept].assign(_new=True)
+            pdf = pdf if won is None else pd.concat([won, pdf], ignore_index=True)
+            won = pdf.sort_values([*own, "_new"], kind="stable").drop_duplicates(self.voxel)
         fresh = won[won["_new"].astype(bool)]
         if len(fresh):
             table = pa.Table.from_pandas(won[own], preserve_index=False)
@@ -134,6 +134,24 @@ class _ClaimBlock(StatefulProcessor):
         pass
 
 
+HELD_ROWS = 200_000
+
+
+def _first_rows(keys: list[str], order: list[str], held_rows: int = HELD_ROWS):
+    """Of the rows of a task those of lowest order per key, so that one busy voxel does not send all its rows; a full table is handed on."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = held.sort_values(order, kind="stable").drop_duplicates(keys)
+            if len(held) >= held_rows:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+    return run
+
+
 def claim_voxels(stream: DataFrame, voxel: list[str], order: list[str], run: str = "run_id", block: int = 8) -> DataFrame:
     """The observation of lowest order wins each voxel for the whole run, in whatever files and batches rows arrive.
 
@@ -143,7 +161,7 @@ def claim_voxels(stream: DataFrame, voxel: list[str], order: list[str], run: str
     """
     use_state_store(stream.sparkSession)
     b = [F.floor(F.col(c) / block).alias(f"_b{i}") for i, c in enumerate(voxel)]
-    keyed = stream.select("*", *b)
+    keyed = stream.mapInPandas(_first_rows([run, *voxel], order), stream.schema).select("*", *b)
     return keyed.groupBy(run, *[f"_b{i}" for i in range(len(voxel))]).transformWithStateInPandas(
         statefulProcessor=_ClaimBlock(run, voxel, order, stream.columns), outputStructType=stream.schema,
         outputMode="Update", timeMode="None")

@@ -2,12 +2,15 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
 from meshspark.operators import graph, mesh, transfer
 from meshspark.operators.merge import merge_meshes
 from meshspark.operators.spatial import nearest
+from meshspark.streaming import live
 
 
 def plan(df) -> str:
@@ -63,3 +66,27 @@ def test_previous_cycle_is_searched_by_position(spark, monkeypatch):
     got = {r.qid: (r.pid, r.old, r.dist) for r in transfer.match_previous(now, before, 0.5, 0.5, values=("old",)).collect()}
     assert searched == [(2, 2)]
     assert got == {i: (None, None, None) if i % 2 else (6, 60, 0.25) for i in range(40)}
+
+
+def test_claims_hold_the_winners_and_one_chunk_only(monkeypatch):
+    class Held:
+        def exists(self):
+            return False
+
+        def update(self, value):
+            pass
+
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"run_id": 0, "vx": np.arange(2000) % 8, "chunk": rng.permutation(2000)})
+    chunks = [rows[i:i + 100] for i in range(0, 2000, 100)]
+    want = rows.sort_values("chunk").drop_duplicates("vx").set_index("vx")["chunk"].to_dict()
+    sizes, concat = [], pd.concat
+    monkeypatch.setattr(live.pd, "concat", lambda *a, **k: sizes.append(len(d := concat(*a, **k))) or d)
+    block = live._ClaimBlock("run_id", ["vx"], ["chunk"], ["run_id", "vx", "chunk"])
+    block.held = Held()
+    state = next(block.handleInputRows((0,), iter(chunks), None))
+    sent = list(live._first_rows(["run_id", "vx"], ["chunk"])(iter(chunks)))
+    assert max(sizes) <= 108
+    for got in (state, *sent):
+        assert got.set_index("vx")["chunk"].to_dict() == want
+    assert len(sent) == 1 and sum(map(len, live._first_rows(["run_id", "vx"], ["chunk"], 8)(iter(chunks)))) == 8 * 20
