@@ -199,7 +199,7 @@ def claims(faces: DataFrame, idle_ms: int | None = None, late: str | None = None
 
 
 def advance(frames: DataFrame, path: str, density: float = 5.0, voxel: float | None = None, idle_ms: int | None = None,
-            late: str | None = None, files_per_batch: int = 16, losses: Callable[[int], None] | None = None) -> DataFrame:
+            late: str | None = None, files_per_batch: int | None = None, losses: Callable[[int], None] | None = None) -> DataFrame:
     """Take the three stages through everything that ``frames`` (run_id, header, blob) has new; the table of claims.
 
     Called again with the same path, it goes on where it stopped. ``losses`` is told of rows behind the watermark (see ``run_to_table``).

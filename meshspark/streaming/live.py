@@ -22,10 +22,15 @@ from meshspark.streaming import guidance as gd
 FRAME_TYPES = ("mesh", "scan_control", "status", "error")
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
+BATCH_BYTES = 128 << 20
+
+
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Stream of a Parquet table, be it one file or a folder of part files. No operator here depends on how the rows
-    fall into files or batches."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(path)
+    fall into files or batches. A batch is bounded by bytes, since every stage writes a file per partition and batch: a bound of so many
+    files would multiply the batches from stage to stage. ``files_per_batch`` bounds it by files instead."""
+    bound = ("maxBytesPerTrigger", BATCH_BYTES) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
+    return spark.readStream.schema(schema).option(*bound).option("recursiveFileLookup", True).parquet(path)
 
 
 def route(frames: DataFrame, type_col: str = "type") -> dict[str, DataFrame]:

@@ -62,3 +62,10 @@ def test_rows_behind_a_watermark_are_counted(spark):
     assert t.count() + lost[0] == 3 and lost[0] > 0  # one file a batch, one window a row: what is not counted is reported
     with pytest.raises(ValueError):
         live.run_to_table(live.throughput(s(), "1 day", "2 days"), out(), "update")
+
+
+def test_many_small_files_are_one_batch(spark):
+    base, batches = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), []
+    spark.range(400).repartition(40).write.parquet(f"{base}/in")
+    t = live.run_to_table(live.file_stream(spark, f"{base}/in", "id bigint"), f"{base}/out", each=lambda d, n: batches.append(n) or d)
+    assert batches == [0] and t.count() == 400
