@@ -90,3 +90,7 @@ def test_claims_hold_the_winners_and_one_chunk_only(monkeypatch):
     for got in (state, *sent):
         assert got.set_index("vx")["chunk"].to_dict() == want
     assert len(sent) == 1 and sum(map(len, live._first_rows(["run_id", "vx"], ["chunk"], 8)(iter(chunks)))) == 8 * 20
+
+
+def test_shared_vertices_broadcasts_no_mesh(spark, sf):
+    assert "Broadcast" not in plan(catalog.QUERIES["shared_vertices"](spark, sf))
