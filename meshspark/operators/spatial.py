@@ -16,6 +16,7 @@ from meshspark.functions.vectors import Vec
 from meshspark.session import cut_lineage
 
 AXES = "xyz"
+TASK_PAIRS = 4_000_000  # pairs one task of a ranked join meets, as far as whole cells allow
 
 
 def _cells(prefix: str, size: float) -> list[Column]:
@@ -109,6 +110,13 @@ def _finite(axis: str) -> Column:
     return F.when(F.abs(axis) < 1e300, F.col(axis))
 
 
+def _join_tasks(left: DataFrame, right: DataFrame, keys: list[str]) -> int:
+    """Tasks for a join on ``keys`` whose pairs are sorted: counted from rows per key, one single-row aggregate."""
+    a, b = left.groupBy(*keys).agg(F.count("*").alias("_a")), right.groupBy(*keys).agg(F.count("*").alias("_b"))
+    pairs = a.join(b.hint("merge"), keys).agg(F.sum(F.col("_a") * F.col("_b")).alias("n")).first().n or 0
+    return max(left.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: str = "cloud", qid: str = "qid",
             pid: str = "pid", exclude_self: bool = False, max_dist: float | None = None) -> DataFrame:
     """The k nearest points of each query, ranked by (distance, id): (group, qid, rank, pid, dist).
@@ -173,7 +181,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, group: s
                 *[F.when(F.col("_lv") == top, F.lit(0).cast("bigint"))
                   .otherwise(F.expr(f"shiftright(_b{a}, _lv)")).alias(f"_c{a}") for a in AXES])
     d2 = Vec.cols("").minus(Vec.cols("p")).sq()
-    pairs = keyed.join(spread.hint("merge"), ["_g", "_lv", "_cx", "_cy", "_cz"]).withColumn("d2", d2) \
+    at = ["_g", "_lv", "_cx", "_cy", "_cz"]
+    if k > 1:
+        # ranking sorts the pairs, whose number the sizes of the two sides do not tell: as many tasks as pairs ask for
+        tasks = _join_tasks(keyed, spread, at)
+        keyed, spread = keyed.repartition(tasks, *at), spread.repartition(tasks, *at)
+    pairs = keyed.join(spread.hint("merge"), at).withColumn("d2", d2) \
         .filter(F.col("_r").isNull() | (F.col("d2") <= F.col("_r") * F.col("_r") * F.lit(1.0 + 1e-9)))
     if max_dist is not None:
         pairs = pairs.filter(F.sqrt("d2") <= F.lit(float(max_dist)))

@@ -1,13 +1,14 @@
 """What only shows on larger tables: broadcasts planned from file sizes, ids of more digits, near ties."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
-from meshspark.operators import graph, mesh, transfer
+from meshspark.operators import graph, mesh, spatial, transfer
 from meshspark.operators.merge import merge_meshes
 from meshspark.operators.spatial import nearest
 from meshspark.streaming import live
@@ -94,3 +95,18 @@ def test_claims_hold_the_winners_and_one_chunk_only(monkeypatch):
 
 def test_shared_vertices_broadcasts_no_mesh(spark, sf):
     assert "Broadcast" not in plan(catalog.QUERIES["shared_vertices"](spark, sf))
+
+
+def test_ranked_neighbours_are_dealt_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    at = rng.random((600, 3))
+    p = spark.createDataFrame(pd.DataFrame({"cloud": 0, "pid": np.arange(600), "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]}))
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 5_000)
+    got = spatial.nearest(p.withColumnRenamed("pid", "qid"), p, 20, 0.5, exclude_self=True)
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(_g[^)]*_cz[^)]*, (\d+)\), REPARTITION_BY_NUM", plan(got))]
+    assert len(tasks) == 2 and min(tasks) > 8
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    want = np.argsort(d2, axis=1, kind="stable")[:, :20]
+    rows = got.toPandas().sort_values(["qid", "rank"])
+    assert (rows["pid"].to_numpy().reshape(600, 20) == want).all()
