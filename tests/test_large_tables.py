@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
+from meshspark.catalog.common import lattice_geometry
 from meshspark.operators import graph, mesh, spatial, transfer
 from meshspark.operators.merge import merge_meshes
 from meshspark.operators.spatial import nearest
+from meshspark.plans import jobs
+from meshspark.session import cut_lineage
 from meshspark.streaming import live
 
 
@@ -110,3 +113,11 @@ def test_ranked_neighbours_are_dealt_by_pairs(spark, monkeypatch):
     want = np.argsort(d2, axis=1, kind="stable")[:, :20]
     rows = got.toPandas().sort_values(["qid", "rank"])
     assert (rows["pid"].to_numpy().reshape(600, 20) == want).all()
+
+
+def test_noise_of_a_patch_is_drawn_once(spark, sf):
+    g = cut_lineage(lattice_geometry(spark, sf))
+    patch = g.select(F.concat_ws("/", "arch_id", "label").alias("patch_id"), "arch_id", "fid")
+    x = jobs.patch_features(patch, g, cut_lineage(mesh.vertex_normals(g)), mesh.face_adjacency(g), 30)
+    assert "md5" not in plan(x)
+    assert x.groupBy("patch_id").count().agg(F.max("count")).first()[0] <= 30
