@@ -244,11 +244,12 @@ def relaxing_coverage(stages: DataFrame, geom: DataFrame, adjacency: DataFrame,
     """Extent and coverage together: stage i fills its own extent down to a linearly relaxed threshold."""
     from meshspark.functions.vectors import Vec
     occ = Vec.cols("n").dot(Vec.of(*[float(v) for v in axis]))
-    base = stages.filter(F.col("stage") < n_stages) \
-        .join(geom.select("arch_id", "fid", "label", occ.alias("occ")), ["arch_id", "fid"])
+    # written once: the seeds, the open faces and the result each read it, and the stages behind it are a long plan
+    base = cut_lineage(stages.filter(F.col("stage") < n_stages)
+                       .join(geom.select("arch_id", "fid", "label", occ.alias("occ")).hint("merge"), ["arch_id", "fid"]))
     each = base.withColumn("at", F.explode(F.sequence(F.col("stage"), F.lit(n_stages - 1).cast("bigint"))))
     each = each.withColumn("threshold", linspace(start, end, n_stages, F.col("at"))) \
         .withColumn("fp", F.concat_ws("/", "patch_id", F.col("at").cast("string")))
     got = grow_coverage(each.select("arch_id", "fp", "fid", "label", "occ", "threshold"), adjacency, "fp")
-    return got.select("fp", "arch_id", "fid").join(each.select("fp", "fid", "patch_id", "at"), ["fp", "fid"]) \
+    return got.select("fp", "arch_id", "fid").join(each.select("fp", "fid", "patch_id", "at").hint("merge"), ["fp", "fid"]) \
         .select("patch_id", "arch_id", "fid", F.col("at").alias("stage"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
 from meshspark.catalog.common import lattice_geometry
-from meshspark.operators import graph, mesh, spatial, transfer
+from meshspark.operators import graph, mesh, patches, spatial, transfer
 from meshspark.operators.merge import merge_meshes
 from meshspark.operators.spatial import nearest
 from meshspark.plans import jobs
@@ -121,3 +121,18 @@ def test_noise_of_a_patch_is_drawn_once(spark, sf):
     x = jobs.patch_features(patch, g, cut_lineage(mesh.vertex_normals(g)), mesh.face_adjacency(g), 30)
     assert "md5" not in plan(x)
     assert x.groupBy("patch_id").count().agg(F.max("count")).first()[0] <= 30
+
+
+def test_relaxing_coverage_reads_its_stages_once(spark, sf):
+    g = cut_lineage(lattice_geometry(spark, sf))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    stages = g.select(F.col("arch_id").cast("string").alias("patch_id"), "arch_id", "fid", (F.col("fid") % 3).alias("stage"))
+    n = stages.count()
+    got = patches.relaxing_coverage(stages.mapInPandas(count, stages.schema), g, cut_lineage(mesh.face_adjacency(g)), (0.0, 0.0, 1.0), 3, 0.9, 0.3)
+    assert got.count() > 0 and read.value == n
