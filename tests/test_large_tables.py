@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshspark import catalog, fixtures
 from meshspark.catalog.common import lattice_geometry
-from meshspark.operators import graph, mesh, patches, spatial, transfer
+from meshspark.operators import augment, graph, mesh, patches, spatial, transfer
 from meshspark.operators.merge import merge_meshes
 from meshspark.operators.spatial import nearest
 from meshspark.plans import jobs
@@ -136,3 +136,14 @@ def test_relaxing_coverage_reads_its_stages_once(spark, sf):
     n = stages.count()
     got = patches.relaxing_coverage(stages.mapInPandas(count, stages.schema), g, cut_lineage(mesh.face_adjacency(g)), (0.0, 0.0, 1.0), 3, 0.9, 0.3)
     assert got.count() > 0 and read.value == n
+
+
+def test_holes_find_neighbours_once(spark, sf, monkeypatch):
+    f = cut_lineage(fixtures.lattice_faces(spark, sf))
+    patch = f.select(F.col("arch_id").cast("string").alias("patch_id"), "arch_id", "fid")
+    found, restrict = [], mesh.restrict_adjacency
+    monkeypatch.setattr(mesh, "restrict_adjacency", lambda *a: found.append(1) or restrict(*a))
+    left = augment.punch_holes(patch, mesh.face_adjacency(f), max_holes=3)
+    assert len(found) == 1
+    assert "Broadcast" not in plan(left)
+    assert left.count() < patch.count()
