@@ -171,7 +171,7 @@ def dilate_set(members: DataFrame, geom: DataFrame, margin: float) -> DataFrame:
     if margin <= 0:
         return members.select("arch_id", "fid")
     pos = geom.select("arch_id", "fid", *[F.col("m" + a).alias(a) for a in "xyz"])
-    near = any_within(pos, pos.join(members.select("arch_id", "fid"), ["arch_id", "fid"], "left_semi"), margin,
+    near = any_within(pos, pos.join(members.select("arch_id", "fid").hint("merge"), ["arch_id", "fid"], "left_semi"), margin,
                       "arch_id", "fid")
     return members.select("arch_id", "fid").unionByName(near).distinct()
 

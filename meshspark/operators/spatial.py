@@ -54,12 +54,12 @@ def pairs_within(queries: DataFrame, points: DataFrame, radius: float, group: st
 def any_within(queries: DataFrame, points: DataFrame, radius: float, group: str = "cloud",
                qid: str = "qid") -> DataFrame:
     """Distinct (group, qid) that have a point within ``radius``; a semi-join, so no pairs leave the join."""
-    q = _q(queries, group, qid, "_qid").select("*", *_cells("_c", radius))
-    for a in AXES:
-        q = q.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_c{a}") - 1, F.col(f"_c{a}") + 1)))
-    q = q.alias("q")
+    q = _q(queries, group, qid, "_qid").select("*", *_cells("_c", radius)).alias("q")
     p = points.select(F.col(group).alias("_g"), *[F.col(a).cast("double").alias("p" + a) for a in AXES],
-                      *_cells("_c", radius)).distinct().hint("merge").alias("p")
+                      *_cells("_c", radius)).distinct()
+    for a in AXES:  # the points go to the cells around them: the queries, mostly far more, are shuffled once
+        p = p.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_c{a}") - 1, F.col(f"_c{a}") + 1)))
+    p = p.hint("merge").alias("p")
     near = Vec(*[F.col(f"q.{a}") for a in AXES]).minus(Vec(*[F.col(f"p.p{a}") for a in AXES])).sq() \
         <= F.lit(float(radius) * float(radius))
     same = [F.col(f"q.{c}") == F.col(f"p.{c}") for c in ("_g", "_cx", "_cy", "_cz")]

@@ -147,3 +147,21 @@ def test_holes_find_neighbours_once(spark, sf, monkeypatch):
     assert len(found) == 1
     assert "Broadcast" not in plan(left)
     assert left.count() < patch.count()
+
+
+def test_dilation_sends_members_to_the_cells_around_them(spark, sf):
+    g = cut_lineage(lattice_geometry(spark, sf))
+    got = patches.dilate_set(g.filter("label = 8"), g, 1.5)
+    assert "Broadcast" not in plan(got)
+    # cells are listed behind the distinct positions of the members, never behind the faces that are tested
+    listed = [i for i, line in enumerate(plan(got).splitlines()) if "Generate explode(sequence" in line]
+    above = plan(got).splitlines()[listed[-1] + 1:]
+    assert len(listed) == 3 and any("HashAggregate" in line for line in above[:3])
+    f = g.toPandas()
+    a, m = f[["mx", "my", "mz"]].to_numpy(), (f["label"] == 8).to_numpy()
+    near = {}
+    for arch in f["arch_id"].unique():
+        own = (f["arch_id"] == arch).to_numpy()
+        d2 = ((a[own][:, None] - a[own & m][None]) ** 2).sum(2)
+        near[arch] = set(f["fid"][own][(d2 <= 2.25).any(1)])
+    assert {(r.arch_id, r.fid) for r in got.collect()} == {(k, x) for k, v in near.items() for x in v}
