@@ -149,6 +149,13 @@ def test_holes_find_neighbours_once(spark, sf, monkeypatch):
     assert left.count() < patch.count()
 
 
+def test_drop_faces_broadcasts_no_mesh(spark, sf):
+    f = cut_lineage(fixtures.lattice_faces(spark, sf))
+    patch = f.select(F.col("arch_id").cast("string").alias("patch_id"), "arch_id", "fid")
+    assert "Broadcast" not in plan(mesh.inner_degree(patch, mesh.face_adjacency(f), ["patch_id"]))
+    assert "Broadcast" not in plan(catalog.QUERIES["drop_faces"](spark, sf))
+
+
 def test_dilation_sends_members_to_the_cells_around_them(spark, sf):
     g = cut_lineage(lattice_geometry(spark, sf))
     got = patches.dilate_set(g.filter("label = 8"), g, 1.5)
