@@ -85,7 +85,8 @@ def footprint_components(spark, sf):
     t = fr.tangent_axes(fr.tooth_frames(g)).withColumn("fp", F.concat_ws("/", "arch_id", "label"))
     t = t.withColumnsRenamed({f"n{a}": f"w{a}" for a in "xyz"})
     boxes = fr.view_boxes(t.drop("label"), "w", SIZE, SIZE, 16.0, F.lit(0.6))
-    return pt.footprints(boxes, g, adj)
+    # equal distances differ in the last bits of the origin's mean, which follow the order of its sum: rounded, the face id decides as it should
+    return pt.footprints(boxes, g, adj, digits=pt.TIE_DIGITS)
 
 
 DRAWS = f"""teeth AS MATERIALIZED (SELECT DISTINCT arch_id, label FROM faces WHERE label BETWEEN 1 AND 16),

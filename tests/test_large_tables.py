@@ -172,3 +172,13 @@ def test_dilation_sends_members_to_the_cells_around_them(spark, sf):
         d2 = ((a[own][:, None] - a[own & m][None]) ** 2).sum(2)
         near[arch] = set(f["fid"][own][(d2 <= 2.25).any(1)])
     assert {(r.arch_id, r.fid) for r in got.collect()} == {(k, x) for k, v in near.items() for x in v}
+
+
+def test_footprints_take_the_smaller_face_id_at_one_distance(spark, tmp_path):
+    # a steep ridge at row 5 of each mesh leaves two components, one the other turned by half a turn around the origin: always a tie
+    meshes = 40
+    rows = [(j * 50 + i, 50 if j % 10 == 5 else 1) for j in range(10 * meshes + 1) for i in range(3, 13)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["footprint_components"](spark, str(tmp_path)).collect()
+    assert {r.fp for r in got} == {f"{m}/{label}" for m in range(meshes) for label in (1, 2, 3)}
+    assert {r.fid // 2 // 50 % 10 for r in got} == {2, 3}
