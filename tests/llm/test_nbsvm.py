@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from meshspark.llm import nbsvm
-from meshspark.llm.shared import QUERIES
+from meshspark.llm.shared import QUERIES, buffer_of, mixed, ngram_hashes, word_hashes, words_of
 
 
 def auc(score, y):
@@ -35,6 +35,32 @@ def test_indicators_are_distinct_per_row():
     assert again.tolist() == col[at[3]:].tolist()
 
 
+def test_indicators_come_from_one_sort_of_narrow_keys(monkeypatch):
+    def column(key):
+        return int(key) & (nbsvm.COLUMNS - 1)
+
+    def plain(text):
+        data, offsets = buffer_of(pa.array([text]))
+        starts, ends, row = words_of(data, offsets)
+        h = word_hashes(data, starts, ends)
+        grams = mixed(np.array([a | b << 8 | c << 16 | 1 << 40 for a, b, c in zip(*(data[i:].tolist() for i in range(3)))], np.uint64))
+        return sorted({column(k) for k in (*h, *ngram_hashes(h, row, 2)[0], *grams)})
+
+    def refuse(*_, **__):
+        raise AssertionError("np.unique takes ten times as long as the sort")
+
+    texts = ["a b a b", None, "", "ab", "Zähne und Zähne, dicht an dicht", "x" * 5000, "a b a b"]
+    sizes = set()
+    monkeypatch.setattr(nbsvm.np, "min_scalar_type", lambda n, f=np.min_scalar_type: sizes.add(f(n).itemsize) or f(n))
+    monkeypatch.setattr(nbsvm.np, "unique", refuse)
+    col, at = nbsvm.indicators(pa.array(texts))
+    assert [col[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain(t) for t in texts]
+    many = 33_000  # more rows than fit in keys of four bytes
+    col, at = nbsvm.indicators(pa.array(["ab cd"] * many))
+    assert col.reshape(many, -1).tolist() == [plain("ab cd")] * many and (np.diff(at) == len(col) // many).all()
+    assert sizes == {4, 8}
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "junk *** !!! ") * (i % 5 + 1), "s") for i in range(60)]
                                  + [(None, None, "s"), (70, "", "s"), (70, "", "s"), (71, "good " * 50000, "s")],
